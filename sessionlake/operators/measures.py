@@ -19,9 +19,9 @@ def share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole)
 
 
-def nearest_rank(value: str, fraction: float) -> Column:
+def nearest_rank(value: str, fraction: float, kind: str = "long") -> Column:
     """M15. sorted[ceil(n * fraction) - 1]."""
-    return F.expr(f"percentile_disc({fraction}) WITHIN GROUP (ORDER BY {value})")
+    return F.expr(f"percentile_disc({fraction}) WITHIN GROUP (ORDER BY {value})").cast(kind)
 
 
 def token_sums(kinds: Sequence[str] = TOKENS) -> list[Column]:
@@ -74,8 +74,8 @@ def model_sets(usage: DataFrame) -> DataFrame:
 
 
 def latency(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
-    """M8. Paired calls: count, median and nearest-rank p90 of their microseconds (column ``took``)."""
-    return pairs.groupBy(*by).agg(F.count("*").alias("paired_calls"), F.median("took").alias("median_us"), nearest_rank("took", 0.9).alias("p90_us"))
+    """M8. Paired calls: count, median (rounded down) and nearest-rank p90 of their microseconds (column ``took``)."""
+    return pairs.groupBy(*by).agg(F.count("*").alias("paired_calls"), F.floor(F.median("took")).alias("median_us"), nearest_rank("took", 0.9).alias("p90_us"))
 
 
 def fan_out(sessions: DataFrame) -> DataFrame:
@@ -156,13 +156,13 @@ def context_exposure(requests: DataFrame, thresholds: Sequence[int], by: Sequenc
     """M18. Per group: sessions, median and p90 of their mean context, and tokens that lie above each threshold."""
     above = [F.sum(F.greatest(F.col("context") - t, F.lit(0))).alias(f"above_{t}") for t in thresholds]
     one = requests.where("context is not null").groupBy("session_id", *by).agg(F.avg("context").alias("mean"), *above)
-    return one.groupBy(*by).agg(F.count("*").alias("sessions"), F.median("mean").alias("mean_median"), nearest_rank("mean", 0.9).alias("mean_p90"), *[F.sum(f"above_{t}").alias(f"above_{t}") for t in thresholds])
+    return one.groupBy(*by).agg(F.count("*").alias("sessions"), F.median("mean").alias("mean_median"), nearest_rank("mean", 0.9, "double").alias("mean_p90"), *[F.sum(f"above_{t}").alias(f"above_{t}") for t in thresholds])
 
 
 def break_even(ratios: DataFrame, limits: Sequence[int]) -> DataFrame:
     """M20. Ratios of reused to fresh tokens of pairs where both are positive: median, p10, p90, and the share below each limit."""
     r = ratios.where("reused > 0 AND fresh > 0").select((F.col("reused") / F.col("fresh")).alias("r"))
-    return r.agg(F.count("*").alias("pairs"), F.median("r").alias("median"), nearest_rank("r", 0.1).alias("p10"), nearest_rank("r", 0.9).alias("p90"), *[share(F.count_if(F.col("r") < n).cast("double"), F.count("*")).alias(f"below_{n}") for n in limits])
+    return r.agg(F.count("*").alias("pairs"), F.median("r").alias("median"), nearest_rank("r", 0.1, "double").alias("p10"), nearest_rank("r", 0.9, "double").alias("p90"), *[share(F.count_if(F.col("r") < n).cast("double"), F.count("*")).alias(f"below_{n}") for n in limits])
 
 
 def model_status(usage: DataFrame) -> DataFrame:

@@ -105,4 +105,5 @@ def oracle(sql: str) -> str:
     sql = written(sql, "duckdb").strip()
     if not ctes:
         return sql
-    return f"WITH {', '.join(ctes)}{', ' + sql[5:] if sql.startswith('WITH ') else ' ' + sql}"
+    first = "WITH RECURSIVE" if sql.startswith("WITH RECURSIVE ") else "WITH"
+    return f"{first} {', '.join(ctes)}{', ' + sql[len(first) + 1 :] if sql.startswith('WITH ') else ' ' + sql}"
