@@ -2,13 +2,36 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, packing, simhash
-from .common import read
+from . import decontam, html, langid, packing, pii, quality, secrets, simhash, tokencount, warc
+from .common import read, shared_dir
+from .spans import of_kind, said
+
+
+def span_counts(kinds: tuple[str, ...]) -> list[Column]:
+    return [F.size(of_kind("base_spans", k)).cast("long").alias(f"n_{k}") for k in kinds]
+
+
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *span_counts(secrets.KINDS[:3]), F.sha2(said(F.col("base_spans")), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.store(read(spark, sf_dir, "pages"), path)
+    back = warc.read(spark, path, payload=False).where(F.col("record_type").isin("response", "revisit"))
+    return back.select(warc.page_number("record_id").alias("page_id"), "payload_bytes", F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest"), "record_type", warc.page_number("refers_to").alias("refers_to"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judge(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return found.select("doc_id", *[F.col(f"stats.{k}").alias(k) for k in quality.FIXED], "base_failed", "kept")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,11 +48,27 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("match.n_words").alias("n_words"), decontam.n_hit().alias("n_hit"), F.size("match.items").cast("long").alias("n_items"), decontam.items_digest().alias("items_sha256"), decontam.contaminated().alias("contaminated"), F.col("match.longest").alias("longest_match"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text").withColumn("lines", tokencount.lines("text"))
+    found = tokencount.attribute(docs, F.col("lines"))
+    one = found.select("doc_id", F.col("tokens.doc_tokens").alias("doc_tokens"), F.posexplode_outer(F.zip_with("lines", "tokens.counts", lambda s, n: F.struct(s["start"].alias("start"), s["end"].alias("end"), n.alias("n")))).alias("line", "s"))
+    return one.select("doc_id", F.col("line").cast("long").alias("line"), F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.n").alias("n_tokens"), "doc_tokens")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     found = langid.identify(docs.select("doc_id", "text"), langid.fit(docs))
     return found.select("doc_id", F.coalesce(~langid.train_rows(found), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_simhash, op5_packing, op6_decontamination, op8_language_id)}
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *span_counts(pii.KINDS), F.sha2(said(F.col("base_spans")), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_warc, op3_quality, op4_simhash, op5_packing, op6_decontamination, op7_token_counts, op8_language_id, op9_html_text, op10_pii)}
 ORACLES: dict[str, str] = {}
