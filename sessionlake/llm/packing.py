@@ -17,7 +17,10 @@ isn't padded.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Callable
+from functools import lru_cache
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -27,17 +30,29 @@ from pyspark.sql import functions as F
 from .common import durable, per_row, put
 
 CAPACITY, LEAST, END_ID = 2048, 64, 1
-#: Pieces of text whose ids a task remembers at most.
-REMEMBER = 200_000
-#: Unicode white space in the tokenizer's sense; str.split also takes these four, which the tokenizer keeps.
-NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: Words whose ids a Python worker remembers at most.
+WORDS = 800_000
+#: What the tokenizer must see in its whole text: characters that only str.split takes for white space, a letter that
+#: Python lower-cases by its neighbours, and the start of a special token.
+AS_IT_IS = ("\x1c", "\x1d", "\x1e", "\x1f", "\u03a3", "<|")
+#: Signs that may surround a word without changing how it is split. The others can begin a special token or a contraction.
+BEFORE, AFTER = "\"#$%&()*+,-./:;=>?@[\\]^_`{}~!", "'\"#$%&()*+,-./:;=>?@[\\]^_`{}~!"
 
 
+def byte_letters() -> dict[int, int]:
+    """Byte-level BPE writes bytes as letters: printable ones of Latin-1 as they are, the others from U+0100 on."""
+    same = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in same]
+    return {b: b for b in same} | {b: 256 + i for i, b in enumerate(other)}
+
+
+@lru_cache(maxsize=2)
 def tokenizer(name: str) -> Callable[[bytes | None], np.ndarray]:
-    """text -> ids. ``name``: a file of public_tokenizers, or a path.
+    """text -> ids. ``name``: a file of public_tokenizers, or a path; a byte-level BPE that lower-cases and drops white space.
 
-    The tokenizer drops white space and never joins text across it, so that a text's ids are those of its
-    blocks without white space; ids of known blocks are remembered.
+    The tokenizer never joins text across white space, so that a text's ids are those of its blocks without white
+    space. A block that is one word between signs is split here, other blocks by the tokenizer. The ids of words are
+    remembered, also from task to task.
     """
     import os
 
@@ -46,22 +61,38 @@ def tokenizer(name: str) -> Callable[[bytes | None], np.ndarray]:
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(name if "/" in name else public_tokenizers.path(name))
-    known: dict[str, bytes] = {}
+    letters, model = byte_letters(), t.model
+    words: dict[str, bytes] = {}
+
+    def bpe(word: str) -> bytes:
+        known = words.get(word)
+        if known is None:
+            if len(words) >= WORDS:
+                words.clear()
+            parts = model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(letters))
+            known = words[word] = array("I", [p.id for p in parts]).tobytes()
+        return known
+
+    def block_ids(block: str) -> bytes:
+        rest = block.lstrip(BEFORE)
+        core = rest.rstrip(AFTER)
+        if not core.isalpha():
+            return array("I", t.encode(block, add_special_tokens=False).ids).tobytes()
+        common = core in words
+        before, after = block[: len(block) - len(rest)], rest[len(core) :]
+        out = (bpe(before) if before else b"") + bpe(core) + (bpe(after) if after else b"")
+        if common:
+            words[block] = out
+        return out
 
     def ids(text: bytes | None) -> np.ndarray:
         s = (text or b"").decode()
-        if any(c in s for c in NOT_SPACE):
+        if any(c in s for c in AS_IT_IS):
             return np.array(t.encode(s, add_special_tokens=False).ids, "<u4")
-        out: list[bytes] = []
-        blocks = s.split()
-        for at in range(0, len(blocks), REMEMBER // 2):
-            some = blocks[at : at + REMEMBER // 2]
-            if len(known) > REMEMBER:
-                known.clear()
-            new = list({b for b in some if b not in known})
-            for b, e in zip(new, t.encode_batch(new, add_special_tokens=False), strict=True):
-                known[b] = np.array(e.ids, "<u4").tobytes()
-            out += [known[b] for b in some]
+        blocks = normalize("NFC", s).lower().split()
+        out = list(map(words.get, blocks))
+        if None in out:
+            out = [block_ids(b) if known is None else known for b, known in zip(blocks, out, strict=True)]
         return np.frombuffer(b"".join(out), "<u4")
 
     return ids

@@ -62,7 +62,7 @@ def test_lots_and_small_capacity(spark):
 
 def test_blocks_equal_whole_text():
     one = packing.tokenizer("word_bpe_49k.json")
-    for t in ("", " ", "It's  a b c\x85d\x1ce\x1ff", "Å é ́x", "<|endoftext|> a<|startoftext|>b", "Straße ΑΣ ΑΣ. 1234 don't", "﻿a​b᠎c", "x" * 5000):
+    for t in ("", " ", "It's  a b c\x85d\x1ce\x1ff", "Å é ́x", "<|endoftext|> a<|startoftext|>b", "Straße ΑΣ ΑΣ. 1234 don't", "﻿a​b᠎c", "x" * 5000, "(word) \"word\" word's 'tis dogs' <word> |a| #a$ a_b _a_ ÀÉ. ΣΑΣ! Σ İstanbul ǅ. ½a ①", "ÀÉ. ́a", "'s 'S d'accord '", "<|endoftext|>. (<|endoftext|>)"):
         assert one(t.encode()).tolist() == T.encode(t, add_special_tokens=False).ids, repr(t)
 
 
