@@ -13,6 +13,7 @@ What lies in no section is counted under section null. Row by row, no shuffle.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 from .common import per_row, put
 
 RULES = ("start", "majority")
-#: Characters that are encoded at once; cut at a line's end before a word character, across which the tokenizer joins nothing.
-SEGMENT = 1 << 20
+#: Characters that are encoded at once, up to the next white space after something else: no token spans such a place, nor does
+#: the split before it depend on what follows.
+SEGMENT, CUT = 1 << 20, re.compile(r"(?<=\S)\s")
 
 
 def vocabulary(name: str) -> tuple[Callable[[str], list[int]], np.ndarray]:
@@ -44,11 +46,8 @@ def spans(text: str, encode: Callable[[str], list[int]], lengths: np.ndarray) ->
     """First byte of every token, and the text's end."""
     parts, at = [], 0
     while at < len(text):
-        end = at + SEGMENT
-        while end < len(text):
-            end = text.find("\n", end) + 1 or len(text)
-            if end >= len(text) or text[end].isalnum():
-                break
+        cut = CUT.search(text, at + SEGMENT)
+        end = cut.start() if cut else len(text)
         parts.append(lengths[encode(text[at:end])])
         at = end
     return np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *parts]))])
