@@ -59,8 +59,11 @@ def uri(page_id: Column) -> Column:
     return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("")), F.lit(">"))
 
 
-def write(recs: DataFrame, path: str) -> None:
-    """Archives of the rows of ``records``. A record's block is an HTTP response; a revisit's has no body."""
+def write(recs: DataFrame, path: str, compression: str = "gzip") -> None:
+    """Archives of the rows of ``records``. A record's block is an HTTP response; a revisit's has no body.
+
+    compression: gzip (a member per file) or none.
+    """
     line = "\r\n"
     clean = F.regexp_replace("url", r"[\x00-\x20\x7f]", "")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{line}Content-Type: text/html; charset=utf-8{line}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(line + line))
@@ -74,7 +77,7 @@ def write(recs: DataFrame, path: str) -> None:
         F.lit(f"{line}Content-Type: application/http; msgtype=response{line}Content-Length: "), size.cast("string"), F.lit(line + line), http,
     )
     # The payload's bytes go out as they are: a string column isn't decoded on its way to a text file.
-    recs.select(F.concat(head.cast("binary"), body).cast("string").alias("value")).write.option("lineSep", END).option("compression", "none").text(path)
+    recs.select(F.concat(head.cast("binary"), body).cast("string").alias("value")).write.option("lineSep", END).option("compression", compression).text(path)
 
 
 @dataclass
@@ -136,7 +139,7 @@ class Reader(DataSourceReader):
         schema = pa.schema([(n, kinds.get(n, pa.string())) for n in names])
         rows, size = [], 0
         for path in partition.paths:
-            raw = system.open_input_stream(path, buffer_size=1 << 20)
+            raw = system.open_input_stream(path, compression=None, buffer_size=1 << 20)
             with gzip.open(raw) if path.endswith(".gz") else raw as stream:
                 for row in parse(stream, self.wanted, self.decode):
                     rows.append(row | {"path": path})
