@@ -39,9 +39,8 @@ SPELLED = r"(?i)(?<![a-z0-9._-])[a-z0-9._-]{1,64}\x20?[\[(]at[\])]\x20?[a-z0-9-]
 DOTTED = r"(?<![0-9.])[0-9]++(?:\.[0-9]++){3,}+"
 DIGITS = r"(?<![0-9A-Za-z])[+(]?[0-9](?:[\x20().\-/]{0,2}+[0-9]){6,}+"
 
-#: Words that make a kind likelier when they stand in the characters before a span.
+#: Words that make a kind likelier when they stand shortly before a span.
 CONTEXT = (r"(?i)(?:tel|phone|call|fax|mobil|whatsapp)", r"(?i)(?:card|visa|master|credit|karte|tarjeta|carte)", r"(?i)(?:mail|contact|write to|@)", r"(?i)(?:\bip\b|addr|host|server)", r"(?i)(?:order|invoice|isbn|issn|version|\bid\b|no\.|nr\.|#)")
-BEFORE = 24
 #: Name and largest value of each feature; they start from 0.
 FEATURES = (("kind", 3), ("lead", 2), ("digits", 6), ("separators", 3), ("dots", 3), ("bracket", 1), ("luhn", 1), ("octets", 1), ("at", 2), ("context", 5), ("left", 2), ("right", 2))
 
@@ -63,7 +62,12 @@ def luhn(number: Column) -> Column:
 
 def octets(s: Column) -> Column:
     """Whether the parts between dots are all 255 at most."""
-    return F.forall(F.split(s, r"\."), lambda x: F.coalesce((F.length(F.ltrim(F.lit("0"), x)) <= 3) & (F.substr(F.ltrim(F.lit("0"), x), F.lit(1), F.lit(3)).try_cast("int").isNull() | (F.substr(F.ltrim(F.lit("0"), x), F.lit(1), F.lit(3)).try_cast("int") <= 255)), F.lit(False)))
+
+    def small(x: Column) -> Column:
+        digits_ = F.ltrim(x, F.lit("0"))
+        return (F.length(digits_) < 3) | ((F.length(digits_) == 3) & (digits_ <= "255"))
+
+    return F.forall(F.split(s, r"\."), small)
 
 
 def base(df: DataFrame, text: str) -> DataFrame:
@@ -87,16 +91,15 @@ def proposals(df: DataFrame, text: str) -> DataFrame:
     """df with ``__cand``: array of struct(s: span, f: struct of features)."""
     some = F.col("__digit")
     df = locate(df, "__e", text, "email", AROUND_AT, where=F.col(text).contains("@"))
-    df = locate(df, "__s", text, "email", SPELLED, where=F.lower(text).rlike(r"[\[(]at[\])]"))
+    df = locate(df, "__s_", text, "email", SPELLED, where=F.lower(text).rlike(r"[\[(]at[\])]"))
     df = locate(df, "__i", text, "ip", DOTTED, where=some & F.col(text).contains("."))
     df = locate(df, "__c", text, "card", DIGITS, where=some)
-    phones = F.transform("__c", lambda s: F.struct(F.lit("phone").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), s["part"].alias("part")))
-    df = df.withColumn("__all", F.concat("__e", "__s", "__i", "__c", phones)).drop("__e", "__s", "__i", "__c")
+    phones = F.transform("__c", lambda s: s.withField("kind", F.lit("phone")))
+    df = df.withColumn("__all", F.concat("__e", "__s_", "__i", "__c", phones)).drop("__e", "__s_", "__i", "__c")
 
     def features(s: Column) -> Column:
-        v, t = s["value"], F.col(text)
+        v, before = s["value"], s["before"]
         n = F.length(digits(v))
-        before = F.substr(t, F.greatest(s["start"] - BEFORE + 1, F.lit(1)), F.least(s["start"], F.lit(BEFORE)))
         context = F.lit(0)
         for i, words in reversed(list(enumerate(CONTEXT))):
             context = F.when(before.rlike(words), i + 1).otherwise(context)
@@ -114,12 +117,12 @@ def proposals(df: DataFrame, text: str) -> DataFrame:
             "separators": upto(F.length(F.regexp_replace(v, r"[^ \-/]", "")), 3),
             "dots": upto(F.length(F.regexp_replace(v, r"[^.]", "")), 3),
             "bracket": v.contains("(").cast("int"),
-            "luhn": luhn(digits(v)).cast("int"),
+            "luhn": F.when(n.between(12, 19), luhn(digits(v)).cast("int")).otherwise(0),
             "octets": F.when(s["kind"] == "ip", octets(v)).otherwise(F.lit(False)).cast("int"),
             "at": F.when(v.rlike(r"@.*\.[A-Za-z]{2,10}$"), 2).when(v.contains("@"), 1).otherwise(0),
             "context": context,
-            "left": beside(F.when(s["start"] > 0, F.substr(t, s["start"], F.lit(1))).otherwise(F.lit(""))),
-            "right": beside(F.substr(t, s["end"] + 1, F.lit(1))),
+            "left": beside(F.right(before, F.lit(1))),
+            "right": beside(s["after"]),
         }
         return F.struct(*[F.coalesce(values[name].cast("int"), F.lit(0)).alias(name) for name, _ in FEATURES])
 
@@ -208,7 +211,7 @@ def fit(df: DataFrame, doc_id: str, precision: float) -> Model | None:
 
 
 def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", precision: float = 0.995) -> DataFrame:
-    """docs with ``base_spans`` and ``spans`` (arrays of kind, start, end, value, part, by kind as listed, then start; they
+    """docs with ``base_spans`` and ``spans`` (arrays of kind, start, end, value, part, before, after, by kind as listed, then start; they
     replace columns of these names).
 
     A null text counts as empty. Equal texts get equal spans. Rows with a null id take part in training like others.

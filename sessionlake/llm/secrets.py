@@ -97,11 +97,11 @@ def p_bin(p: Column) -> Column:
 
 def base(docs: DataFrame, text: str) -> DataFrame:
     """docs with ``__base``: the fixed formats' spans, by start, then kind as listed."""
-    df = locate(docs, "__a", text, "assign", ASSIGN, 1)
+    df = locate(docs, "__as", text, "assign", ASSIGN, 1)
     df = locate(df, "__k", text, "access", ACCESS, where=F.col(text).contains("AKIA"))
     df = locate(df, "__h", text, "hex", HEX)
-    every = F.concat(F.filter("__a", lambda s: F.length(s["part"]) >= ASSIGN_LEAST), "__k", "__h")
-    return df.withColumn("__base", by_start(every)).drop("__a", "__k", "__h")
+    every = F.concat(F.filter("__as", lambda s: F.length(s["part"]) >= ASSIGN_LEAST), "__k", "__h")
+    return df.withColumn("__base", by_start(every)).drop("__as", "__k", "__h")
 
 
 def by_start(spans: Column) -> Column:
@@ -111,7 +111,7 @@ def by_start(spans: Column) -> Column:
 
 
 def scan(docs: DataFrame, text: str = "text", alpha: float = 0.001, rate: float = 0.05) -> DataFrame:
-    """docs with ``base_spans`` and ``spans`` (arrays of kind, start, end, value, part; they replace columns of these names).
+    """docs with ``base_spans`` and ``spans`` (arrays of kind, start, end, value, part, before, after; they replace columns of these names).
 
     spans are the base ones and those of kind ``random``: candidates that the battery and the false-discovery control
     (``rate``) select and that overlap no base span. A null text counts as empty. Equal texts get equal spans.

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A span, places in code points, end exclusive.
-SPAN = "array<struct<kind:string,start:int,end:int,value:string,part:string>>"
+#: A span, places in code points, end exclusive; ``part`` is a group of the match, ``before`` and ``after`` are what surrounds it.
+SPAN = "array<struct<kind:string,start:int,end:int,value:string,part:string,before:string,after:string>>"
+#: Characters kept before a match (back to the match before at most); matches whose places are summed at once.
+BEFORE, BLOCK = 24, 256
 
 
 def none() -> Column:
@@ -21,20 +23,31 @@ def locate(df: DataFrame, out: str, text: str, kind: str, pattern: str, part: in
     """
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     df = df.withColumn("__hits", hits if where is None else F.when(where, hits))
-    some = F.coalesce(F.size("__hits") > 0, F.lit(False))
+    some, n = F.coalesce(F.size("__hits") > 0, F.lit(False)), F.size("__hits")
     df = df.withColumns({
-        "__gaps": F.when(some, F.slice(F.split(text, pattern, -1), F.lit(1), F.size("__hits"))),
+        "__gaps": F.when(some, F.split(text, pattern, -1)),
         "__parts": F.when(some, F.regexp_extract_all(text, F.lit(pattern), F.lit(part)) if part else F.col("__hits")),
     })
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    starts = F.aggregate(
-        F.zip_with("__gaps", "__hits", lambda g, h: F.struct(F.length(g).alias("g"), F.length(h).alias("h"))),
-        begin,
-        lambda a, x: F.struct((a["at"] + x["g"] + x["h"]).alias("at"), F.concat(a["starts"], F.array(a["at"] + x["g"])).alias("starts")),
-        lambda a: a["starts"],
-    )
-    placed = F.zip_with(starts, F.zip_with("__hits", "__parts", lambda h, p: F.struct(h.alias("h"), p.alias("p"))), lambda s, x: F.struct(F.lit(kind).alias("kind"), s.alias("start"), (s + F.length(x["h"])).alias("end"), x["h"].alias("value"), x["p"].alias("part")))
-    return df.withColumn(out, F.when(some, placed).otherwise(none())).drop("__hits", "__gaps", "__parts")
+    widths = F.zip_with(F.slice("__gaps", F.lit(1), n), "__hits", lambda g, h: F.struct(F.length(g).alias("g"), F.length(h).alias("h")))
+    df = df.withColumn("__widths", F.when(some, widths))
+    # Running sums, block by block, as an array that grows by one is copied each time.
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda b: F.slice("__widths", b * BLOCK + 1, F.lit(BLOCK)))
+    ints = F.array().cast("array<int>")
+
+    def sum_block(a: Column, block: Column) -> Column:
+        first = F.struct(a["at"].alias("at"), ints.alias("starts"))
+        step = lambda r, x: F.struct((r["at"] + x["g"] + x["h"]).alias("at"), F.concat(r["starts"], F.array(r["at"] + x["g"])).alias("starts"))
+        return F.aggregate(block, first, step, lambda r: F.struct(r["at"].alias("at"), F.concat(a["parts"], F.array(r["starts"])).alias("parts")))
+
+    starts = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("parts")), sum_block, lambda a: F.flatten(a["parts"]))
+    df = df.withColumns({
+        "__s": F.when(some, starts),
+        "__b": F.when(some, F.transform(F.slice("__gaps", F.lit(1), n), lambda g: F.right(g, F.lit(BEFORE)))),
+        "__a": F.when(some, F.transform(F.slice("__gaps", F.lit(2), n), lambda g: F.left(g, F.lit(1)))),
+    })
+    around = F.arrays_zip("__s", "__hits", "__parts", "__b", "__a")
+    placed = F.transform(around, lambda x: F.struct(F.lit(kind).alias("kind"), x["__s"].alias("start"), (x["__s"] + F.length(x["__hits"])).alias("end"), x["__hits"].alias("value"), x["__parts"].alias("part"), x["__b"].alias("before"), x["__a"].alias("after")))
+    return df.withColumn(out, F.when(some, placed).otherwise(none())).drop("__hits", "__gaps", "__parts", "__widths", "__s", "__b", "__a")
 
 
 def of_kind(spans: Column | str, kind: str) -> Column:
