@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import glob_regex
+from ..functions.storage import durable
 from .attribution import TOKENS
 
 
@@ -144,11 +145,13 @@ def nesting_depth(sessions: DataFrame, rounds: int = 64) -> DataFrame:
     at = known.select("session_id", "up", F.when(F.col("up").isNull(), 0).otherwise(1).alias("depth"))
     for _ in range(max(1, rounds.bit_length())):
         hop = at.select(F.col("session_id").alias("up"), F.col("up").alias("__up"), F.col("depth").alias("__d"), F.lit(True).alias("__known"))
-        at = at.join(hop, "up", "left").select(
+        at = durable(at.join(hop, "up", "left").select(
             "session_id",
             F.when(F.col("up").isNotNull() & F.col("__known"), F.col("__up")).otherwise(F.col("up")).alias("up"),
             F.when(F.col("up").isNull() | F.col("__known").isNull(), F.col("depth")).otherwise(F.col("depth") + F.col("__d")).alias("depth"),
-        )
+        ))
+        if not at.where("up IS NOT NULL").limit(1).count():
+            break
     return at.select("session_id", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
 
 
