@@ -11,7 +11,8 @@ base 36, base 64), and its symbols become numbers of that alphabet. Tests:
   the statistic has a non-central distribution. The p-value is the chance of a value
   this even. It shrinks with length by itself: short tokens can't prove much.
 * runs above and below the alphabet's middle, and lag-1 serial correlation, both
-  two-sided: a token that fails either at ``alpha`` is patterned (abcdef..., 0000ffff...).
+  two-sided, and chi-squared for being more even than chance: a token that fails one of
+  them at ``alpha`` is patterned (abcdef..., 0000ffff...).
 
 False-discovery control (Benjamini and Hochberg) runs within each band of lengths,
 over all candidates of the table, on a histogram of p-values of fixed size.
@@ -34,7 +35,7 @@ ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 KINDS = ("assign", "access", "hex", "random")
 
-TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9]|[a-z0-9+/_=-]++[A-Z]|[A-Z0-9+/_=-]{2,}+[a-z])[A-Za-z0-9+/_=-]{16,}+"
+TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[0-9+/_=-]*+[A-Za-z])(?=[A-Za-z+/_=-]*+[0-9]|[a-z0-9+/_=-]++[A-Z]|[A-Z0-9+/_=-]{2,}+[a-z])[A-Za-z0-9+/_=-]{16,}+"
 #: Inferred encodings in the order they are tried: name, pattern, alphabet, effect size (k * sum of squared symbol shares - 1 in written text).
 ENCODINGS = (
     ("hex", "^(?:[0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", 1.2),
@@ -76,7 +77,8 @@ def tested(token: Column, alpha: float) -> Column:
             return F.struct(v.alias("last"), (a["runs"] + turn).alias("runs"), (a["along"] + F.coalesce(a["last"] * v, F.lit(0.0))).alias("along"))
 
         walk = F.aggregate(chars, start, step, lambda a: F.greatest(F.abs(a["runs"] - (n - 1) / 2) / F.sqrt((n - 1) / 4), F.abs(a["along"]) / spread / F.sqrt(n - 1)))
-        return F.struct(F.lit(name).alias("encoding"), n.cast("int").alias("n"), F.when(2 * normal_tail(walk) < alpha, 1.0).otherwise(even).alias("p"))
+        too_even = normal_tail((k - 1 - chi) / sqrt(2 * (k - 1)))
+        return F.struct(F.lit(name).alias("encoding"), n.cast("int").alias("n"), F.when((2 * normal_tail(walk) < alpha) | (too_even < alpha), 1.0).otherwise(even).alias("p"))
 
     out = by_encoding(*[ENCODINGS[-1][i] for i in (0, 2, 3)])
     for name, pattern, alphabet, effect in reversed(ENCODINGS[:-1]):
@@ -110,7 +112,7 @@ def by_start(spans: Column) -> Column:
     return F.when(F.size(spans) > 1, F.transform(F.array_sort(keyed), lambda x: x["s"])).otherwise(spans)
 
 
-def scan(docs: DataFrame, text: str = "text", alpha: float = 0.001, rate: float = 0.05) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", alpha: float = 0.005, rate: float = 0.05) -> DataFrame:
     """docs with ``base_spans`` and ``spans`` (arrays of kind, start, end, value, part, before, after; they replace columns of these names).
 
     spans are the base ones and those of kind ``random``: candidates that the battery and the false-discovery control

@@ -9,7 +9,7 @@ from sessionlake.llm.spans import said
 
 def brute(text):
     t, out = text or "", []
-    for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t):
+    for m in re.finditer(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t):
         if len(m[2]) >= 6:
             out.append((m.start(), 0, "assign", m.end()))
     for k, (kind, pattern, least) in enumerate((("access", r"AKIA[A-Z0-9]+", 20), ("hex", r"[0-9a-f]+", 24)), 1):
@@ -55,7 +55,7 @@ def test_random_tokens_are_found_and_written_text_is_not(spark):
     rng = random.Random(4)
     alphabets = {"b64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "b36": "0123456789abcdefghijklmnopqrstuvwxyz", "HEX": "0123456789ABCDEF"}
     keys = ["x " + "".join(rng.choices(a, k=64)) + " y" for a in alphabets.values() for _ in range(20)]
-    plain = ["ThisIsAnIdentifierInCamelCaseNumber1 the_quick_brown_fox_jumps_over_2_lazy_dogs abcdefghijklmnop1234567890 aaaaaaaaaaaaaaaa11111111111111 incomprehensibilities 1234567890123456789012"] * 20
+    plain = ["ThisIsAnIdentifierInCamelCaseNumber1 the_quick_brown_fox_jumps_over_2_lazy_dogs abcdefghijklmnop1234567890 zzzzzzzzzzzzzzzz11111111111111 incomprehensibilities 1234567890123456789012"] * 20
     rows = {r["doc_id"]: r["spans"] for r in found(spark, keys + plain)}
     hit = [rows[i] == "random:2:66" for i in range(len(keys))]
     assert sum(hit) >= 0.95 * len(hit)
@@ -78,7 +78,8 @@ def test_tests_equal_plain_python(spark):
         runs = sum((a > mid) != (b > mid) for a, b in zip(v, v[1:]))
         along = sum((a - mid) * (b - mid) for a, b in zip(v, v[1:])) / ((k * k - 1) / 12) / sqrt(n - 1)
         worst = max(abs(runs - (n - 1) / 2) / sqrt((n - 1) / 4), abs(along))
-        want = 1.0 if erfc(worst / sqrt(2)) < 0.001 else erfc(z / sqrt(2)) / 2
+        low = erfc((k - 1 - chi) / sqrt(2 * (k - 1)) / sqrt(2)) / 2
+        want = 1.0 if erfc(worst / sqrt(2)) < 0.001 or low < 0.001 else erfc(z / sqrt(2)) / 2
         assert r["p"]["encoding"] == name and abs(r["p"]["p"] - want) < 1e-6
 
 
