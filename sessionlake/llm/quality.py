@@ -24,7 +24,7 @@ from .common import durable, per_row, put
 SYMBOLS = b"#*$%&|<>"
 #: Name and smallest standard deviation of each part of the vector. The floors keep shares that are nearly always 0 from
 #: making every exception an outlier.
-FEATURES = (("word_length", 0.08), ("symbol_share", 0.10), ("line_share", 0.12), ("repeat_share", 0.12), ("words_a_line", 0.60))
+FEATURES = (("word_length", 0.08), ("symbol_share", 0.10), ("line_share", 0.16), ("repeat_share", 0.16), ("words_a_line", 0.60))
 D = len(FEATURES)
 #: Chi-squared quantiles with 5 degrees of freedom: the median, and 1 - 1e-6.
 MEDIAN, TAIL = 4.3515, 35.8882
