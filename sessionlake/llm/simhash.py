@@ -254,8 +254,9 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
         out = out.dropDuplicates([doc_id])
     lone = docs.where(F.col(doc_id).isNull())
     if lone.limit(1).count():
-        fp = durable(fingerprints(lone, text).dropDuplicates(["fp"]))
-        out = out.unionByName(fp.join(found.where("component_id is not null").select("fp").distinct(), "fp", "left_anti").select(docs.columns))
+        rows = lone.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("t"))
+        fp = durable(fingerprints(rows, "t").dropDuplicates(["fp"]))
+        out = out.unionByName(fp.join(found.where("component_id is not null").select("fp").distinct(), "fp", "left_anti").select("row.*"))
     return out
 
 
