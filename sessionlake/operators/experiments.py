@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import cost_per_success, wilson
 
+#: Units that a bootstrap sends to all tasks, at most.
+BROADCAST_UNITS = 1_000_000
+
 
 def arms(units: DataFrame, registrations: DataFrame) -> DataFrame:
     """C1. Units with the experiment and arm whose window holds their dispatch.
@@ -96,23 +99,27 @@ def rates(units: DataFrame, by: Sequence[str] = ("experiment", "arm")) -> DataFr
     return out.withColumns({"rate": F.col("successes") / F.col("n"), "low": low, "high": high})
 
 
-def draw(seed: int, arm: Column, replicate: Column, slot: Column, n: Column) -> Column:
-    """C15. A hash in place of a random sequence: any draw can be made anywhere, and twice alike."""
+def drawn(seed: int, arm: Column, replicate: Column, slot: Column) -> Column:
+    """C15. A hash in place of a random sequence: any number can be drawn anywhere, and twice alike. Modulo an arm's units it is the slot drawn."""
     text = F.concat_ws("|", F.lit(str(seed)), arm, replicate.cast("string"), slot.cast("string"))
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % n
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
 def bootstrap(units: DataFrame, metrics: Sequence[str], seed: int = 1729, resamples: int = 5000, level: float = 0.95) -> DataFrame:
     """C15, C16. Ratio (after by before) of each metric per success, with its percentile interval over resampled units.
 
     units: experiment, arm, unit_id, state and metrics. Draws are shared across metrics. A replicate without success or with an unknown value is undefined; any
-    undefined one is counted and voids the interval. Rows made: resamples times the units of the experiments; sums are partial before the shuffle.
+    undefined one is counted and voids the interval. Draws made: resamples times the units of the experiments. Up to BROADCAST_UNITS units are sent to all
+    tasks, and a draw (one number for all experiments) is added to its replicate's partial sums where it is made; of more units the draws are shuffled to their slots.
     """
     w = Window.partitionBy("experiment", "arm").orderBy("unit_id")
-    ranked = units.withColumns({"slot": F.row_number().over(w) - 1, "n": F.count("*").over(Window.partitionBy("experiment", "arm"))})
-    draws = ranked.select("experiment", "arm", "slot", "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("replicate"))
-    picked = draws.select("experiment", "arm", "replicate", draw(seed, F.col("arm"), F.col("replicate"), F.col("slot"), F.col("n")).alias("slot"))
-    joined = picked.join(ranked.select("experiment", "arm", "slot", "state", *metrics), ["experiment", "arm", "slot"])
+    ranked = units.select("experiment", "arm", "state", *metrics, (F.row_number().over(w) - 1).alias("slot"), F.count("*").over(Window.partitionBy("experiment", "arm")).alias("n"))
+    few = units.count() <= BROADCAST_UNITS
+    dealt = ranked.groupBy("arm", "slot").agg(F.collect_list(F.struct("experiment", "n")).alias("of")).repartition(max(32, units.sparkSession.sparkContext.defaultParallelism), "arm", "slot")
+    draws = dealt.select("arm", "slot", "of", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("replicate")).withColumn("number", drawn(seed, F.col("arm"), F.col("replicate"), F.col("slot")))
+    picked = draws.select("arm", "replicate", "number", F.explode("of").alias("of")).select("of.experiment", "arm", "replicate", (F.col("number") % F.col("of.n")).alias("slot"))
+    values = ranked.select("experiment", "arm", F.col("slot").cast("long").alias("slot"), "state", *metrics)
+    joined = picked.join(F.broadcast(values) if few else values, ["experiment", "arm", "slot"])
     win = F.col("state") == "success"
     costs = joined.groupBy("experiment", "replicate", "arm").agg(*[cost_per_success(F.col(m), win).alias(m) for m in metrics])
     ratios = costs.groupBy("experiment", "replicate").agg(*[(F.max(F.when(F.col("arm") == "after", F.col(m))) / F.max(F.when(F.col("arm") == "before", F.col(m)))).alias(m) for m in metrics])

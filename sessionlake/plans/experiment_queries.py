@@ -144,7 +144,7 @@ ci AS (SELECT experiment, 'tokens' AS metric, count(*) FILTER (r IS NULL) AS und
 
 
 def booted(v: Views) -> DataFrame:
-    return x.bootstrap(armed(v).where("unit_id % 7 = 0 AND tokens IS NOT NULL"), ["tokens"], resamples=50)
+    return x.bootstrap(armed(v), ["tokens"])
 
 
 @query(ARMS + BOOT + "SELECT experiment, metric, undefined, round(low, 6) AS low, round(high, 6) AS high FROM ci")
