@@ -7,11 +7,12 @@ format and context features score each proposal; a proposal at or above its kind
 redacted too. Of overlapping proposals the best score wins (ties: the first one, then the kind as listed), and
 none may overlap a fixed-format span.
 
-Training needs no labels from people: a proposal that overlaps a fixed-format span of its kind is an example,
-all others are counter-examples. The features are small whole numbers, so Spark counts the examples of each
-feature vector over the whole corpus, and the trees are grown from that table of counts, whose size is bounded by
-the features' values and not by the corpus. Documents with an odd hash calibrate, the others train: a
-threshold is the lowest score at which calibration's precision is ``precision`` or more (none: nothing is added).
+Training needs no labels from people. A proposal that overlaps a fixed-format span of its kind is an example, once as it is and once with
+the telling feature (plus sign, at sign) masked. Of the proposals that overlap no fixed-format span, the only ones that can be added, those that
+pass their kind's format check and have its context word are examples (``likely``); all others are counter-examples. The features are small whole
+numbers, so Spark counts the examples of each feature vector over the whole corpus, and the trees are grown from that table of counts, whose size
+is bounded by the features' values and not by the corpus. Documents with an odd hash calibrate, the others train: a threshold is the lowest
+score at which the precision over calibration's addable proposals is ``precision`` or more (none: nothing is added).
 Scoring is a SQL expression. No Python runs on executors.
 """
 
@@ -41,6 +42,8 @@ DIGITS = r"(?<![0-9A-Za-z])[+(]?[0-9](?:[\x20().\-/]{0,2}+[0-9]){6,}+"
 
 #: Words that make a kind likelier when they stand shortly before a span.
 CONTEXT = (r"(?i)(?:tel|phone|call|fax|mobil|whatsapp)", r"(?i)(?:card|visa|master|credit|karte|tarjeta|carte)", r"(?i)(?:mail|contact|write to|@)", r"(?i)(?:\bip\b|addr|host|server)", r"(?i)(?:order|invoice|isbn|issn|version|\bid\b|no\.|nr\.|#)")
+#: Context words of the labels, as whole words.
+CALLED, CHARGED = r"(?i)\b(?:tel|telephone|telefon|phone|call|fax|mobile?|whatsapp)\b", r"(?i)\b(?:card|visa|mastercard|amex|credit|karte|tarjeta|carte)\b"
 #: Name and largest value of each feature; they start from 0.
 FEATURES = (("kind", 3), ("lead", 2), ("digits", 6), ("separators", 3), ("dots", 3), ("bracket", 1), ("luhn", 1), ("octets", 1), ("at", 2), ("context", 5), ("left", 2), ("right", 2))
 
@@ -147,10 +150,10 @@ class Model:
         return 1 / (1 + F.exp(-total))
 
     def chosen(self, f: Column) -> Column:
-        out = F.lit(False)
-        for kind, least in self.thresholds.items():
-            out = F.when(f["kind"] == kind, self.score(f) >= least).otherwise(out)
-        return out
+        least = F.lit(None).cast("double")
+        for kind, value in self.thresholds.items():
+            least = F.when(f["kind"] == kind, value).otherwise(least)
+        return F.coalesce(self.score(f) >= least, F.lit(False))
 
 
 def apply_tree(t, x: np.ndarray) -> np.ndarray:
@@ -177,31 +180,48 @@ def grow(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, rate: float):
 
 
 def boost(x: np.ndarray, yes: np.ndarray, no: np.ndarray, trees: int = 12, depth: int = 3, rate: float = 0.5) -> Model:
-    """Log-loss boosting over a table of feature vectors with their counts of examples and counter-examples."""
+    """Log-loss boosting over a table of feature vectors with their counts of examples and counter-examples. Each tree splits by kind first: a run
+    of digits is read as a card and as a phone number, and the readings' labels are often opposite."""
     start = float(np.clip(np.log((yes.sum() + 1) / (no.sum() + 1)), -8, 8))
     total, grown = np.full(len(x), start), []
     for _ in range(trees):
         p = 1 / (1 + np.exp(-total))
-        grown.append(grow(x, p * (yes + no) - yes, p * (1 - p) * (yes + no), depth, rate))
+        g, h = p * (yes + no) - yes, p * (1 - p) * (yes + no)
+        own = [grow(x[of], g[of], h[of], depth, rate) for of in (x[:, 0] == k for k in range(len(KINDS)))]
+        grown.append((0, 0, own[0], (0, 1, own[1], (0, 2, own[2], own[3]))))
         total += apply_tree(grown[-1], x)
     return Model(start, grown, {})
 
 
+def likely(c: Column) -> Column:
+    """Whether a proposal outside the fixed formats is taken for personal data in training: its format check holds, and numbers follow a context word."""
+    f, before, n = c["f"], c["s"]["before"], F.length(digits(c["s"]["value"]))
+    card = n.between(13, 15) & (f["luhn"] == 1) & before.rlike(CHARGED)
+    return F.when(f["kind"] == 0, f["at"] != 1).when(f["kind"] == 2, card).when(f["kind"] == 3, n.between(7, 15) & before.rlike(CALLED)).otherwise(False)
+
+
 def fit(df: DataFrame, doc_id: str, precision: float) -> Model | None:
     """The model from documents with ``__base`` and ``__cand``; None without examples."""
-    c = F.explode(F.transform("__cand", lambda c: F.struct(c["f"].alias("f"), F.exists("__base", lambda b: (b["kind"] == c["s"]["kind"]) & overlap(b, c["s"])).alias("y"))))
+    def rows_of(c: Column) -> Column:
+        f, own = c["f"], F.exists("__base", lambda b: (b["kind"] == c["s"]["kind"]) & overlap(b, c["s"]))
+        free = ~F.exists("__base", lambda b: overlap(b, c["s"]))
+        row = lambda f, y, free: F.struct(f.alias("f"), y.alias("y"), free.alias("free"))
+        masked = F.struct(*[F.lit(0).alias(k) if k in ("lead", "at") else f[k].alias(k) for k, _ in FEATURES])
+        return F.when(own, F.array(row(f, F.lit(True), free), row(masked, F.lit(True), free))).otherwise(F.array(row(f, free & likely(c), free)))
+
+    c = F.explode(F.flatten(F.transform("__cand", rows_of)))
     seen = df.where(F.size("__cand") > 0).select(F.pmod(F.xxhash64(doc_id), F.lit(2)).alias("half"), c.alias("c"))
-    table = seen.groupBy("half", "c.f").agg(F.sum(F.col("c.y").cast("long")).alias("yes"), F.count("*").alias("n")).orderBy("half", "f").collect()
+    table = seen.groupBy("half", "c.f", "c.free").agg(F.sum(F.col("c.y").cast("long")).alias("yes"), F.count("*").alias("n")).orderBy("half", "f", "free").collect()
     if not table:
         return None
     x = np.array([list(r["f"]) for r in table])
-    yes, n, half = (np.array([r[k] for r in table], float) for k in ("yes", "n", "half"))
+    yes, n, half, free = (np.array([r[k] for r in table], float) for k in ("yes", "n", "half", "free"))
     train = half == 0 if (half == 0).any() else half == 1
     model = boost(x[train], yes[train], (n - yes)[train])
     check = half == 1 if (half == 1).any() else train
     score = 1 / (1 + np.exp(-(model.start + sum(apply_tree(t, x) for t in model.trees))))
     for kind in range(len(KINDS)):
-        rows = np.flatnonzero(check & (x[:, 0] == kind))
+        rows = np.flatnonzero(check & (free == 1) & (x[:, 0] == kind))
         rows = rows[np.argsort(-score[rows], kind="stable")]
         good = np.cumsum(yes[rows]) >= precision * np.cumsum(n[rows])
         last = np.append(score[rows][1:] != score[rows][:-1], True) if len(rows) else good  # whole ties only

@@ -108,3 +108,21 @@ def test_trees_as_sql_equal_the_model(spark):
     df = spark.createDataFrame(rows, "i int, f struct<" + ",".join(f"{n}:int" for n, _ in pii.FEATURES) + ">")
     got = {r["i"]: r["s"] for r in df.select("i", m.score(F.col("f")).alias("s")).collect()}
     assert np.allclose([got[i] for i in range(60)], want)
+
+
+def test_formats_outside_the_base_are_learnt(spark):
+    """Among fixed formats and other numbers, spelled-out addresses, national phone numbers and short cards are found."""
+    rows, want = [], {}
+    for i in range(400):
+        plain = f"write to user{i}@host{i % 7}.com now or dial +49 30 {1000000 + i}, order {20000000 + 37 * i} is version 1.2.{i}"
+        short = next(d for d in (f"3782822463{i:04d}{k}" for k in range(10)) if luhn(d))
+        said = [("email", f"user{i} [at] host{i % 7} [dot] com"), ("phone", f"030 {5550000 + i}"), ("card", short)][i % 3]
+        lead = {"email": "contact ", "phone": "phone ", "card": "visa card "}[said[0]]
+        text = f"{plain}. " + (f"{lead}{said[1]} please" if i % 4 == 0 else "nothing else")
+        if i % 4 == 0:
+            want[i] = {(said[0], said[1])}
+        rows.append((i, text))
+    got = pii.scan(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "base_spans", "spans").collect()
+    for r in got:
+        fixed = {(s["kind"], s["value"]) for s in r["base_spans"]}
+        assert {(s["kind"], s["value"]) for s in r["spans"]} - fixed == want.get(r["doc_id"], set()), r["doc_id"]
