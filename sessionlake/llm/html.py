@@ -3,7 +3,7 @@
 A tolerant reading of the markup gives a tree of block elements. Each paragraph passes points (for
 length and commas) to its container, half of them to the container's parent and a third to that one's. A container's points
 are discounted by the share of its text that is link text. The best container is kept, with those of its siblings
-that score well too or read like paragraphs; scripts, styles, forms, menus, notices, adverts, comments and the like never are.
+that score well too or read like paragraphs, and within an article all that is no links; scripts, styles, forms, menus, notices, adverts, comments and the like never are.
 
 Row by row, no shuffle; the reading takes time in proportion to the page.
 """
@@ -31,6 +31,8 @@ UNWANTED = RAW | set("nav footer aside form noscript template svg canvas select
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: What an opening tag closes, if open.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
+#: What a class name or id says of an element's parts and not of its own role.
+MODIFIER = re.compile(r"(?<![a-z])(?:has|with|no|without)[-_]+[a-z]+")
 #: Parts of class names and ids.
 BOILERPLATE = set("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert nav navbar navigation menu menus breadcrumb breadcrumbs sidebar side rail footer foot header masthead topbar social share sharing related recommended popup modal overlay newsletter subscribe signup login search toolbar pagination pager widget widgets skip tags copyright".split())
 COMMENTS = set("comment comments commentlist disqus reply replies respond".split())
@@ -48,7 +50,7 @@ def unwanted(tag: str, attributes: str, inside_article: bool) -> bool:
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
-            names |= set(re.split(r"[^a-z]+", value))
+            names |= set(re.split(r"[^a-z]+", MODIFIER.sub(" ", value)))
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in ROLES) or (name == "style" and re.search(r"display\s*:\s*none", value)):
             return True
     return bool(names & COMMENTS) or bool(names & BOILERPLATE and not names & CONTENT)
@@ -186,8 +188,18 @@ def main_text(html: bytes | None) -> str:
             dense = linked[i] / size[i]
             if (scored[i] and worth(i) >= max(5, 0.2 * worth(best))) or (page.tag[i] in PARAGRAPHS and size[i] > 80 and dense < 0.25):
                 keep.append((i, page.end[i]))
+    node, chain = best, []  # up to the article that holds the best container, all text beside it that is no links
+    while node > 0 and page.tag[node] != "article":
+        chain.append(node)
+        node = page.parent[node]
+    if node > 0:
+        path = dict(zip((page.parent[i] for i in chain), chain, strict=True))
+        for i in range(node + 1, page.end[node]):
+            if page.parent[i] in path and i != path[page.parent[i]] and size[i] and linked[i] / size[i] < 0.25:
+                keep.append((i, page.end[i]))
+    kept = {i for a, b in keep for i in range(a, b)}
     own = page.parent[best]
-    return "\n".join(t for node, t, _ in page.blocks if any(a <= node < b for a, b in keep) or (node == own and page.tag[own] not in ("body", "html", "#")))
+    return "\n".join(t for node, t, _ in page.blocks if node in kept or (node == own and page.tag[own] not in ("body", "html", "#")))
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:

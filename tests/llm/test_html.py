@@ -65,3 +65,15 @@ def test_odd_rows(spark):
     got = html.extract(df)
     assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in got.collect()) == [(0, "a", 1), (1, "", 0), (2, "", 0), (2, "", 0)]
     assert html.extract(df.limit(0)).count() == 0
+
+
+def test_modifiers_name_no_role():
+    for wrapper in ('class="layout has-sidebar"', 'id="page-with-rail"', 'class="no_footer"'):
+        assert text(page(f"<div {wrapper}><article><p>{P}</p></article></div>")) == P, wrapper
+    assert text(page(f'<p>{P}</p><div class="sidebar"><p>{P}</p></div>')) == P
+
+
+def test_short_parts_of_an_article_stay():
+    long = f"<p>{P}</p>" * 20
+    got = text(page(f"<article><h1>Title</h1><section><h2>One</h2><div>{long}</div></section><section><h2>Two</h2><p>Short.</p></section><ul><li><a href=x>See this link</a></ul></article>"))
+    assert got.split("\n") == ["Title", "One", *[P] * 20, "Two", "Short."]
