@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,12 +16,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session (tests) gets a folder of
+    its own; on a cluster that is an error, as executors could not read what others wrote."""
     context = spark.sparkContext
     known = context._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
-    context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+    given = context.getConf().get("spark.checkpoint.dir")
+    if not given and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    context.setCheckpointDir(given or tempfile.mkdtemp(prefix="spark-checkpoints-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -30,6 +35,32 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
+    """As durable, in columns: later reads fetch only those that they need."""
+    path = path or scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def scratch(spark: SparkSession) -> str:
+    """An unused path in the shared folder."""
+    return f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes what lies at a path of ``scratch`` that nothing reads any more."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df doesn't have, for an operator's own use."""
+    taken, end = {c.lower() for c in df.columns}, ""
+    while any(f"__{n}{end}" in taken for n in names):
+        end += "_"
+    return [f"__{n}{end}" for n in names]
+
+
 def per_row(make: Callable[[], Callable], returns: str, arrow: pa.DataType, *columns: Column) -> Column:
     """A column made by ``make()``'s function, called with the Python values of each row.
 

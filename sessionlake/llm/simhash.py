@@ -11,24 +11,28 @@ Exact links come from a forest of vantage-point trees under the Hamming distance
   the bits are split into ``radius // 2 + 1`` bands: two fingerprints within
   ``radius`` are within ``radius // bands`` (1) in one band at least, and each band
   has its own tree with that smaller radius.
-* Level j of a tree measures the distance to its vantage point on the j-th block of
-  the band (2 bits). The shells of equal distance are the branches. On disjoint
-  blocks the triangle bounds add up, so a query that moves d shells away on one
-  level has d less left for the levels below. A path of shells is a shard.
-* Every fingerprint lives in one shard per tree and is sent as a query to the
-  shards whose boundary it overlaps; only outward ones (the other of a pair sends
-  itself the other way, or the shard is the same), 8.9 on average.
-* Inside a shard whole fingerprints are compared. A shard gives a spanning set of
-  its links, at most one per row, never all pairs of a dense group. Shards of more
-  than ``leaf_rows`` rows are split into blocks that meet each other in tasks of their own.
+* A tree is grown from a bounded sample (an eighth of the fingerprints, about
+  ``sample_rows`` at most). A node measures distances on ``block_bits`` of the bits
+  that no node above it used, those that its part of the sample splits best, to a
+  vantage point of that sample: the one with the most even shells. Shells of equal
+  distance are its branches. On disjoint bits the triangle bounds add up, so a query
+  that moves d shells away at one node has d less left for the nodes below.
+* A node is split until about ``leaf_rows`` fingerprints are left, so that depth
+  follows the table's size. Every fingerprint lives in one leaf per tree and is sent
+  as a query to the leaves whose boundary it overlaps; only outward ones (the other
+  of a pair sends itself the other way, or the leaf is the same).
+* Inside a leaf whole fingerprints are compared. It gives a bounded number of links a
+  row, never all pairs of a dense group. Leaves that came out far larger than planned
+  are split into blocks that meet each other in tasks of their own.
 
 Components come from star contraction (each round one join and one minimum), in
-rounds written to the shared folder.
+rounds written to the shared folder; a round is deleted when the next one is there.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +40,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, per_row, put
+from .common import fresh, per_row, put, remove, scratch, stored
 
 RADIUS = 4
-#: The vantage point of every level: its bits on the level's block. Any value serves; this one is 2^64 / golden ratio.
-VANTAGE = 0x9E3779B97F4A7C15
+#: Fingerprints that a leaf is meant to hold, and those that trees are grown from at most, on average; a leaf of LARGE times as many rows (with visitors) is split.
+LEAF_ROWS, SAMPLE_ROWS, LARGE = 512, 1 << 18, 16
 #: Shingles that are hashed at once.
 CHUNK = 1 << 15
 
@@ -73,28 +77,71 @@ def bands(radius: int) -> list[tuple[int, int]]:
     return [(64 * i // n, 64 * (i + 1) // n - 64 * i // n) for i in range(n)]
 
 
-def paths(fps: np.ndarray, radius: int, block_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """(shard, row, home) arrays: where each fingerprint lives, and where it queries."""
-    per_band, base = radius // len(bands(radius)), np.int64(block_bits + 1)
-    for b, (low, bits) in enumerate(bands(radius)):
-        away = (fps ^ np.uint64(VANTAGE)) >> np.uint64(low)
-        blocks = [(at, min(block_bits, bits - at)) for at in range(0, bits, block_bits)]
-        shells = np.stack([np.bitwise_count((away >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int64) for at, n in blocks])
-        weights = base ** np.arange(len(blocks), dtype=np.int64)
-        own = (weights @ shells) * len(bands(radius)) + b
-        rows = np.arange(len(fps))
-        yield own, rows, True
-        todo = [(own, rows, shells, 0, per_band, False)]
-        while todo:  # each move goes to a later level, and the first one outwards
-            shard, row, at, level, left, moved = todo.pop()
-            for j in range(level, len(blocks)):
-                for move in range(-left if moved else 1, left + 1):
-                    ok = np.flatnonzero((at[j] + move >= 0) & (at[j] + move <= blocks[j][1]))
-                    if move and len(ok):
-                        there = shard[ok] + move * weights[j] * len(bands(radius))
-                        yield there, row[ok], False
-                        if left > abs(move):
-                            todo.append((there, row[ok], at[:, ok], j + 1, left - abs(move), True))
+@dataclass
+class Tree:
+    """A node: bits it measures on, its vantage point, its first child (the one of distance 0; -1: a leaf)."""
+
+    mask: np.ndarray
+    vantage: np.ndarray
+    child: np.ndarray
+
+
+def even_shells(points: np.ndarray) -> int:
+    """Which of the points has the most even shells of distance to all: the least sum of their squared sizes."""
+    values, counts = np.unique(points, return_counts=True)
+    apart = np.bitwise_count(values[:, None] ^ values[None, :])
+    sizes = np.stack([np.where(apart == d, counts, 0).sum(axis=1) for d in range(int(apart.max()) + 1)])
+    return int(values[(sizes.astype(float) ** 2).sum(axis=0).argmin()])
+
+
+def grow(sample: np.ndarray, low: int, bits: int, stands_for: float, leaf_rows: int, block_bits: int) -> Tree:
+    """A tree over ``bits`` bits from bit ``low`` on; each point of the sample stands for so many fingerprints."""
+    mask, vantage, child = [0], [0], [-1]
+    todo = [(0, sample, np.arange(low, low + bits))]
+    while todo:
+        node, points, left = todo.pop()
+        if len(points) * stands_for <= leaf_rows or len(points) < 4 or not len(left):
+            continue
+        ones = ((points[:, None] >> left.astype(np.uint64)) & np.uint64(1)).mean(axis=0)
+        best = np.argsort(np.abs(ones - 0.5), kind="stable")[:block_bits]
+        if ones[best[0]] in (0, 1):  # all points are alike
+            continue
+        own = sum(1 << int(b) for b in left[best])
+        mask[node], child[node] = own, len(mask)
+        vantage[node] = even_shells(points & np.uint64(own))
+        shell = np.bitwise_count((points ^ np.uint64(vantage[node])) & np.uint64(own))
+        rest = np.delete(left, best)
+        for d in range(len(best) + 1):
+            todo.append((len(mask), points[shell == d], rest))
+            mask.append(0)
+            vantage.append(0)
+            child.append(-1)
+    return Tree(np.array(mask, np.uint64), np.array(vantage, np.uint64), np.array(child, np.int64))
+
+
+def forest(sample: np.ndarray, stands_for: float, radius: int, leaf_rows: int, block_bits: int) -> list[Tree]:
+    return [grow(sample, low, bits, stands_for, leaf_rows, block_bits) for low, bits in bands(radius)]
+
+
+def visits(fps: np.ndarray, trees: list[Tree], radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(leaf, row, home) arrays: where each fingerprint lives, and where it queries. Leaves are numbered over all trees."""
+    per_band, base = radius // len(trees), 0
+    for t in trees:
+        todo = [(np.arange(len(fps)), np.zeros(len(fps), np.int64), per_band, False)]
+        while todo:  # rows, nodes, distance left, whether they left their own path
+            row, node, left, moved = todo.pop()
+            leaf = t.child[node] < 0
+            if leaf.any():
+                yield node[leaf] + base, row[leaf], not moved
+                row, node = row[~leaf], node[~leaf]
+            if not len(row):
+                continue
+            d = np.bitwise_count((fps[row] ^ t.vantage[node]) & t.mask[node]).astype(np.int64)
+            most = np.bitwise_count(t.mask[node])
+            for move in range(-left if moved else 0, left + 1):  # the first move is outwards
+                ok = (d + move >= 0) & (d + move <= most)
+                todo.append((row[ok], t.child[node[ok]] + d[ok] + move, left - abs(move), moved or move != 0))
+        base += len(t.child)
 
 
 def links(cells: np.ndarray, home: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,51 +164,56 @@ def links(cells: np.ndarray, home: np.ndarray, fps: np.ndarray, radius: int) ->
         f, h = fps[s : s + size], home[s : s + size]
         new = np.ones(size, bool)
         seeds = np.flatnonzero(h)
-        for seed in seeds:  # breadth first: each row is compared with those not yet reached only
-            if not new[seed]:
-                continue
-            new[seed] = False
-            front = np.array([seed])
+        while len(seeds := seeds[new[seeds]]):  # breadth first, from 64 rows at once: a row is compared with those not yet reached only
+            front, seeds = seeds[:64], seeds[64:]
+            new[front] = False
+            a, b = np.nonzero(np.triu(np.bitwise_count(f[front][:, None] ^ f[front][None, :]) <= radius, 1))
+            found_a.append(s + front[a])
+            found_b.append(s + front[b])
             while len(front):
-                rest = np.flatnonzero(new)
-                reached = []
+                reached, live = [], np.flatnonzero(new)
                 for block in range(0, len(front), 64):
-                    some = front[block : block + 64]
-                    live = rest[new[rest]]
+                    some, live = front[block : block + 64], live[new[live]]
                     if not len(live):
                         break
-                    near = (np.bitwise_count(f[some][:, None] ^ f[live][None, :]) <= radius) & (h[some][:, None] | h[live][None, :])
-                    hit = near.any(axis=0)
-                    found_a.append(s + some[near.argmax(axis=0)[hit]])
-                    found_b.append(s + live[hit])
-                    new[live[hit]] = False
-                    reached.append(live[hit])
+                    near = np.bitwise_count(f[some][:, None] ^ f[live][None, :]) <= radius
+                    if not h[some].all():
+                        near &= h[some][:, None] | h[live][None, :]
+                    a, b = np.nonzero(near)
+                    found_a.append(s + some[a])
+                    found_b.append(s + live[b])
+                    hit = live[np.unique(b)]
+                    new[hit] = False
+                    reached.append(hit)
                 front = np.concatenate(reached) if reached else np.array([], np.int64)
     none = np.array([], np.int64)
     return np.concatenate([none, *found_a]), np.concatenate([none, *found_b])
 
 
-def near_pairs(fps: DataFrame, radius: int = RADIUS, block_bits: int | None = None, leaf_rows: int = 4096) -> DataFrame:
-    """(a, b): links among distinct fingerprints (columns ``fp``, ``rep``), named by rep; a spanning set of all links.
+def near_pairs(fps: DataFrame, radius: int = RADIUS, block_bits: int = 2, leaf_rows: int = LEAF_ROWS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(a, b): links among distinct fingerprints (column ``fp``), enough to connect all that are linked. ``fps`` is read more than once: give a stored table.
 
-    block_bits: bits of a tree level; fewer make more and smaller shards. None: 2, and 1 from 4 million fingerprints on.
+    The trees are sent to all tasks; their size is bounded by the sample's. Links are the same for every sample.
     """
-    if block_bits is None:
-        block_bits = 2 if fps.count() < 4_000_000 else 1
+    spark, total = fps.sparkSession, fps.count()
+    share = min(0.125, sample_rows / max(1, total))
+    lot = F.pmod(F.xxhash64(F.lit("vantage"), "fp"), F.lit(1 << 30)) / (1 << 30)
+    some = fps.where(lot < share).select("fp").toArrow().column("fp").to_numpy() if total > leaf_rows else np.zeros(0, np.int64)
+    shared = spark.sparkContext.broadcast(forest(np.sort(some.view(np.uint64)), 1 / share, radius, leaf_rows, block_bits))
 
-    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f, r = b.column("fp").to_numpy(), b.column("rep").to_numpy()
-            for shard, row, own in paths(f.view(np.uint64), radius, block_bits):
-                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(f[row]), pa.array(r[row]), pa.array(np.full(len(row), own))], ["cell", "fp", "rep", "home"])
+            f = b.column("fp").to_numpy()
+            for leaf, row, own in visits(f.view(np.uint64), shared.value, radius):
+                yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(f[row]), pa.array(np.full(len(row), own))], ["cell", "fp", "home"])
 
-    sent = fps.select("fp", "rep").mapInArrow(visits, "cell long, fp long, rep long, home boolean")
+    sent = fps.select("fp").mapInArrow(send, "cell long, fp long, home boolean")
     sizes = sent.groupBy("cell").count()
-    total = sizes.agg(F.sum("count")).first()[0] or 0
+    visiting = sizes.agg(F.sum("count")).first()[0] or 0
     block = F.lit(0)
-    if total > leaf_rows:
-        # A heavy shard has 1/4096 of all rows at least, so that there are 4096 of them at most: a bound for the broadcast.
-        heavy = sizes.where(F.col("count") > max(leaf_rows, total // 4096)).select("cell", F.ceil(F.col("count") / leaf_rows).cast("int").alias("ways"))
+    if visiting > LARGE * leaf_rows:
+        # A heavy leaf has 1/4096 of all rows at least, so that there are 4096 of them at most: a bound for the broadcast.
+        heavy = sizes.where(F.col("count") > max(LARGE * leaf_rows, visiting // 4096)).select("cell", F.ceil(F.col("count") / (LARGE * leaf_rows)).cast("int").alias("ways"))
         every = F.sequence(F.lit(0), F.col("ways") - 1)
         mine, other = (F.pmod(F.xxhash64("fp", F.lit(x)), F.col("ways")).cast("int") for x in (1, 2))
         meet = F.array_union(F.transform(every, lambda i: i * F.col("ways") + other), F.when(F.col("home"), F.transform(every, lambda j: mine * F.col("ways") + j)).otherwise(F.array().cast("array<int>")))
@@ -170,12 +222,12 @@ def near_pairs(fps: DataFrame, radius: int = RADIUS, block_bits: int | None = No
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(t: pa.Table) -> pa.RecordBatch:
-            cells, r = t.column("key").to_numpy(), t.column("rep").to_numpy()
+            f = t.column("fp").to_numpy()
             home = t.column("home").to_numpy(zero_copy_only=False)
-            a, b = links(cells, home, t.column("fp").to_numpy().view(np.uint64), radius)
-            reps, at = np.unique(r, return_inverse=True)
-            m, low = contract(at[a], at[b], len(reps))
-            return pa.RecordBatch.from_arrays([pa.array(reps[m]), pa.array(reps[low])], ["a", "b"])
+            a, b = links(t.column("key").to_numpy(), home, f.view(np.uint64), radius)
+            own, at = np.unique(f, return_inverse=True)
+            m, low = contract(at[a], at[b], len(own))
+            return pa.RecordBatch.from_arrays([pa.array(own[m]), pa.array(own[low])], ["a", "b"])
 
         held: pa.Table | None = None
         for b in batches:
@@ -188,7 +240,7 @@ def near_pairs(fps: DataFrame, radius: int = RADIUS, block_bits: int | None = No
         if held is not None and len(held):
             yield emit(held)
 
-    keyed = sent.select(F.xxhash64("cell", block).alias("key"), "fp", "rep", "home")
+    keyed = sent.select(F.xxhash64("cell", block).alias("key"), "fp", "home")
     met = keyed.repartition("key").sortWithinPartitions("key", F.desc("home"))
     return met.mapInArrow(search, "a long, b long")
 
@@ -207,56 +259,73 @@ def contract(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarr
             return m, label[m]
 
 
-def components(pairs: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(node, component) of every node in pairs (a, b); the component is its smallest node. Rounds of large-star and small-star."""
-    edges = durable(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
-    mark = None
-    for _ in range(max_rounds):
+def components(pairs: DataFrame) -> DataFrame:
+    """(node, component) of every node in pairs (a, b); the component is its smallest node. Rounds of large-star and small-star, until
+    one changes nothing; their number grows with the logarithm of the longest chain."""
+    spark, at = pairs.sparkSession, scratch(pairs.sparkSession)
+    edges, mark = stored(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), at), None
+    while True:
         both = edges.union(edges.select("b", "a"))
         # The second key keeps this side apart from the join's own exchange, which can then split a hub.
         low = both.groupBy("a", (F.col("a") % 2).alias("_")).agg(F.least(F.min("b"), F.col("a")).alias("m")).drop("_")
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a", (F.col("a") % 2).alias("_")).agg(F.min("b").alias("m")).drop("_")
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").where("a != b").distinct()
-        edges = durable(small)
+        before, at = at, scratch(spark)
+        edges = stored(small, at)
+        remove(spark, before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
         mark = now
-    raise RuntimeError(f"components not settled after {max_rounds} rounds")
 
 
-def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, block_bits: int | None = None) -> DataFrame:
+def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, block_bits: int = 2) -> DataFrame:
     """(doc_id, fp, component_id): a row per row of docs.
 
     component_id is the smallest id that links lead to, the own one included. A null or empty text has
-    fingerprint 0 and is linked like any other. Rows with a null id belong to their fingerprint's component;
-    where all rows of a fingerprint have null ids, it links to nothing and component_id is null. Rows that
-    repeat an id each get a row. An empty table gives an empty result.
+    fingerprint 0 and is linked like any other; a text of any length has one fingerprint, in memory of a few times its size.
+    Rows with a null id link like others; component_id is null where no row of the component has an id. Rows that
+    repeat an id each get a row and link by their own texts. An empty table gives an empty result.
     """
-    own = durable(fingerprints(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "text").select("doc_id", "fp"))
-    reps = durable(own.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    nodes = components(near_pairs(reps.where("rep is not null"), radius, block_bits))
-    roots = reps.join(nodes, reps["rep"] == nodes["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return own.join(roots, "fp", "left").select("doc_id", "fp", "component_id")
+    own = stored(fingerprints(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "text").select("doc_id", "fp"))
+    ids = stored(own.groupBy("fp").agg(F.min("doc_id").alias("id")))
+    linked = stored(components(near_pairs(ids, radius, block_bits)))
+    lows = linked.join(ids, linked["node"] == ids["fp"]).groupBy("component").agg(F.min("id").alias("low"))
+    of_linked = linked.join(lows, "component").select(F.col("node").alias("fp"), "low")
+    return own.join(ids.join(of_linked, "fp", "left").select("fp", F.coalesce("low", "id").alias("component_id")), "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def row_hash(df: DataFrame) -> Column:
+    """64 bits of a whole row."""
+    return F.xxhash64(*[F.to_json(F.struct(c)) if "map<" in kind or "variant" in kind else F.col(c) for c, kind in ((f"`{c}`", kind) for c, kind in df.dtypes)])
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without near-duplicates: of each component the row with the smallest id stays.
+    """docs without near-duplicates: of each component of fingerprints one row stays, that with the smallest id (null: last), then
+    fingerprint, then hash of the row.
 
-    Rows that repeat that id are one row then (any of them). Rows with a null id stay only where no
-    other row of their component has an id.
+    Rows that repeat an id are told apart by their texts: unlike ones stay. Of rows that are equal in all columns one stays.
+    An empty table gives an empty result.
     """
-    found = groups(docs, doc_id, text)
-    keep = durable(found.where("doc_id = component_id").select("doc_id").distinct())
-    out = docs.join(keep.withColumnRenamed("doc_id", "__id"), F.col(doc_id) == F.col("__id"), "left_semi")
-    if docs.groupBy(doc_id).count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates([doc_id])
-    lone = docs.where(F.col(doc_id).isNull())
-    if lone.limit(1).count():
-        rows = lone.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("t"))
-        fp = durable(fingerprints(rows, "t").dropDuplicates(["fp"]))
-        out = out.unionByName(fp.join(found.where("component_id is not null").select("fp").distinct(), "fp", "left_anti").select("row.*"))
+    h, i, many = fresh(docs, "h", "i", "many")
+    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), row_hash(docs).alias("h"), F.col(text).alias("text"))
+    own = stored(fingerprints(slim, "text").select("doc_id", "h", "fp"))
+    rows = stored(own.groupBy("fp", "doc_id", "h").agg(F.count("*").alias("n")))
+    linked = stored(components(near_pairs(stored(rows.select("fp").distinct()))))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "fp", "h", "n")).alias("first")
+    of_fp = rows.groupBy("fp").agg(first)
+    of_component = of_fp.join(linked, of_fp["fp"] == linked["node"], "left").groupBy(F.coalesce("component", "fp")).agg(F.min("first").alias("first"))
+    keep = stored(of_component.select(F.col("first.doc_id").alias(i), F.col("first.h").alias(h), (F.col("first.n") > 1).alias(many)))
+    marked = docs.withColumn(h, row_hash(docs))
+
+    def among(winners: DataFrame) -> DataFrame:
+        w = winners.withColumnRenamed(h, f"{h}w")
+        return marked.join(w, (marked[h] == w[f"{h}w"]) & marked[doc_id].cast("long").eqNullSafe(w[i]), "left_semi")
+
+    out = among(keep.where(~F.col(many))).drop(h)
+    if keep.where(many).limit(1).count():
+        out = out.unionByName(among(keep.where(many)).dropDuplicates([h, doc_id]).drop(h))
     return out
 
 
