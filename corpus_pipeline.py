@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sessionlake.llm import decontam, langid, packing, pii, simhash
 from sessionlake.llm.common import read, shared_dir
 
-#: A prediction under this share of the languages' probabilities is no prediction.
+#: A prediction under this score is none: texts that are too unlike their likeliest language.
 LEAST_SCORE = 0.5
 #: Not SQL: code lengths, fingerprints and packing have no such form. tests/llm/test_pipeline.py checks the stages.
 ORACLE_SQL = None

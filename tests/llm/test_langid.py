@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -65,6 +66,30 @@ def test_segments(spark, monkeypatch, docs):
     assert np.allclose(whole, langid.totals(m, texts), rtol=1e-5)
 
 
+def test_many_languages_and_long_training_texts(spark):
+    """300 labels are all learnt; so are labels whose texts are all long, and rows that share an id."""
+    ids = iter(i for i in range(9999) if zlib.crc32(str(i).encode()) % 4 != 2)
+    rows = [(next(ids), f"{chr(0x4E00 + 3 * k)}{chr(0x4E01 + 3 * k)} {chr(0x4E02 + 3 * k)} " * 4, f"l{k:03}") for k in range(300)]
+    rows += [(next(ids), "lorem ipsum dolor " * 3000, "long") for _ in range(3)] + [(1, f"quid pro quo {i}", "shared") for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = langid.fit(df, order=2)
+    assert set(m.languages) == {r[2] for r in rows}
+    got = {(r["lang"], r["lang_pred"]) for r in langid.identify(df, m).collect()}
+    assert all(a == b for a, b in got)
+
+
+def test_score_tells_unlearnt_languages_and_gibberish(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(1)
+    bad = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz      ", k=k)) for k in (100, 300, 3000)] + ["Η γλώσσα αυτή δεν είναι γνωστή σε κανέναν από εδώ. " * 5, "Ten język jest tutaj nieznany nikomu, więc powinien zostać odrzucony. " * 6]
+    m = langid.fit(docs)
+    planted = langid.identify(spark.createDataFrame([(-1 - i, t) for i, t in enumerate(bad)], "doc_id long, text string"), m).collect()
+    assert all(r["score"] < 0.5 for r in planted)
+    clean = langid.identify(docs.where("lang is not null and text is not null"), m)
+    low = clean.where("score < 0.5 and lang_pred <> 'und'").count()
+    assert low <= 0.002 * docs.count()
+
+
 def test_odd_rows(spark, docs):
     df = docs.withColumn("Score", F.lit("clash"))
     out = langid.identify(df, langid.fit(df))

@@ -1,3 +1,4 @@
+import random
 import sys
 from pathlib import Path
 
@@ -34,9 +35,14 @@ def test_stages_keep_the_columns(spark, stages):
     assert all(after.columns == columns for name, (_, after) in stages.items() if name != "packing")
 
 
-def test_language_stage_drops_texts_without_a_language(stages):
+def test_language_stage_drops_texts_without_a_language(spark, stages):
     before, after = map(by_id, stages["language_id"])
     assert set(before) - set(after) == {d for d, t in before.items() if not any(c.isalpha() for c in t or "")}
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rng = random.Random(7)
+    odd = [(-1 - i, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz      ", k=400)), None, "src0", 400) for i in range(5)]
+    mixed = docs.union(spark.createDataFrame(odd, docs.schema))
+    assert set(by_id(corpus_pipeline.language_id(spark, mixed, SF))) == set(after)
 
 
 def test_dedup_stage_keeps_one_of_each_group(stages):
