@@ -1,35 +1,33 @@
 """Operator 5. Harmonic packing of tokenized documents into fixed-length sequences.
 
-A document's ids (with the end id) are cut into full sequences, then into pieces of
-1/2, 1/4, ... of the capacity down to ``least``, and a tail shorter than that. Lengths
-fall into reciprocal-capacity classes: class k holds lengths over capacity/(k+1) and
-up to capacity/k, and a bin of class k takes k pieces. Cut pieces fill their bins to
-the last token; tails (under 1/32 of the capacity) waste under 1/33 of theirs.
-
-Each worker fills bins by itself: pieces lie in many small lots (hash of the
-document), a count of pieces per lot and class gives every lot its first place in each
-class, and place // k is the bin. No lot, class or document needs one task. What is
-left of each class (under k pieces) goes to shared last bins, longest first; these
-are under 10,000 pieces at any size of input. A last bin that ends at a power of two
-isn't padded.
+Lengths fall into reciprocal-capacity classes: class k holds lengths over capacity/(k+1) and up to capacity/k, and
+a bin of class k takes k pieces. A document's ids (with the end id) are cut into full sequences and a rest. A rest
+that fills its share of a class-k bin to within 1/``slack``, or that is that short itself, stays whole; another gives
+up a piece of capacity/(k+1), the largest share below it, and so on with what is left. So every bin of every class is
+filled but for 1/``slack`` at most, and a document has few pieces.
+
+Each worker fills bins by itself: pieces lie in many small lots (hash of a stored row number, so that equal rows
+spread), a count of pieces per lot and class gives every lot its first place in each class, and place // k is the
+bin. No lot, class or document needs one task. What is left of each class (under k pieces; under 10,000 at any size
+of input) goes to shared last bins, the longest first into the first bin with room.
 """
 
 from __future__ import annotations
 
 import zlib
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, per_row, put
+from .common import durable, fresh, per_row, put, stored
 
-CAPACITY, LEAST, END_ID = 2048, 64, 1
+CAPACITY, SLACK, END_ID = 2048, 32, 1
 #: Words whose ids a Python worker remembers at most.
 WORDS = 800_000
 #: What the tokenizer must see in its whole text: characters that only str.split takes for white space, a letter that
@@ -98,29 +96,29 @@ def tokenizer(name: str) -> Callable[[bytes | None], np.ndarray]:
     return ids
 
 
-def cuts(n: int, capacity: int, least: int) -> list[tuple[int, int]]:
-    """(start, length) of a document's pieces: full ones, then halves of halves down to ``least``, then the rest."""
+def cuts(n: int, capacity: int, slack: int) -> list[tuple[int, int]]:
+    """(start, length) of a document's pieces."""
     out, at = [(k, capacity) for k in range(0, n - capacity + 1, capacity)], n - n % capacity
-    size = capacity // 2
-    while size >= least:
-        if n - at >= size:
-            out.append((at, size))
-            at += size
-        size //= 2
-    return [*out, (at, n - at)] if n > at else out
+    while n > at:
+        rest = n - at
+        k = capacity // rest
+        whole = rest * slack <= capacity or slack * k * rest >= (slack - 1) * capacity
+        out.append((at, rest if whole else capacity // (k + 1)))
+        at += out[-1][1]
+    return out
 
 
 PIECES = pa.struct([("doc_tokens", pa.int64()), ("pieces", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])))])
 SCHEMA = "struct<doc_tokens:long,pieces:array<struct<start:long,length:long,ids_crc32:long,ids:binary>>>"
 
 
-def cut(tokenizer_name: str, capacity: int, least: int, end_id: int, with_ids: bool) -> Callable[[bytes | None], dict]:
+def cut(tokenizer_name: str, capacity: int, slack: int, end_id: int, with_ids: bool) -> Callable[[bytes | None], dict]:
     encode = tokenizer(tokenizer_name)
 
     def one(text: bytes | None) -> dict:
         ids = np.append(encode(text), np.array(end_id, "<u4")).tobytes()
         pieces = []
-        for start, length in cuts(len(ids) // 4, capacity, least):
+        for start, length in cuts(len(ids) // 4, capacity, slack):
             part = ids[4 * start : 4 * (start + length)]
             pieces.append({"start": start, "length": length, "ids_crc32": zlib.crc32(part), "ids": part if with_ids else None})
         return {"doc_tokens": len(ids) // 4, "pieces": pieces}
@@ -128,65 +126,71 @@ def cut(tokenizer_name: str, capacity: int, least: int, end_id: int, with_ids: b
     return one
 
 
-def tokenized(docs: DataFrame, tokenizer_name: str, text: str = "text", capacity: int = CAPACITY, least: int = LEAST, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer_name: str, text: str = "text", capacity: int = CAPACITY, slack: int = SLACK, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """docs with a struct ``cut``: the document's tokens and its pieces (with their ids if asked for)."""
-    return put(docs, cut=per_row(lambda: cut(tokenizer_name, capacity, least, end_id, with_ids), SCHEMA, PIECES, F.col(text)))
+    return put(docs, cut=per_row(lambda: cut(tokenizer_name, capacity, slack, end_id, with_ids), SCHEMA, PIECES, F.col(text)))
+
 
+def first_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bin, offset) of each of a bounded number of pieces, which come longest first."""
+    room, bins, offsets = np.zeros(len(lengths), np.int64) + capacity, [], []
+    for n in lengths.tolist():
+        b = int(np.argmax(room >= n))
+        bins.append(b)
+        offsets.append(capacity - int(room[b]))
+        room[b] -= n
+    return np.array(bins, np.int64), np.array(offsets, np.int64)
 
-def assign(pieces: DataFrame, capacity: int = CAPACITY, lots: int | None = None, lot_by: Column | None = None) -> DataFrame:
-    """pieces (column ``length``, 1 to capacity) with ``sequence_id`` and ``offset``, gapless from 0 within each sequence.
+
+def assign(pieces: DataFrame, row: str, capacity: int = CAPACITY, lots: int | None = None) -> DataFrame:
+    """pieces (columns ``length``, 1 to capacity, and ``row``, a number of its own for each) with ``sequence_id`` and ``offset``, gapless
+    from 0 within each sequence.
 
     ``pieces`` is read more than once: give a stored table. lots: how many, about 20,000 pieces each if None.
-    Rows that are equal in all columns are placed one by one.
     """
     spark = pieces.sparkSession
     lots = lots or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + pieces.count() // 20_000)
-    lot = F.pmod(lot_by if lot_by is not None else F.xxhash64(*pieces.columns), F.lit(lots)).cast("int")
-    k = F.floor(F.lit(capacity) / F.col("length")).cast("int")
-    exact = (F.col("length") * F.col("__k") == capacity) & (F.col("__k").bitwiseAND(F.col("__k") - 1) == 0)
-    # A class is a k, and whether its lengths are exactly capacity / k.
-    rows = pieces.withColumn("__k", k).withColumns({"__lot": lot, "__e": exact}).withColumn("__c", 2 * F.col("__k") + F.col("__e").cast("int"))
-    sizes = rows.groupBy("__c", "__lot").agg(F.count("*").alias("__n"))
-    by_class = Window.partitionBy("__c").orderBy("__lot")
-    classes = durable(sizes.select("__c", "__lot", (F.sum("__n").over(by_class) - F.col("__n")).alias("__first"), F.sum("__n").over(Window.partitionBy("__c")).alias("__all")))
-    within = Window.partitionBy("__lot", "__c").orderBy(*pieces.columns)
-    placed = rows.withColumn("__at", F.row_number().over(within) - 1).join(classes, ["__lot", "__c"])
-    placed = placed.withColumn("__at", F.col("__at") + F.col("__first"))
+    k, lot, at, first, every, bin_, before = fresh(pieces, "k", "lot", "at", "first", "every", "bin", "before")
+    rows = pieces.withColumns({k: F.floor(F.lit(capacity) / F.col("length")).cast("int"), lot: F.pmod(F.xxhash64(row), F.lit(lots)).cast("int")})
+    sizes = rows.groupBy(k, lot).agg(F.count("*").alias(every))
+    by_class = Window.partitionBy(k).orderBy(lot)
+    classes = durable(sizes.select(k, lot, (F.sum(every).over(by_class) - F.col(every)).alias(first), F.sum(every).over(Window.partitionBy(k)).alias(every)))
+    placed = rows.withColumn(at, F.row_number().over(Window.partitionBy(lot, k).orderBy(row)) - 1).join(classes, [lot, k])
+    placed = placed.withColumn(at, F.col(at) + F.col(first))
     # Sequence numbers: classes one after another, then the last bins.
     base, n = {}, 0
-    for r in classes.groupBy("__c").agg(F.first("__all").alias("a")).orderBy(F.desc("__c")).collect():  # at most 2 * capacity rows
-        base[r["__c"]] = n
-        n += r["a"] // (r["__c"] // 2)
+    for r in classes.groupBy(k).agg(F.first(every).alias("a")).orderBy(k).collect():  # at most a row per length
+        base[r[k]] = n
+        n += r["a"] // r[k]
     bases = F.create_map(*[F.lit(x) for kv in base.items() for x in kv]) if base else F.create_map(F.lit(0), F.lit(0))
-    full = F.col("__at") < F.col("__all") - F.col("__all") % F.col("__k")
-    main = placed.where(full).withColumn("__bin", F.floor(F.col("__at") / F.col("__k")))
-    main = main.withColumn("sequence_id", bases[F.col("__c")] + F.col("__bin"))
-    cutted = main.where("__e").withColumn("offset", (F.col("__at") % F.col("__k")) * F.col("length"))
-    tails = main.where("not __e").withColumn("offset", F.sum("length").over(Window.partitionBy("__c", "__bin").orderBy("__at")) - F.col("length"))
-    # Last bins. Exact lengths, longest first, stay aligned and cross no bin's end. A tail belongs to the bin in
-    # which it starts; as much room as the longest tail needs is kept free at each bin's end.
-    rest = durable(placed.where(~full))
-    filled, longest = rest.agg(F.sum(F.when(F.col("__e"), F.col("length"))), F.max(F.when(~F.col("__e"), F.col("length")))).first()
-    so_far = Window.partitionBy("__e").orderBy(F.desc("length"), *pieces.columns).rowsBetween(Window.unboundedPreceding, 0)
-    rest = rest.withColumn("__sum", F.sum("length").over(so_far) - F.col("length"))
-    aligned = rest.where("__e").withColumns({"sequence_id": n + F.floor(F.col("__sum") / capacity), "offset": F.col("__sum") % capacity})
-    other = rest.where("not __e").withColumn("__bin", F.floor(F.col("__sum") / max(1, capacity - (longest or 1) + 1)))
-    after = n + 1 + (filled or 0) // capacity
-    other = other.withColumns({"sequence_id": after + F.col("__bin"), "offset": F.col("__sum") - F.min("__sum").over(Window.partitionBy("__bin"))})
-    parts = [x.select(*pieces.columns, F.col("sequence_id").cast("long"), F.col("offset").cast("long")) for x in (cutted, tails, aligned, other)]
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.union(x)
-    return out
-
-
-def pack(docs: DataFrame, tokenizer_name: str = "word_bpe_49k.json", doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, least: int = LEAST, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, (ids,) sequence_id, offset.
-
-    A null or empty text is the end id alone. Rows that repeat a document are packed one by one, rows with a
+    full = F.col(at) < F.col(every) - F.col(every) % F.col(k)
+    main = placed.where(full).withColumns({bin_: F.floor(F.col(at) / F.col(k)), "sequence_id": (bases[F.col(k)] + F.floor(F.col(at) / F.col(k))).cast("long")})
+    main = main.withColumn("offset", F.sum("length").over(Window.partitionBy(k, bin_).orderBy(at)) - F.col("length"))
+    kind = pa.schema([(row, pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        t = pa.Table.from_batches(held).sort_by([("length", "descending"), (row, "ascending")])
+        bins, offsets = first_fit(t.column("length").to_numpy(), capacity)
+        yield pa.RecordBatch.from_arrays([t.column(row).combine_chunks(), pa.array(bins + n), pa.array(offsets)], schema=kind)
+
+    rest = durable(placed.where(~full).drop(k, lot, at, first, every))  # bounded by the classes
+    ends = rest.select(F.col(row).cast("long").alias(row), F.col("length").cast("long").alias("length")).coalesce(1).mapInArrow(last, f"`{row}` long, sequence_id long, offset long")
+    columns = [*pieces.columns, F.col("sequence_id"), F.col("offset").cast("long").alias("offset")]
+    return main.select(*columns).union(rest.join(ends, row).select(*columns))
+
+
+def pack(docs: DataFrame, tokenizer_name: str = "word_bpe_49k.json", doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, slack: int = SLACK, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+    """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with_ids: ids (little-endian unsigned 32-bit
+    numbers), which are shuffled once.
+
+    A null or empty text is the end id alone; a text of any length is tokenized whole. Rows that repeat a document are packed one by one, rows with a
     null id too. An empty table gives an empty result.
     """
-    cut_ = tokenized(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), tokenizer_name, "text", capacity, least, end_id, with_ids)
+    cut_ = tokenized(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), tokenizer_name, "text", capacity, slack, end_id, with_ids)
     rows = cut_.select("doc_id", "cut.doc_tokens", F.explode("cut.pieces").alias("p"))
-    pieces = rows.select("doc_id", "p.start", "p.length", "p.ids_crc32", "doc_tokens", *(["p.ids"] if with_ids else []))
-    return assign(durable(pieces), capacity, lot_by=F.xxhash64("doc_id", "start"))
+    pieces = stored(rows.select("doc_id", "p.start", "p.length", "p.ids_crc32", "doc_tokens", *(["p.ids"] if with_ids else []), F.monotonically_increasing_id().alias("row")))
+    out = assign(pieces.drop("ids"), "row", capacity)
+    return (out.join(pieces.select("row", "ids"), "row") if with_ids else out).drop("row")

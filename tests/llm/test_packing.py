@@ -40,14 +40,22 @@ def test_query_is_a_packing(spark, sf):
     rows = queries.op5_packing(spark, sf).collect()
     padding, n = check(rows, texts)
     assert padding < 0.03 * 2048 * n
+    assert len(rows) < 3 * len(texts)
+
+
+def test_cuts():
+    for n in (*range(1, 5000), 100_000):
+        pieces = packing.cuts(n, 2048, 32)
+        assert [a for a, _ in pieces] == [sum(m for _, m in pieces[:i]) for i in range(len(pieces))] and sum(m for _, m in pieces) == n
+        for _, m in pieces:  # a bin of its class is filled but for 1/32 and rounding
+            assert 0 < m <= 2048 and (m <= 64 or 2048 // m * m >= 2048 * 31 / 32 - 2048 // m)
 
 
 def test_lots_and_small_capacity(spark):
-    rows = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") % 61 + 1).alias("length"), F.lit(1).alias("z"))
-    rows = rows.union(spark.range(3000, 4000).select("id", F.lit(64).cast("long"), F.lit(1)))
+    rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 3000, F.col("id") % 61 + 1).otherwise(64).alias("length"), F.lit(1).alias("__k"))
     for lots in (1, 7):
-        got = packing.assign(rows.union(rows.limit(5)), 64, lots).collect()
-        assert len(got) == 4005
+        got = packing.assign(rows, "doc_id", 64, lots).collect()
+        assert len(got) == 4000
         by = defaultdict(list)
         for r in got:
             by[r["sequence_id"]].append((r["offset"], r["length"]))
@@ -57,7 +65,17 @@ def test_lots_and_small_capacity(spark):
                 assert o == at
                 at += n
             assert at <= 64
-    assert packing.assign(rows.limit(0), 64).count() == 0
+    assert packing.assign(rows.limit(0), "doc_id", 64).count() == 0
+
+
+def test_equal_rows_spread_over_lots(spark):
+    """Equal documents, and null ids, lie in many lots: none holds more than twice its share."""
+    docs = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same words").alias("text"))
+    pieces = packing.stored(docs.withColumn("row", F.monotonically_increasing_id()))
+    lots = [r["count"] for r in pieces.groupBy(F.pmod(F.xxhash64("row"), F.lit(40))).count().collect()]
+    assert len(lots) == 40 and max(lots) < 2 * 500
+    got = packing.pack(docs.limit(3000)).groupBy("sequence_id").agg(F.count("*").alias("n"), F.sum("length").alias("tokens")).collect()
+    assert sum(r["n"] for r in got) == 3000 and max(r["tokens"] for r in got) <= 2048
 
 
 def test_blocks_equal_whole_text():
@@ -68,6 +86,7 @@ def test_blocks_equal_whole_text():
 
 def test_odd_rows(spark, docs):
     got = packing.pack(docs.limit(10), with_ids=True).collect()
+    assert all(zlib.crc32(r["ids"]) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"] for r in got)
     assert sum(r["length"] for r in got if r["doc_id"] == 2) == 2 * next(r["doc_tokens"] for r in got if r["doc_id"] == 2)
     assert [r["doc_tokens"] for r in got if r["doc_id"] in (3, 4, 5)] == [1, 1, 1]
     assert any(r["doc_id"] is None for r in got)
