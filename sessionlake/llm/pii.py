@@ -2,7 +2,7 @@
 
 Fixed formats (email, ip, card, phone) always count. Beside them, generators with high recall propose
 spans that may overlap each other: anything around an @ sign, spelled-out addresses, dotted numbers, and
-every long run of digits and separators, read as a card and as a phone number. Trees that were boosted on
+every long run of digits and separators, read as a card (12 to 19 digits) and as a phone number (7 to 15). Trees that were boosted on
 format and context features score each proposal; a proposal at or above its kind's calibrated threshold is
 redacted too. Of overlapping proposals the best score wins (ties: the first one, then the kind as listed), and
 none may overlap a fixed-format span.
@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import put
+from .common import stored
 from .spans import locate, none, of_kind, overlap, redacted
 
 # Fixed formats, as the result's contract states them, in forms that take linear time.
@@ -97,8 +97,11 @@ def proposals(df: DataFrame, text: str) -> DataFrame:
     df = locate(df, "__s_", text, "email", SPELLED, where=F.lower(text).rlike(r"[\[(]at[\])]"))
     df = locate(df, "__i", text, "ip", DOTTED, where=some & F.col(text).contains("."))
     df = locate(df, "__c", text, "card", DIGITS, where=some)
-    phones = F.transform("__c", lambda s: s.withField("kind", F.lit("phone")))
-    df = df.withColumn("__all", F.concat("__e", "__s_", "__i", "__c", phones)).drop("__e", "__s_", "__i", "__c")
+
+    def read_as(kind: str, least: int, most: int) -> Column:
+        return F.transform(F.filter("__c", lambda s: F.length(digits(s["value"])).between(least, most)), lambda s: s.withField("kind", F.lit(kind)))
+
+    df = df.withColumn("__all", F.concat("__e", "__s_", "__i", read_as("card", 12, 19), read_as("phone", 7, 15))).drop("__e", "__s_", "__i", "__c")
 
     def features(s: Column) -> Column:
         v, before = s["value"], s["before"]
@@ -196,22 +199,27 @@ def boost(x: np.ndarray, yes: np.ndarray, no: np.ndarray, trees: int = 12, depth
 def likely(c: Column) -> Column:
     """Whether a proposal outside the fixed formats is taken for personal data in training: its format check holds, and numbers follow a context word."""
     f, before, n = c["f"], c["s"]["before"], F.length(digits(c["s"]["value"]))
-    card = n.between(13, 15) & (f["luhn"] == 1) & before.rlike(CHARGED)
+    card = n.between(13, 19) & (f["luhn"] == 1) & before.rlike(CHARGED)
     return F.when(f["kind"] == 0, f["at"] != 1).when(f["kind"] == 2, card).when(f["kind"] == 3, n.between(7, 15) & before.rlike(CALLED)).otherwise(False)
 
 
-def fit(df: DataFrame, doc_id: str, precision: float) -> Model | None:
-    """The model from documents with ``__base`` and ``__cand``; None without examples."""
+def counted(df: DataFrame) -> list:
+    """Rows (half, f, free, yes, n) from documents with ``id``, ``base`` and ``cand``: how often each feature vector occurs, and as an example."""
+
     def rows_of(c: Column) -> Column:
-        f, own = c["f"], F.exists("__base", lambda b: (b["kind"] == c["s"]["kind"]) & overlap(b, c["s"]))
-        free = ~F.exists("__base", lambda b: overlap(b, c["s"]))
+        f, own = c["f"], F.exists("base", lambda b: (b["kind"] == c["s"]["kind"]) & overlap(b, c["s"]))
+        free = ~F.exists("base", lambda b: overlap(b, c["s"]))
         row = lambda f, y, free: F.struct(f.alias("f"), y.alias("y"), free.alias("free"))
         masked = F.struct(*[F.lit(0).alias(k) if k in ("lead", "at") else f[k].alias(k) for k, _ in FEATURES])
         return F.when(own, F.array(row(f, F.lit(True), free), row(masked, F.lit(True), free))).otherwise(F.array(row(f, free & likely(c), free)))
 
-    c = F.explode(F.flatten(F.transform("__cand", rows_of)))
-    seen = df.where(F.size("__cand") > 0).select(F.pmod(F.xxhash64(doc_id), F.lit(2)).alias("half"), c.alias("c"))
-    table = seen.groupBy("half", "c.f", "c.free").agg(F.sum(F.col("c.y").cast("long")).alias("yes"), F.count("*").alias("n")).orderBy("half", "f", "free").collect()
+    c = F.explode(F.flatten(F.transform("cand", rows_of)))
+    seen = df.where(F.size("cand") > 0).select(F.pmod(F.xxhash64("id"), F.lit(2)).alias("half"), c.alias("c"))
+    return seen.groupBy("half", "c.f", "c.free").agg(F.sum(F.col("c.y").cast("long")).alias("yes"), F.count("*").alias("n")).orderBy("half", "f", "free").collect()
+
+
+def learn(table: list, precision: float) -> Model | None:
+    """The model from the rows of ``counted``; None without any."""
     if not table:
         return None
     x = np.array([list(r["f"]) for r in table])
@@ -230,24 +238,28 @@ def fit(df: DataFrame, doc_id: str, precision: float) -> Model | None:
     return model
 
 
-def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", precision: float = 0.995) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", precision: float = 0.995, keep_text: bool = True) -> DataFrame:
     """docs with ``base_spans`` and ``spans`` (arrays of kind, start, end, value, part, before, after, by kind as listed, then start; they
-    replace columns of these names).
+    replace columns of these names); without the text unless keep_text.
 
-    A null text counts as empty. Equal texts get equal spans. Rows with a null id take part in training like others.
-    An empty table gives an empty result.
+    Texts are searched once: what was found is stored (with the text only if that is kept), counted for the model, and read again. A null text counts as empty. Equal texts get equal
+    spans. Texts of any length are searched whole, in time that is linear in their length but for proposals times fixed spans. Rows with a null id take
+    part in training like others. Any column names of docs may be used. An empty table gives an empty result.
     """
-    slim = docs.withColumn("__t", F.coalesce(F.col(text), F.lit("")))
-    df = proposals(base(slim, "__t"), "__t")
-    model = fit(df, doc_id, precision)
-    if model is None or not model.thresholds:
-        return put(df, base_spans=F.col("__base"), spans=F.col("__base")).drop("__t", "__base", "__cand", "__digit")
-    free = F.filter("__cand", lambda c: ~F.exists("__base", lambda b: overlap(b, c["s"])) & model.chosen(c["f"]))
-    ranked = F.array_sort(F.transform(free, lambda c: F.struct((-model.score(c["f"])).alias("r"), c["s"]["start"].alias("start"), c["f"]["kind"].alias("kind"), c["s"].alias("s"))))
-    df = df.withColumn("__new", F.when(F.size("__cand") > 0, ranked))
-    picked = F.aggregate("__new", none(), lambda a, c: F.when(F.exists(a, lambda s: overlap(s, c["s"])), a).otherwise(F.concat(a, F.array(c["s"]))))
-    df = df.withColumn("__new", F.when(F.size("__new") > 0, picked).otherwise(none()))
-    return put(df, base_spans=F.col("__base"), spans=F.when(F.size("__new") > 0, by_kind(F.concat("__base", "__new"))).otherwise(F.col("__base"))).drop("__t", "__base", "__cand", "__digit", "__new")
+    kept = [c for c in docs.columns if c.lower() not in ("base_spans", "spans") and (keep_text or c != text)]
+    slim = docs.select(F.coalesce(F.col(text), F.lit("")).alias("__t"), F.col(doc_id).alias("id"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"))
+    found = proposals(base(slim, "__t"), "__t")
+    df = stored(found.select("id", "row", F.col("__base").alias("base"), F.col("__cand").alias("cand")))
+    model = learn(counted(df.select("id", "base", "cand")), precision)
+    spans = F.col("base")
+    if model is not None and model.thresholds:
+        free = F.filter("cand", lambda c: ~F.exists("base", lambda b: overlap(b, c["s"])) & model.chosen(c["f"]))
+        ranked = F.array_sort(F.transform(free, lambda c: F.struct((-model.score(c["f"])).alias("r"), c["s"]["start"].alias("start"), c["f"]["kind"].alias("kind"), c["s"].alias("s"))))
+        df = df.withColumn("new", F.when(F.size("cand") > 0, ranked))
+        picked = F.aggregate("new", none(), lambda a, c: F.when(F.exists(a, lambda s: overlap(s, c["s"])), a).otherwise(F.concat(a, F.array(c["s"]))))
+        df = df.withColumn("new", F.when(F.size("new") > 0, picked).otherwise(none()))
+        spans = F.when(F.size("new") > 0, by_kind(F.concat("base", "new"))).otherwise(F.col("base"))
+    return df.select(*[F.col("row")[c].alias(c) for c in kept], F.col("base").alias("base_spans"), spans.alias("spans"))
 
 
 def by_kind(spans: Column) -> Column:

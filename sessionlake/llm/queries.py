@@ -18,7 +18,7 @@ def span_counts(kinds: tuple[str, ...]) -> list[Column]:
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = secrets.scan(read(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
     return found.select("doc_id", *span_counts(secrets.KINDS[:3]), F.sha2(said(F.col("base_spans")), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
 
 
@@ -66,7 +66,7 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = pii.scan(read(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
     return found.select("doc_id", *span_counts(pii.KINDS), F.sha2(said(F.col("base_spans")), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
 
 

@@ -2,9 +2,9 @@
 
 All in Spark's own functions; rows never meet, but for a histogram of p-values.
 
-A token of 16 or more characters that mixes digits and letters, or cases inside a
-word, is a candidate. Its encoding is inferred from its characters (hex, base 32,
-base 36, base 64), and its symbols become numbers of that alphabet. Tests:
+Every run of 16 or more token characters that holds a letter is a candidate (runs of digits alone are not: numbers of
+orders, cards and accounts look random too). Its encoding is inferred from its characters (hex, letters of one case,
+base 32, base 36, base 64), and its symbols become numbers of that alphabet. Tests:
 
 * chi-squared against a uniform alphabet, turned round: the null hypothesis is text
   whose symbols are as uneven as written language (effect size by encoding), under which
@@ -25,7 +25,7 @@ from math import sqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import put
+from .common import stored
 from .spans import locate, none, overlap
 
 # Fixed formats, as the result's contract states them.
@@ -35,10 +35,11 @@ ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 KINDS = ("assign", "access", "hex", "random")
 
-TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[0-9+/_=-]*+[A-Za-z])(?=[A-Za-z+/_=-]*+[0-9]|[a-z0-9+/_=-]++[A-Z]|[A-Z0-9+/_=-]{2,}+[a-z])[A-Za-z0-9+/_=-]{16,}+"
+TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{16,}+"
 #: Inferred encodings in the order they are tried: name, pattern, alphabet, effect size (k * sum of squared symbol shares - 1 in written text).
 ENCODINGS = (
     ("hex", "^(?:[0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", 1.2),
+    ("letters", "^(?:[a-z]+|[A-Z]+)$", "abcdefghijklmnopqrstuvwxyz", 0.7),
     ("base32", "^[A-Z2-7]+=*$", "abcdefghijklmnopqrstuvwxyz234567", 1.2),
     ("base36", "^(?:[0-9a-z]+|[0-9A-Z]+)$", "0123456789abcdefghijklmnopqrstuvwxyz", 1.3),
     ("base64", "", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_", 2.2),
@@ -112,30 +113,30 @@ def by_start(spans: Column) -> Column:
     return F.when(F.size(spans) > 1, F.transform(F.array_sort(keyed), lambda x: x["s"])).otherwise(spans)
 
 
-def scan(docs: DataFrame, text: str = "text", alpha: float = 0.005, rate: float = 0.05) -> DataFrame:
-    """docs with ``base_spans`` and ``spans`` (arrays of kind, start, end, value, part, before, after; they replace columns of these names).
+def scan(docs: DataFrame, text: str = "text", alpha: float = 0.005, rate: float = 0.05, keep_text: bool = True) -> DataFrame:
+    """docs with ``base_spans`` and ``spans`` (arrays of kind, start, end, value, part, before, after; they replace columns of these names);
+    without the text unless keep_text.
 
     spans are the base ones and those of kind ``random``: candidates that the battery and the false-discovery control
-    (``rate``) select and that overlap no base span. A null text counts as empty. Equal texts get equal spans.
-    An empty table gives an empty result.
+    (``rate``) select and that overlap no base span. Candidates of equal p-value bins are selected together or not at all. Texts are searched once, whole, in
+    time linear in their length but for candidates times base spans; what was found is stored (with the text only if that is kept) and read again when the
+    histogram is known. A null text counts as empty. Equal texts get equal spans. Any column names of docs may be used. An empty table gives an empty result.
     """
-    slim = docs.withColumn("__t", F.coalesce(F.col(text), F.lit("")))
-    df = base(slim, "__t")
-    df = locate(df, "__c", "__t", "random", TOKEN)
+    kept = [c for c in docs.columns if c.lower() not in ("base_spans", "spans") and (keep_text or c != text)]
+    slim = docs.select(F.coalesce(F.col(text), F.lit("")).alias("__t"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"))
+    df = locate(base(slim, "__t"), "__c", "__t", "random", TOKEN)
     free = F.filter("__c", lambda c: ~F.exists("__base", lambda b: overlap(b, c)))
-    df = df.withColumn("__c", F.when(F.size("__c") > 0, free).otherwise(none()))
-    df = df.withColumn("__p", F.transform("__c", lambda c: tested(c["value"], alpha)))
-    seen = df.where(F.size("__p") > 0).select(F.explode("__p").alias("p")).groupBy(band(F.col("p.n")).alias("band"), p_bin(F.col("p.p")).alias("bin")).count()
+    df = df.select("row", F.col("__base").alias("base"), F.when(F.size("__c") > 0, free).otherwise(none()).alias("cand"))
+    df = stored(df.withColumn("tests", F.transform("cand", lambda c: tested(c["value"], alpha))))
+    seen = df.where(F.size("tests") > 0).select(F.explode("tests").alias("p")).groupBy(band(F.col("p.n")).alias("band"), p_bin(F.col("p.p")).alias("bin")).count()
     down = Window.partitionBy("band").orderBy(F.desc("bin"))
     edge = F.pow(F.lit(10.0), -F.col("bin") / BINS_PER_DECADE)  # the largest p of a bin
     passing = edge <= rate * F.sum("count").over(down) / F.sum("count").over(Window.partitionBy("band"))
     limits = {r["band"]: r["bin"] for r in seen.withColumn("ok", passing).where("ok").groupBy("band").agg(F.min("bin").alias("bin")).collect()}  # a row per band
-    chosen = F.lit(False)
-    found = F.zip_with("__c", "__p", lambda c, p: F.struct(c.alias("c"), p.alias("p")))
+    spans = F.col("base")
     if limits:
         least = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])
-        picked = F.transform(F.filter(found, lambda x: F.coalesce(p_bin(x["p"]["p"]) >= least[band(x["p"]["n"])], chosen)), lambda x: x["c"])
-    else:
-        picked = none()
-    spans = F.when(F.size("__c") > 0, by_start(F.concat("__base", picked))).otherwise(F.col("__base"))
-    return put(df, base_spans=F.col("__base"), spans=spans).drop("__t", "__base", "__c", "__p")
+        both = F.zip_with("cand", "tests", lambda c, p: F.struct(c.alias("c"), p.alias("p")))
+        picked = F.transform(F.filter(both, lambda x: F.coalesce(p_bin(x["p"]["p"]) >= least[band(x["p"]["n"])], F.lit(False))), lambda x: x["c"])
+        spans = F.when(F.size("cand") > 0, by_start(F.concat("base", picked))).otherwise(F.col("base"))
+    return df.select(*[F.col("row")[c].alias(c) for c in kept], F.col("base").alias("base_spans"), spans.alias("spans"))

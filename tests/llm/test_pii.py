@@ -1,6 +1,8 @@
 import hashlib
 import re
+from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 from sessionlake.llm import pii, queries
 from sessionlake.llm.spans import redacted, said
@@ -50,8 +52,90 @@ def test_query_equals_brute_force(spark):
     rows = queries.op10_pii(spark, sf).collect()
     assert len(rows) == len(texts)
     check(rows, texts)
-    # Nothing but fixed formats is personal data here, and nothing else may be redacted.
-    assert sum(len(r["spans"].split(",")) if r["spans"] else 0 for r in rows) == sum(len(brute(t)) for t in texts.values())
+
+
+def brute_features(text):
+    """Proposals with their features, as the operator's docstrings state them: (start, end, kind, features)."""
+    hits = [(0, m) for m in re.finditer(r"(?<![^\s@\"'<>()|,;])[^\s@\"'<>()|,;]+@[^\s@\"'<>()|,;]+", text)]
+    hits += [(0, m) for m in re.finditer(r"(?i)(?<![a-z0-9._-])[a-z0-9._-]{1,64} ?[\[(]at[\])] ?[a-z0-9-]{1,64}(?: ?(?:[\[(]dot[\])]|\.) ?[a-z0-9-]{1,64}){1,4}", text)]
+    hits += [(1, m) for m in re.finditer(r"(?<![0-9.])[0-9]+(?:\.[0-9]+){3,}", text)]
+    runs = list(re.finditer(r"(?<![0-9A-Za-z])[+(]?[0-9](?:[ ().\-/]{0,2}[0-9]){6,}", text))
+    hits += [(k, m) for k in (2, 3) for m in runs]
+    for kind, m in hits:
+        v, before = m[0], text[max(0, m.start() - 24) : m.start()]
+        d = re.sub("[^0-9]", "", v)
+        n = len(d)
+        if kind > 1 and not (12 <= n <= 19 if kind == 2 else 7 <= n <= 15):
+            continue
+        beside = lambda c: 2 if re.fullmatch(r"[^\W_]", c) else 1 if re.fullmatch(r"\S", c) else 0
+        yield m.start(), m.end(), kind, (
+            kind, 1 if v[0] == "+" else 2 if v[0] == "(" else 0, sum(n >= x for x in (7, 8, 12, 16, 17, 20)), min(3, len(re.findall(r"[ \-/]", v))), min(3, v.count(".")), int("(" in v),
+            int(12 <= n <= 19 and luhn(d)), int(kind == 1 and all(int(x) <= 255 for x in v.split("."))), 2 if re.search(r"@.*\.[A-Za-z]{2,10}$", v) else int("@" in v),
+            next((i for i, w in enumerate(pii.CONTEXT, 1) if re.search(w, before)), 0), beside(text[m.start() - 1 : m.start()]), beside(text[m.end() : m.end() + 1]),
+        )
+
+
+def planted(n):
+    """Texts with fixed formats and other numbers; in every fourth a spelled-out address, a national number, or a card in another spelling."""
+    rows, want = [], {}
+    for i in range(n):
+        plain = f"write to user{i}@host{i % 7}.com now or dial +49 30 {1000000 + i}, order {20000000 + 37 * i} is version 1.2.{i}, ISBN 978-3-16-{148000 + i}-0"
+        short = next(d for d in (f"3782822463{i:04d}{k}" for k in range(10)) if luhn(d))
+        spaced = next(d for d in (f"41111111{i:07d}{k}" for k in range(10)) if luhn(d))
+        spaced = ".".join(spaced[k : k + 4] for k in range(0, 16, 4))
+        said = [("email", f"user{i} [at] host{i % 7} [dot] com"), ("phone", f"030 {5550000 + i}"), ("card", short), ("card", spaced)][i // 4 % 4]
+        lead = {"email": "contact ", "phone": "phone ", "card": "visa card "}[said[0]]
+        if i % 4 == 0:
+            want[i] = {said}
+        rows.append((i, f"{plain}. " + (f"{lead}{said[1]} please" if i % 4 == 0 else "nothing else")))
+    return rows, want
+
+
+def added(rows):
+    return {r["doc_id"]: {(s["kind"], s["value"]) for s in r["spans"]} - {(s["kind"], s["value"]) for s in r["base_spans"]} for r in rows}
+
+
+def test_planted_formats_among_real_documents(spark):
+    """Recall of 0.9 at a precision of 0.95 for formats outside the base, planted among the documents of sf0.01."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows, want = planted(400)
+    got = added(pii.scan(docs.union(spark.createDataFrame([(-1 - i, t) for i, t in rows], "doc_id long, text string"))).collect())
+    every = sum(len(x) for x in got.values())
+    right = sum(len(got[-1 - i] & x) for i, x in want.items())
+    assert right >= 0.9 * len(want) and right >= 0.95 * every, (right, every, len(want))
+
+
+def test_fit_and_selection_equal_brute_force(spark):
+    rows, want = planted(200)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    half = {r["doc_id"]: r["h"] for r in df.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("h")).collect()}
+    table = Counter()
+    yes = Counter()
+    for i, t in rows:
+        base = brute(t)
+        for a, b, kind, f in brute_features(t):
+            over = [k for k, x, y in base if x < b and a < y]
+            before, n = t[max(0, a - 24) : a], len(re.sub("[^0-9]", "", t[a:b]))
+            asked = {0: f[8] != 1, 2: 13 <= n <= 19 and f[6] == 1 and bool(re.search(pii.CHARGED, before)), 3: 7 <= n <= 15 and bool(re.search(pii.CALLED, before))}.get(kind, False)
+            own = pii.KINDS[kind] in over
+            for g in ((f, (*f[:1], 0, *f[2:8], 0, *f[9:])) if own else (f,)):
+                table[half[i], g, not over] += 1
+                yes[half[i], g, not over] += own or (not over and asked)
+    counted = [{"half": h, "f": f, "free": free, "yes": yes[h, f, free], "n": n} for (h, f, free), n in sorted(table.items())]
+    model = pii.learn(counted, 0.995)
+    for i, r in added(pii.scan(df).collect()).items():
+        t, base = rows[i][1], brute(rows[i][1])
+        scored = []
+        for a, b, kind, f in brute_features(t):
+            x = np.array([f])
+            score = 1 / (1 + np.exp(-(model.start + sum(pii.apply_tree(tree, x)[0] for tree in model.trees))))
+            if not any(p < b and a < q for _, p, q in base) and score >= model.thresholds.get(kind, 2):
+                scored.append((-score, a, kind, b))
+        taken = []
+        for _, a, kind, b in sorted(scored):
+            if not any(p < b and a < q for p, q, _ in taken):
+                taken.append((a, b, pii.KINDS[kind]))
+        assert {(k, t[a:b]) for a, b, k in taken} == r == want.get(i, set()), i
 
 
 ODD = [
@@ -79,6 +163,8 @@ def test_redaction(spark, docs):
     df = spark.createDataFrame([(1, "😀 mail a@b.co or +1 234 567 89!", 5), (2, None, None), (3, "none", 4), (3, "none", 4)], "doc_id long, text string, n_chars long")
     got = sorted(map(tuple, pii.redact(df).collect()), key=repr)
     assert got == sorted([(1, "😀 mail <EMAIL> or <PHONE>!", 26), (2, None, None), (3, "none", 4), (3, "none", 4)], key=repr)
+    named = docs.select("*", *[F.lit(1).alias(c) for c in ("__t", "__e", "__digit", "row", "cand")])
+    assert pii.scan(named).columns == [*named.columns, "base_spans", "spans"]
     assert pii.redact(docs).columns == docs.columns and pii.redact(docs).count() == docs.count()
     assert pii.redact(docs.limit(0)).count() == 0
     over = spark.sql("SELECT 'abcdef' AS t, array(named_struct('kind','ip','start',1,'end',3), named_struct('kind','card','start',2,'end',5)) AS s")
@@ -86,8 +172,6 @@ def test_redaction(spark, docs):
 
 
 def test_boosting_learns_and_calibrates():
-    import numpy as np
-
     rng = np.random.default_rng(1)
     x = np.stack([rng.integers(0, most + 1, 400) for _, most in pii.FEATURES], axis=1)
     yes = ((x[:, 2] > 3) & (x[:, 6] == 1)) * 10.0
@@ -97,8 +181,6 @@ def test_boosting_learns_and_calibrates():
 
 
 def test_trees_as_sql_equal_the_model(spark):
-    import numpy as np
-
     rng = np.random.default_rng(2)
     x = np.stack([rng.integers(0, most + 1, 60) for _, most in pii.FEATURES], axis=1)
     yes = rng.integers(0, 5, 60).astype(float)
@@ -108,21 +190,3 @@ def test_trees_as_sql_equal_the_model(spark):
     df = spark.createDataFrame(rows, "i int, f struct<" + ",".join(f"{n}:int" for n, _ in pii.FEATURES) + ">")
     got = {r["i"]: r["s"] for r in df.select("i", m.score(F.col("f")).alias("s")).collect()}
     assert np.allclose([got[i] for i in range(60)], want)
-
-
-def test_formats_outside_the_base_are_learnt(spark):
-    """Among fixed formats and other numbers, spelled-out addresses, national phone numbers and short cards are found."""
-    rows, want = [], {}
-    for i in range(400):
-        plain = f"write to user{i}@host{i % 7}.com now or dial +49 30 {1000000 + i}, order {20000000 + 37 * i} is version 1.2.{i}"
-        short = next(d for d in (f"3782822463{i:04d}{k}" for k in range(10)) if luhn(d))
-        said = [("email", f"user{i} [at] host{i % 7} [dot] com"), ("phone", f"030 {5550000 + i}"), ("card", short)][i % 3]
-        lead = {"email": "contact ", "phone": "phone ", "card": "visa card "}[said[0]]
-        text = f"{plain}. " + (f"{lead}{said[1]} please" if i % 4 == 0 else "nothing else")
-        if i % 4 == 0:
-            want[i] = {(said[0], said[1])}
-        rows.append((i, text))
-    got = pii.scan(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "base_spans", "spans").collect()
-    for r in got:
-        fixed = {(s["kind"], s["value"]) for s in r["base_spans"]}
-        assert {(s["kind"], s["value"]) for s in r["spans"]} - fixed == want.get(r["doc_id"], set()), r["doc_id"]

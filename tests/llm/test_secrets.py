@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -62,11 +63,41 @@ def test_random_tokens_are_found_and_written_text_is_not(spark):
     assert not any(rows[len(keys) + i] for i in range(len(plain)))
 
 
+def test_planted_tokens_among_real_documents(spark):
+    """Recall by length of random tokens among the documents of sf0.01; nothing else is taken."""
+    rng = random.Random(8)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    alphabets = ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+    planted = {-1 - i: (n, "a b c " + "".join(rng.choices(alphabets[i % 3], k=n)) + " d e") for i, n in enumerate(n for n in (20, 24, 32, 40, 64) for _ in range(30))}
+    got = {r["doc_id"]: r["n"] for r in secrets.scan(docs.union(spark.createDataFrame([(d, t) for d, (_, t) in planted.items()], "doc_id long, text string"))).select("doc_id", F.size(F.filter("spans", lambda s: s["kind"] == "random")).alias("n")).collect()}
+    assert not any(n for d, n in got.items() if d >= 0)
+    recall = {n: sum(got[d] for d, (m, _) in planted.items() if m == n) / 30 for n in (20, 24, 32, 40, 64)}
+    assert recall[64] > 0.95 and recall[40] > 0.9 and recall[32] > 0.6, recall
+
+
+def test_selection_equals_brute_force(spark):
+    """Benjamini-Hochberg by length band over all candidates, on bins of p-values, in plain Python."""
+    rng = random.Random(12)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=rng.choice([18, 26, 40]))) for _ in range(30)]
+    texts += [" ".join(rng.choices(["thequickbrownfoxjumpsover", "incomprehensibilities", "xx-yy-zz-xx-yy-zz-xx", "aAbBcCdDeEfFgGhHiIjJ"], k=3)) for _ in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tokens = [(i, t) for i, x in enumerate(texts) for t in x.split()]
+    tested = [r["p"] for r in spark.createDataFrame(tokens, "i long, t string").select(secrets.tested(F.col("t"), 0.005).alias("p")).collect()]
+    rows = [(i, t, max(b for b in secrets.BANDS if b <= p["n"]), min(int(-math.log10(max(p["p"], 1e-16)) * 20), 320)) for (i, t), p in zip(tokens, tested, strict=True)]
+    want = set()
+    for b in secrets.BANDS:
+        bins = [r[3] for r in rows if r[2] == b]
+        ok = [x for x in bins if 10 ** (-x / 20) <= 0.05 * sum(y >= x for y in bins) / len(bins)]
+        want |= {(i, t) for i, t, band, x in rows if band == b and ok and x >= min(ok)}
+    got = {(r["doc_id"], s["value"]) for r in secrets.scan(df).collect() for s in r["spans"] if s["kind"] == "random"}
+    assert got == {(i, t) for i, t in want if not brute(t)} and got
+
+
 def test_tests_equal_plain_python(spark):
     from math import erfc, sqrt
 
     rng = random.Random(6)
-    tokens = ["".join(rng.choices(a, k=rng.randint(16, 70))) + "1a" for a in ("0123456789abcdef", "0123456789abcdefxyz") for _ in range(15)]
+    tokens = ["".join(rng.choices(a, k=rng.randint(16, 70))) + ("1a" if a[0] != "q" else "") for a in ("0123456789abcdef", "0123456789abcdefxyz", "qwertyuiopasdfghjkl") for _ in range(15)]
     df = spark.createDataFrame([(t,) for t in tokens], "t string")
     for r in df.select("t", secrets.tested(F.col("t"), 0.001).alias("p")).collect():
         name, _, alphabet, effect = next(e for e in secrets.ENCODINGS if not e[1] or re.search(e[1], r["t"]))
