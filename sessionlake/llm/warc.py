@@ -1,18 +1,23 @@
-"""Operator 2. WARC archives: writing with revisit records, and a PySpark data source that reads them.
+"""Operator 2. WARC archives: a PySpark data source that writes them, with revisit records, and reads them.
 
-Writing: Spark's text writer puts one record per row with the format's record end as line separator, so
-that the archives lie wherever Spark writes, through its commit protocol. Of equal payloads one is stored.
+Writing: each task writes one file, a gzip member per record. A member's header names its own length and that of its
+content (extra field ``sl``, as the format's annex on compression describes it). Files get their names when the job
+commits; what lost or repeated tasks wrote keeps a name that is never read. Of equal payloads one is stored.
 
-Reading (``spark.read.format("warc")``): a partition is a group of files of bounded size. A record's headers
-are parsed first; where the pushed filters on record type, ids or header values rule it out, or its payload
-isn't asked for, the block is skipped by its length without being decoded.
+Reading: a partition is a range of bytes of one large file, or a group of small files. A range begins at the first member
+that starts in it. A record's headers are parsed first; where the pushed filters on record type, ids or header values
+rule it out, or its payload isn't asked for, the rest of its member is neither decompressed nor, where the length is
+known, read. Archives of other writers are read too: members without lengths are decompressed to their end, a file of one
+member for all records, or an uncompressed one, is read by one task.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
+import struct
+import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from urllib.parse import unquote, urlsplit
@@ -20,11 +25,11 @@ from urllib.parse import unquote, urlsplit
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
 
-
-
-VERSION, END = "WARC/1.1", "\r\n\r\n"
+VERSION, END = "WARC/1.1", b"\r\n\r\n"
+#: A gzip header with an extra field of two lengths, and how members of any writer begin.
+MEMBER, MAGIC = struct.Struct("<4sIBBHccHII"), b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SCHEMA = "record_type string, record_id string, target_uri string, date string, payload_digest string, refers_to string, refers_to_uri string, content_type string, payload_bytes long, payload binary, headers map<string,string>, path string, byte_offset long"
 #: Columns that stand for one header each.
@@ -39,7 +44,7 @@ def base32_sha1(payload: Column) -> Column:
 
 
 def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", payload: str = "html", date: str = "2024-01-01T00:00:00Z", least: int = 0) -> DataFrame:
-    """A row per page: page_id, url, payload (UTF-8; null: empty), payload_bytes, payload_digest, record_type, refers_to.
+    """A row per page (an empty table: none): page_id, url, payload (UTF-8; null: empty), payload_bytes, payload_digest, record_type, refers_to.
 
     Of pages with equal payloads of ``least`` bytes or more, the one with the smallest page_id is the response and the
     others revisit it. Rows that repeat that page_id are responses each. A null page_id is largest: such a row
@@ -60,10 +65,12 @@ def uri(page_id: Column) -> Column:
 
 
 def write(recs: DataFrame, path: str, compression: str = "gzip") -> None:
-    """Archives of the rows of ``records``. A record's block is an HTTP response; a revisit's has no body.
+    """Archives of the rows of ``records``, added to what lies at path. A record's block is an HTTP response; a revisit's has no body. A page of any length
+    is one record, which must fit a Python worker (2 GB at most).
 
-    compression: gzip (a member per file) or none.
+    compression: gzip (a member per record) or none.
     """
+    recs.sparkSession.dataSource.register(WarcSource)
     line = "\r\n"
     clean = F.regexp_replace("url", r"[\x00-\x20\x7f]", "")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{line}Content-Type: text/html; charset=utf-8{line}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(line + line))
@@ -76,13 +83,64 @@ def write(recs: DataFrame, path: str, compression: str = "gzip") -> None:
         F.when(is_revisit, F.concat(F.lit(f"{line}WARC-Profile: {PROFILE}{line}WARC-Refers-To: "), uri(F.col("refers_to")))).otherwise(""),
         F.lit(f"{line}Content-Type: application/http; msgtype=response{line}Content-Length: "), size.cast("string"), F.lit(line + line), http,
     )
-    # The payload's bytes go out as they are: a string column isn't decoded on its way to a text file.
-    recs.select(F.concat(head.cast("binary"), body).cast("string").alias("value")).write.option("lineSep", END).option("compression", compression).text(path)
+    recs.select(head.cast("binary").alias("head"), body.alias("body")).write.format("warc").mode("append").option("compression", compression).save(path)
+
+
+def member(content: tuple[bytes, ...]) -> bytes:
+    """A gzip member of the parts' bytes."""
+    z = zlib.compressobj(6, zlib.DEFLATED, -15)
+    crc, size, out = 0, 0, []
+    for part in content:
+        crc, size = zlib.crc32(part, crc), size + len(part)
+        out.append(z.compress(part))
+    out.append(z.flush())
+    end = struct.pack("<II", crc, size)
+    return MEMBER.pack(MAGIC + b"\x04", 0, 0, 255, 12, b"s", b"l", 8, MEMBER.size + sum(map(len, out)) + len(end), size) + b"".join(out) + end
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    path: str | None
+
+
+class Writer(DataSourceArrowWriter):
+    def __init__(self, options: dict[str, str]) -> None:
+        self.path, self.packed = options["path"], options.get("compression", "gzip") != "none"
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        system, root = filesystem(self.path)
+        name, out = f"{root}/_{uuid.uuid4().hex}.warc{'.gz' if self.packed else ''}", None
+        for batch in iterator:
+            for head, body in zip(batch.column("head"), batch.column("body"), strict=True):
+                if out is None:
+                    system.create_dir(root, recursive=True)
+                    out = system.open_output_stream(name, compression=None, buffer_size=1 << 20)
+                content = (head.as_py(), body.as_py(), END)
+                out.write(member(content) if self.packed else b"".join(content))
+        if out is not None:
+            out.close()
+        return Written(name if out is not None else None)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        """Gives the files their names; other files that begin with _ are of lost tasks and are never read."""
+        system, root = filesystem(self.path)
+        system.create_dir(root, recursive=True)
+        for m in messages:
+            if m is not None and m.path:
+                system.move(m.path, f"{root}/{m.path.rpartition('/')[2][1:]}")
+
+    def abort(self, messages: list[Written | None]) -> None:
+        system, _ = filesystem(self.path)
+        for m in messages:
+            if m is not None and m.path:
+                system.delete_file(m.path)
 
 
 @dataclass
 class Files(InputPartition):
-    paths: tuple[str, ...]
+    """Files, and the range of bytes of each."""
+
+    parts: tuple[tuple[str, int, int], ...]
 
 
 def filesystem(path: str):
@@ -125,11 +183,14 @@ class Reader(DataSourceReader):
         groups: list[Files] = []
         held, size = [], 0
         for path, n in files:
-            if held and size + n > self.group:
-                groups.append(Files(tuple(held)))
-                held, size = [], 0
-            held.append(path)
-            size += n
+            step = self.group if path.endswith(".gz") else max(n, 1)
+            for at in range(0, n, step):
+                part = (path, at, min(n, at + step))
+                if held and size + part[2] - at > self.group:
+                    groups.append(Files(tuple(held)))
+                    held, size = [], 0
+                held.append(part)
+                size += part[2] - at
         return [*groups, *([Files(tuple(held))] if held else [])] or [Files(())]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
@@ -138,10 +199,10 @@ class Reader(DataSourceReader):
         kinds = {"payload_bytes": pa.int64(), "byte_offset": pa.int64(), "payload": pa.binary(), "headers": pa.map_(pa.string(), pa.string())}
         schema = pa.schema([(n, kinds.get(n, pa.string())) for n in names])
         rows, size = [], 0
-        for path in partition.paths:
-            raw = system.open_input_stream(path, compression=None, buffer_size=1 << 20)
-            with gzip.open(raw) if path.endswith(".gz") else raw as stream:
-                for row in parse(stream, self.wanted, self.decode):
+        for path, begin, end in partition.parts:
+            with system.open_input_file(path) as file:
+                found = in_members(file, begin, end, self.wanted, self.decode) if path.endswith(".gz") else parse(Plain(file), self.wanted, self.decode)
+                for row in found:
                     rows.append(row | {"path": path})
                     size += len(row["payload"] or b"") + 512
                     if size > 4 << 20:
@@ -151,14 +212,116 @@ class Reader(DataSourceReader):
             yield pa.RecordBatch.from_pylist(rows, schema)
 
 
+class Plain:
+    """The bytes of a file; those that are skipped aren't read."""
+
+    whole = None
+
+    def __init__(self, file) -> None:
+        self.file = file
+
+    def read(self, n: int) -> bytes:
+        return self.file.read(n)
+
+    def skip(self, n: int) -> None:
+        self.file.seek(n, 1)
+
+
+class Member:
+    """The content of the gzip member at a place of a file, decompressed as it is read. ``whole``: its length if the member's header names it."""
+
+    CHUNK = 1 << 16
+
+    def __init__(self, file, at: int) -> None:
+        self.file, self.at, self.begin = file, at, at
+        self.z, self.held = zlib.decompressobj(31), b""
+        file.seek(at)
+        self.first = file.read(min(4096, self.CHUNK))
+        self.at += len(self.first)
+        self.size = self.whole = None
+        if len(self.first) >= MEMBER.size:
+            magic, *_, s, l, n, size, whole = MEMBER.unpack_from(self.first)
+            if (magic, s, l, n) == (MAGIC + b"\x04", b"s", b"l", 8):
+                self.size, self.whole = size, whole
+
+    def read(self, n: int) -> bytes:
+        out = b""
+        while not out and not self.z.eof:
+            if self.z.unconsumed_tail:
+                data = self.z.unconsumed_tail
+            else:
+                data, self.first = self.first or self.more(), b""
+            out = self.z.decompress(data, max(n, 1))
+            if not data and not out and not self.z.eof:
+                raise ValueError(f"member at byte {self.begin} has no end")
+        return out
+
+    def more(self) -> bytes:
+        self.file.seek(self.at)
+        data = self.file.read(self.CHUNK)
+        self.at += len(data)
+        return data
+
+    def skip(self, n: int) -> None:
+        while n > 0 and (got := self.read(min(n, 1 << 20))):
+            n -= len(got)
+
+    def next(self) -> int:
+        """Where the next member begins."""
+        if self.size is not None:
+            return self.begin + self.size
+        while not self.z.eof:
+            self.read(1 << 20)
+        return self.at - len(self.z.unused_data) - len(self.first)
+
+
+def first_member(file, begin: int, end: int) -> int | None:
+    """Where the first member that starts in a range of the file begins: a gzip header whose content is a record's, with a whole member behind it."""
+    at, size = begin, file.size()
+    while at < end:
+        file.seek(at)
+        window = file.read((1 << 20) + len(MAGIC) - 1)
+        found = window.find(MAGIC)
+        while found >= 0 and at + found < end:
+            if at + found == 0:
+                return 0
+            try:
+                m = Member(file, at + found)
+                if m.read(16).startswith(b"WARC/"):
+                    after = m.next()
+                    file.seek(min(after, size))
+                    if after == size or file.read(len(MAGIC)) == MAGIC:
+                        return at + found
+            except (zlib.error, ValueError):
+                pass
+            found = window.find(MAGIC, found + 1)
+        at += 1 << 20
+    return None
+
+
+def in_members(file, begin: int, end: int, wanted: dict[str, set | None], decode: bool) -> Iterator[dict]:
+    """Records of the members that start in a range of the file; ``byte_offset`` is the member's."""
+    at = first_member(file, begin, end) if begin else 0
+    size = file.size()
+    while at is not None and at < min(end, size):
+        m = Member(file, at)
+        for row in parse(m, wanted, decode):
+            yield row | {"byte_offset": at}
+        at = m.next()
+
+
 def parse(stream, wanted: dict[str, set | None], decode: bool) -> Iterator[dict]:
-    """Records of an archive. Blocks of records that the header filters rule out are skipped."""
+    """Records of a stream. Blocks of records that the header filters rule out are skipped; where such a record fills a stream of known length, the stream is left."""
     held, at = b"", 0
 
     def more(n: int) -> bytes:
         nonlocal held
-        while len(held) < n and (got := stream.read(max(1 << 16, n - len(held)))):
-            held = held + got if held else got
+        if len(held) < n:
+            parts, size = [held], len(held)
+            while size < n and (got := stream.read(max(1 << 14, n - size))):
+                parts.append(got)
+                size += len(got)
+            held = b"".join(parts)
         return held
 
     def take(n: int, keep: bool) -> bytes:
@@ -167,10 +330,8 @@ def parse(stream, wanted: dict[str, set | None], decode: bool) -> Iterator[dict]
         if keep or len(held) >= n:
             out, held = more(n)[:n] if keep else b"", held[n:]
             return out
-        left = n - len(held)
+        stream.skip(n - len(held))
         held = b""
-        while left and (got := stream.read(min(left, 1 << 20))):
-            left -= len(got)
         return b""
 
     while True:
@@ -188,27 +349,39 @@ def parse(stream, wanted: dict[str, set | None], decode: bool) -> Iterator[dict]
             raise ValueError(f"no record at byte {begin}")
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
         length = int(headers["content-length"])
+        fills = stream.whole is not None and at + length + len(END) >= stream.whole
         row = {c: headers.get(h) for c, h in HEADERS.items()}
         if any(row[c] is None or (values is not None and row[c] not in values) for c, values in wanted.items()):
+            if fills:
+                return
             take(length, False)
             continue
         row |= {"headers": headers, "byte_offset": begin, "payload": None, "payload_bytes": length}
         if not headers.get("content-type", "").startswith("application/http"):
+            if not decode and fills:
+                yield row
+                return
             row["payload"] = take(length, decode) if decode else take(length, False) or None
         else:
-            more(min(length, 1 << 16))
-            split = held[:length].find(b"\r\n\r\n") + 4
+            more(min(length, 1 << 14))
+            if (split := held[:length].find(b"\r\n\r\n")) < 0:
+                split = more(min(length, 1 << 20))[:length].find(b"\r\n\r\n")
+            split = split + 4 if split >= 0 else 0
             block = take(split, True).decode("utf-8", "replace").lower()
             sizes = [int(x.partition(":")[2]) for x in block.split("\r\n") if x.startswith("content-length:")]
             row["payload_bytes"] = sizes[0] if sizes else length - split
             stored = decode and headers.get("warc-type") != "revisit"
+            if not stored and fills:
+                yield row
+                return
             body = take(length - split, stored)
             row["payload"] = body if stored else None
         yield row
 
 
 class WarcSource(DataSource):
-    """``path``: a file or folder. ``payload``: false leaves payloads undecoded (null). ``partitionBytes``: size of a partition's files."""
+    """``path``: a file or folder. ``payload``: false leaves payloads undecoded (null). ``partitionBytes``: size of a partition.
+    ``compression`` (writing): gzip or none. Written rows are (head, body): a record's headers with those of its block, and the block's body."""
 
     @classmethod
     def name(cls) -> str:
@@ -220,6 +393,9 @@ class WarcSource(DataSource):
     def reader(self, schema) -> Reader:
         return Reader(self.options)
 
+    def writer(self, schema, overwrite: bool) -> Writer:
+        return Writer(self.options)
+
 
 def read(spark, path: str, payload: bool = True) -> DataFrame:
     """The records of the archives under path. Filters on header columns are pushed down."""
@@ -238,5 +414,3 @@ def store(pages: DataFrame, path: str, **names: str) -> None:
 
 def page_number(record_id: str) -> Column:
     return F.regexp_extract(record_id, r"^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
-
-
