@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 from sessionlake.llm import quality, queries
 
 
@@ -56,6 +57,60 @@ def test_outliers_by_group_and_estimates(spark):
     assert all(again[i] == r["distance"] or abs(again[i] - r["distance"]) < 1e-6 for i, r in got.items() if r["distance"] is not None)
 
 
+def planted(rng):
+    """Documents of one group, most alike, each of the odd ones far in one feature."""
+    word = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    texts = {}
+    for i in range(800):
+        lines = [" ".join(word(rng.randint(2, 9)) for _ in range(rng.randint(8, 14))) for _ in range(rng.randint(12, 20))]
+        if i % 3 == 0:  # a few repeats, which clean documents have
+            lines.append(lines[0])
+        odd = i % 80 == 7 and i // 80 % 5
+        if i % 80 == 7:
+            if odd == 0:
+                lines = [" ".join(word(rng.randint(25, 40)) for _ in range(10)) for _ in lines]
+            elif odd == 1:
+                lines = [x.replace(" ", " ## ") for x in lines]
+            elif odd == 2:
+                lines = [lines[0], lines[1], lines[2], *["a b"] * 14, *lines]
+            elif odd == 3:
+                lines = [x + " the same ten words stand here again and once more" for x in lines]
+            else:
+                lines = [w for x in lines for w in x.split()]
+        texts[i] = "\n".join(lines)
+    return texts, {i for i in texts if i % 80 == 7}
+
+
+def test_outliers_of_each_feature_and_a_plain_estimate(spark):
+    """Planted outliers of each single feature go, clean documents stay, and the estimate is as tight as a plain FAST-MCD over all vectors."""
+    texts, bad = planted(random.Random(3))
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in texts.items()], "doc_id long, text string, lang string, source string").withColumn("x0", F.lit(1)).withColumn("g", F.lit("mine"))
+    got = {r["doc_id"]: r for r in quality.judge(df).collect()}
+    assert got[0]["x0"] == 1 and got[0]["g"] == "mine"
+    rejected = {i for i, r in got.items() if not r["kept"]}
+    assert rejected >= bad and len(rejected - bad) <= 2, (bad - rejected, rejected - bad)
+    rows = quality.measured(df.drop("g", "x0")).select("doc_id", *[x.alias(f"x{i}") for i, x in enumerate(quality.vector())], *[x.alias(f"e{i}") for i, x in enumerate(quality.errors())]).withColumns({"g": F.lit("a"), "id": F.col("doc_id")})
+    x = np.array([[r[f"x{i}"] for i in range(quality.D)] for r in rows.collect()])
+    floor = np.array([r for r in rows.agg(*[F.avg(f"e{i}") for i in range(quality.D)]).first()])
+    plain = quality.fast_mcd(x, floor, 0.75)[0]
+    (est,) = quality.estimates(quality.stored(rows), 0.75, False).collect()
+    assert abs(est["volume"] - plain[0]) < 0.1 and np.allclose(est["center"], plain[1], atol=0.05)
+
+
+def test_fast_mcd_finds_the_bulk():
+    """Two clusters: the larger one is found whatever the medians say, and no step raises the determinant."""
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(0, 0.1, (300, quality.D)), rng.normal(3, 0.02, (90, quality.D))])
+    floor = np.full(quality.D, 1e-6)
+    best = quality.fast_mcd(x, floor, 0.75)
+    assert np.allclose(best[0][1], 0, atol=0.05) and [t[0] for t in best] == sorted(t[0] for t in best)
+    last = np.inf
+    for steps in range(1, 12):
+        v = quality.concentrated(x, floor, 293, x.mean(0), np.cov(x.T), steps)[0]
+        assert v <= last + 1e-9
+        last = v
+
+
 def test_salted_join(spark, monkeypatch):
     monkeypatch.setattr(quality, "BROADCAST_GROUPS", 0)
     df = spark.createDataFrame([(i, f"w{i} " * 60, "en", "a") for i in range(60)], "doc_id long, text string, lang string, source string")
@@ -64,8 +119,10 @@ def test_salted_join(spark, monkeypatch):
 
 def test_shape_is_the_covariance():
     x = np.random.default_rng(1).normal(size=(200, quality.D))
-    got = quality.shape(200.0, x.sum(0).tolist(), [float((x[:, i] * x[:, j]).sum()) for i in range(quality.D) for j in range(i, quality.D)])
-    want = np.linalg.inv(np.cov(x.T, bias=True) + np.diag([f**2 for _, f in quality.FEATURES]))
+    floor = [0.1, 0.2, 0.3, 0.4, 0.5]
+    got = quality.shape(200.0, x.sum(0).tolist(), [float((x[:, i] * x[:, j]).sum()) for i in range(quality.D) for j in range(i, quality.D)], floor)
+    want = np.linalg.inv(np.cov(x.T, bias=True) + np.diag(floor))
+    assert np.isclose(got["volume"], -np.linalg.slogdet(want)[1])
     assert np.allclose(np.reshape(got["precision"], (quality.D, quality.D)), want)
 
 
