@@ -12,26 +12,31 @@ shortest window (a 0 comes too soon) begin no match and are left out of the arra
 Keys hold the first words of a suffix, as many as the longest window has; the
 words beyond that only ever extend a match, which the joining does.
 
-The benchmark is sent to all tasks, in blocks of at most ``block_bytes`` of text,
-whatever its size; every document meets every block. No shuffle.
+A benchmark of at most ``block_bytes`` (its distinct texts) is sent to all tasks and made ready once per Python worker;
+documents aren't shuffled. A larger one stays a table (``matches_by_key``): its windows and the document suffixes that a
+bitmap of their hashes lets through are brought together by key, sorted, and matches are joined along diagonals.
 """
 
 from __future__ import annotations
 
+import uuid
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import put
+from .common import fresh, per_row, put, stored
 
 WINDOW = 13
 BLOCK_BYTES = 16 << 20
+#: Bits of the bitmap of hashes, and places of a window above which they are searched by bisection.
+BITMAP, FEW = 1 << 26, 8
 #: Positions of a shard, and bytes of text that are split into words at once.
 SHARD, SEGMENT = 1 << 17, 1 << 22
 #: Word characters: letters, digits and everything beyond ASCII; A-Z become a-z, all else separates.
@@ -53,27 +58,62 @@ def word_lists(text: bytes | None) -> Iterator[list[bytes]]:
 
 
 class Suffixes:
-    """The benchmark's suffixes of one block, ready to be searched."""
+    """The benchmark's suffixes, ready to be searched. Items: (names, text) of each distinct text."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int) -> None:
+    def __init__(self, items: list[tuple[list[str], bytes]], window: int) -> None:
         self.window = window
-        self.names = [name for name, _ in items]
+        self.names = [names for names, _ in items]
+        self.texts: list[np.ndarray] = []
         vocabulary: dict[bytes, int] = {}
         found: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for k, (_, text) in enumerate(items):
             words = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for ws in word_lists(text) for w in ws], ">u4")
+            self.texts.append(words)
             width = min(window, len(words))
             for at in range(len(words) - width + 1 if width else 0):
                 found[words[at : at + width].tobytes()].append((k, at))
         self.vocabulary = vocabulary
         self.keys = sorted(found)
         self.places = [found[k] for k in self.keys]
+        self.ordered: dict[int, tuple[list[bytes], list[tuple[int, int]], int]] = {}
         self.widths = np.array([len(k) // 4 for k in self.keys], np.int64)
         self.shortest = int(self.widths.min()) if self.keys else 0
         kind = f"S{4 * window}"
         self.low = np.array(self.keys, kind)
         self.high = np.array([k.ljust(4 * window, b"\xff") for k in self.keys], kind)
 
+    def alike(self, words: np.ndarray, at: int, text: int, place: int) -> int:
+        """How many words are equal from two places on."""
+        n, step, other = 0, 64, self.texts[text]
+        while True:
+            a, b = words[at + n : at + n + step], other[place + n : place + n + step]
+            m = min(len(a), len(b))
+            same = a[:m] == b[:m]
+            if not same.all():
+                return n + int(same.argmin())
+            n += m
+            if m < step:
+                return n
+            step *= 2
+
+    def extended(self, words: np.ndarray, at: int, key: int, least: int) -> tuple[int, int, int] | None:
+        """(words, text, place) of the longest match that begins with a window at a place of the document, if it has more than ``least`` words; of equal
+        ones the first text and place."""
+        places = self.places[key]
+        if len(places) <= FEW:
+            n, k, p = min((-self.alike(words, at, k, p), k, p) for k, p in places)
+            return (-n, k, p) if -n > least else None
+        if key not in self.ordered:  # the longest common prefix is that of a neighbour of the document's suffix in order
+            both = sorted((self.texts[k][p:].tobytes(), (k, p)) for k, p in places)
+            self.ordered[key] = [t for t, _ in both], [x for _, x in both], max(len(t) for t, _ in both) // 4 + 1
+        tails, where, most = self.ordered[key]
+        spot = bisect_left(tails, words[at : at + most].astype(">u4").tobytes())
+        n = max(self.alike(words, at, *where[i]) for i in (spot - 1, spot) if 0 <= i < len(tails))
+        if n <= least:
+            return None
+        head = words[at : at + n].astype(">u4").tobytes()
+        return n, *min(where[bisect_left(tails, head) : bisect_left(tails, head + b"\xff" * 4)])
+
     def words(self, text: bytes | None) -> np.ndarray:
         get, parts = self.vocabulary.get, []
         for ws in word_lists(text):
@@ -106,16 +146,21 @@ class Suffixes:
         return at[order], which[order]
 
 
-def longest(at: np.ndarray, which: np.ndarray, s: Suffixes) -> tuple[int, str | None, int, int]:
-    """(words, item, word of the document, word of the item) of the longest verbatim match; of equal ones the first in the document."""
-    best, ends = (0, None, -1, -1), {}
-    for p, k in zip(at.tolist(), which.tolist(), strict=True):
-        for item, place in s.places[k]:
-            start, _ = ends.get((item, p - place), (p, -1))
-            start = start if ends.get((item, p - place), (0, -1))[1] == p - 1 else p
-            ends[item, p - place] = (start, p)
-            if (n := p - start + int(s.widths[k])) > best[0]:
-                best = (n, s.names[item], start, start - p + place)
+def longest(at: np.ndarray, which: np.ndarray, s: Suffixes, words: np.ndarray) -> tuple[int, str | None, int, int]:
+    """(words, item, word of the document, word of the item) of the longest verbatim match; of equal ones the first in the document.
+
+    Only places are searched whose run of occurrences could hold a longer match than the one known."""
+    best = (0, None, -1, -1)
+    if not len(at):
+        return best
+    run = np.cumsum(np.diff(at, prepend=at[0]) > 1)
+    ends = np.maximum.reduceat(at + s.widths[which], np.flatnonzero(np.diff(run, prepend=-1)))
+    room = ends[run] - at
+    for i in range(len(at)):
+        if room[i] > best[0]:
+            found = s.extended(words, int(at[i]), int(which[i]), best[0])
+            if found:
+                best = (found[0], min(s.names[found[1]]), int(at[i]), found[2])
     return best
 
 
@@ -129,32 +174,19 @@ def merged(starts: np.ndarray, stops: np.ndarray) -> list[dict]:
     return [{"start": a, "end": b} for a, b in zip(starts[new].tolist(), ends.tolist(), strict=True)]
 
 
-def match_all(texts: list[bytes | None], blocks: list[Broadcast], window: int, one: Suffixes | None) -> list[dict]:
+def match_all(texts: list[bytes | None], s: Suffixes) -> list[dict]:
     """The matches of the documents of a shard."""
-    found: list[list[tuple]] = [[] for _ in texts]
-    lengths = [0] * len(texts)
-    for block in blocks:
-        s = one or Suffixes(block.value, window)
-        words = [s.words(t) for t in texts]
-        lengths = [len(w) for w in words]
-        ends = np.cumsum([n + 1 for n in lengths])  # an unknown word after each document
-        at, which = s.occurrences(np.concatenate([x for w in words for x in (w, np.zeros(1, np.uint32))]))
-        doc = np.searchsorted(ends, at, "right")
-        for d in np.unique(doc):
-            mine = doc == d if len(texts) > 1 else slice(None)
-            a, k = at[mine] - (ends[d] - lengths[d] - 1), which[mine]
-            items = {s.names[i] for w in set(k.tolist()) for i, _ in s.places[w]}
-            found[d].append((a, a + s.widths[k], items, longest(a, k, s)))
-    out = []
-    for n, parts in zip(lengths, found, strict=True):
-        row = {"n_words": n, "spans": [], "items": [], "longest": 0, "longest_item": None, "longest_at": -1, "longest_item_at": -1}
-        if parts:
-            starts, stops = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            order = np.argsort(starts, kind="stable")
-            best = max((p[3] for p in parts), key=lambda x: x[0])
-            row |= {"spans": merged(starts[order], stops[order]), "items": sorted(set().union(*(p[2] for p in parts)))}
-            row |= dict(zip(("longest", "longest_item", "longest_at", "longest_item_at"), best, strict=True))
-        out.append(row)
+    words = [s.words(t) for t in texts]
+    out = [{"n_words": len(w), "spans": [], "items": [], "longest": 0, "longest_item": None, "longest_at": -1, "longest_item_at": -1} for w in words]
+    ends = np.cumsum([len(w) + 1 for w in words])  # an unknown word after each document
+    at, which = s.occurrences(np.concatenate([x for w in words for x in (w, np.zeros(1, np.uint32))]))
+    doc = np.searchsorted(ends, at, "right")
+    for d in np.unique(doc):
+        mine = slice(*np.searchsorted(doc, [d, d + 1]))
+        a, k = at[mine] - (ends[d] - len(words[d]) - 1), which[mine]
+        out[d]["spans"] = merged(a, a + s.widths[k])
+        out[d]["items"] = sorted({name for w in set(k.tolist()) for i in {i for i, _ in s.places[w]} for name in s.names[i]})
+        out[d] |= dict(zip(("longest", "longest_item", "longest_at", "longest_item_at"), longest(a, k, s, words[d]), strict=True))
     return out
 
 
@@ -163,25 +195,33 @@ KIND = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(SPAN)), ("items",
 SCHEMA = "struct<n_words:long,spans:array<struct<start:long,end:long>>,items:array<string>,longest:long,longest_item:string,longest_at:long,longest_item_at:long>"
 
 
+#: What a Python worker has made ready: the last benchmark that it used.
+READY: dict[str, Suffixes] = {}
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with a struct ``match`` (replaces a column of that name): ``n_words``; ``spans`` (merged word ranges
     that lie in occurrences of a benchmark window, end exclusive); ``items`` (sorted ids, as text, of items with
     occurrences); the ``longest`` verbatim match in words, its item and its first word in both texts (0, null, -1, -1: none).
 
     An item of fewer words than the window is one window; one without words, or with a null text or id, matches
-    nothing. Rows that repeat an item or a document are treated alike. A null text has no words.
+    nothing. Rows that repeat an item or a document are treated alike. A null text has no words; texts of any length are searched
+    whole. Of longest matches of equal length the first in the document counts, then the first text of the benchmark. An empty
+    table of documents or of items gives a result like any other.
     """
     named = benchmark.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t"))
-    size = named.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = max(1, -(-size // block_bytes))
-    context = docs.sparkSession.sparkContext
-    blocks = []
-    for k in range(n):  # each block's size is bounded; they go out one by one
-        rows = named.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()
-        blocks.append(context.broadcast([(r["i"], r["t"].encode()) for r in rows]))
+    items = stored(named.groupBy("t").agg(F.array_sort(F.collect_set("i")).alias("i")))
+    size = items.agg(F.sum(F.octet_length("t") + F.octet_length(F.array_join("i", ",")))).first()[0] or 0
+    if size > block_bytes:
+        return matches_by_key(docs, items, text, window)
+    shared = docs.sparkSession.sparkContext.broadcast(sorted((r["t"].encode(), r["i"]) for r in items.collect()))
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        one = Suffixes(blocks[0].value, window) if len(blocks) == 1 else None
+        if name not in READY:
+            READY.clear()
+            READY[name] = Suffixes([(i, t) for t, i in shared.value], window)
+        s = READY[name]
         for batch in batches:
             rows: list[dict] = []
             shard: list[bytes | None] = []
@@ -191,16 +231,93 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
                 shard.append(t.encode() if t is not None else None)
                 size += len(shard[-1] or b"")
                 if size >= SEGMENT:
-                    rows += match_all(shard, blocks, window, one)
+                    rows += match_all(shard, s)
                     shard, size = [], 0
             if shard:
-                rows += match_all(shard, blocks, window, one)
+                rows += match_all(shard, s)
             yield pa.array(rows, KIND)
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return put(docs, match=F.arrow_udf(run, SCHEMA)(F.col(text)))
 
 
+def windows(text: bytes | None, widths: list[int], whole: bool) -> Iterator[tuple[bytes, int, int]]:
+    """(key, first word, words) of each window of the widths; whole: of a benchmark's text, which is one window where it is shorter than the longest."""
+    words = [w for ws in word_lists(text) for w in ws]
+    if whole:
+        widths = [min(widths[0], len(words))] if words else []
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1]) if len(words) else ends
+    for n in widths:
+        for at, (a, b) in enumerate(zip(starts[: len(words) - n + 1].tolist(), ends[n - 1 :].tolist(), strict=True) if len(words) >= n else ()):
+            yield joined[a:b], at, n
+
+
+def matches_by_key(docs: DataFrame, items: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
+    """``matches`` for a benchmark (columns t, i: a text and its ids) of any size."""
+    row, match = fresh(docs, "row", "match")
+    own = stored(docs.drop("match").withColumn(row, F.monotonically_increasing_id()))
+    texts = stored(items.withColumn("text_id", F.monotonically_increasing_id()))
+    kind = [("key", pa.binary()), ("id", pa.int64()), ("at", pa.int64()), ("n", pa.int64())]
+
+    def cut(widths: list[int], whole: bool, shared=None):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, seen = shared.value if shared is not None else None, xxhash.xxh64_intdigest
+            for b in batches:
+                held: list[tuple] = []
+                for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    for key, at, n in windows(t.encode() if t is not None else None, widths, whole):
+                        if known is not None and not known[(bit := seen(key) % BITMAP) >> 3] >> (bit & 7) & 1:
+                            continue
+                        held.append((key, k, at, n))
+                        if len(held) >= 1 << 16:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, (_, x) in zip(zip(*held, strict=True), kind, strict=True)], [x for x, _ in kind])
+                            held = []
+                if held:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, (_, x) in zip(zip(*held, strict=True), kind, strict=True)], [x for x, _ in kind])
+
+        return run
+
+    ddl = "key binary, id long, at long, n long"
+    places = stored(texts.select("text_id", "t").mapInArrow(cut([window], True), ddl))
+    widths = sorted((r[0] for r in places.select("n").distinct().collect()), reverse=True)  # at most ``window``
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bit = np.array([xxhash.xxh64_intdigest(k) % BITMAP for k in b.column(0).to_pylist()], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(bit >> 3), pa.array(1 << (bit & 7))], ["byte", "bit"])
+
+    table = np.zeros(BITMAP // 8, np.uint8)
+    filled = places.select("key").mapInArrow(bits, "byte long, bit long").groupBy("byte").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most BITMAP / 8 rows
+    table[filled.column("byte").to_numpy()] = filled.column("bits").to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(table.tobytes())
+    suffixes = own.select(row, text).mapInArrow(cut(widths, False, shared), ddl)
+    hits = stored(suffixes.join(places.select("key").distinct(), "key", "left_semi"))
+    # Merged ranges: a range begins where all before it end.
+    before = Window.partitionBy("id").orderBy("at", "n").rowsBetween(Window.unboundedPreceding, -1)
+    marked = hits.select("id", "at", "n").distinct().withColumn("new", F.coalesce(F.col("at") > F.max(F.col("at") + F.col("n")).over(before), F.lit(True)).cast("int"))
+    ranges = marked.withColumn("part", F.sum("new").over(Window.partitionBy("id").orderBy("at", "n"))).groupBy("id", "part").agg(F.min("at").alias("start"), F.max(F.col("at") + F.col("n")).alias("end"))
+    spans = ranges.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    in_text = places.select("key", F.col("id").alias("text_id"), F.col("at").alias("place"))
+    found = hits.select("id", "key").distinct().join(in_text.select("key", "text_id").distinct(), "key").select("id", "text_id").distinct()
+    names = found.join(texts.select("text_id", "i"), "text_id").groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("i")))).alias("items"))
+    # Longest matches: along a diagonal of document and text, consecutive windows are one match.
+    along = hits.join(in_text, "key").withColumn("diagonal", F.col("at") - F.col("place"))
+    line = Window.partitionBy("id", "text_id", "diagonal").orderBy("at")
+    stretch = along.withColumn("part", F.col("at") - F.row_number().over(line)).groupBy("id", "text_id", "diagonal", "part").agg(F.min("at").alias("at"), F.max(F.col("at") + F.col("n")).alias("end"))
+    best = stretch.groupBy("id").agg(F.min_by(F.struct("at", "end", "text_id", "diagonal"), F.struct(F.col("at") - F.col("end"), "at", "text_id", "diagonal")).alias("b"))
+    best = best.select("id", "b.*").join(texts.select("text_id", F.array_min("i").alias("item")), "text_id")
+    known = spans.join(names, "id").join(best, "id").withColumnRenamed("id", row)
+    counted = put(own, **{match: per_row(lambda: lambda t: sum(map(len, word_lists(t))), "long", pa.int64(), F.col(text))})
+    out = counted.join(known, row, "left")
+    value = F.struct(
+        F.col(match).alias("n_words"), F.coalesce("spans", F.array().cast("array<struct<start:long,end:long>>")).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce(known["end"] - known["at"], F.lit(0)).cast("long").alias("longest"),
+        known["item"].alias("longest_item"), F.coalesce(known["at"], F.lit(-1)).cast("long").alias("longest_at"), F.coalesce(known["at"] - known["diagonal"], F.lit(-1)).cast("long").alias("longest_item_at"),
+    )
+    return out.select(*[counted[f"`{c}`"] for c in docs.columns if c.lower() != "match"], value.alias("match"))
+
+
 def n_hit(match: str = "match") -> Column:
     """Words of the document that lie in an occurrence."""
     return F.aggregate(F.col(match)["spans"], F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])

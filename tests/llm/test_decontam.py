@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from sessionlake.llm import decontam, queries
 from pyspark.sql import functions as F
@@ -35,6 +36,42 @@ def test_query_equals_brute_force(spark, sf):
     assert got == set(brute(docs, items))
 
 
+def longest_brute(text, items):
+    """Words of the longest common run of a document and an item that holds a window."""
+    a, best = words(text), 0
+    for t in items:
+        b = words(t)
+        least = min(13, len(b))
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                    n += 1
+                best = max(best, n if least and n >= least else 0)
+    return best
+
+
+def test_a_benchmark_of_a_hundred_blocks(spark, sf):
+    """Beyond block_bytes the benchmark is joined by key; the result is the same."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").withColumn("row", F.lit(1))
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").cast("string").alias("item_id"), "text").union(docs.where("doc_id % 3 = 0").select(F.concat(F.lit("d"), "doc_id"), "text"))
+    size = bench.agg(F.sum(F.octet_length("text"))).first()[0]
+    rows = lambda m: sorted((r["doc_id"], r["match"]["n_words"], tuple(map(tuple, r["match"]["spans"])), tuple(r["match"]["items"]), r["match"]["longest"]) for r in m.collect())
+    a, b = decontam.matches(docs, bench), decontam.matches(docs, bench, block_bytes=size // 100)
+    assert rows(a) == rows(b) and b.columns == ["doc_id", "text", "row", "match"]
+
+
+def test_many_places_of_one_window():
+    """A window that is in many items and often in the document takes time in proportion to both, not to their product."""
+    items = [([f"i{k}"], (b"a " * 13) + b"x%d " % k * 3) for k in range(3000)]
+    s = decontam.Suffixes(items, 13)
+    doc = s.words(b"a " * 20_000 + b"x7 x7 x7 q")
+    at, which = s.occurrences(doc)
+    began = time.perf_counter()
+    assert decontam.longest(at, which, s, doc) == (16, "i7", 19_987, 0)
+    assert time.perf_counter() - began < 20
+
+
 def test_small_alphabet_blocks_and_shards(spark, monkeypatch):
     rng = random.Random(5)
     items = [(i, " ".join(rng.choices("abC", k=rng.choice([0, 1, 3, 13, 14, 20])))) for i in range(8)] + [(2, "a b c a b c"), (9, None), (None, "a b")]
@@ -42,10 +79,13 @@ def test_small_alphabet_blocks_and_shards(spark, monkeypatch):
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("match", F.lit("clash"))
     b = spark.createDataFrame(items, "item_id long, text string")
     want = sorted(brute(docs, [(i, t) for i, t in items if i is not None]))
+    longest = {}
     for size in (1 << 20, 30):
         m = decontam.matches(d, b, block_bytes=size)
+        longest[size] = sorted((r["doc_id"], r["n"]) for r in m.select("doc_id", F.col("match.longest").alias("n")).collect())
         got = m.select("doc_id", "match.n_words", decontam.n_hit(), F.size("match.items"), decontam.items_digest(), decontam.contaminated()).collect()
         assert sorted(map(tuple, got)) == want
+    assert longest[30] == longest[1 << 20] == sorted((i, longest_brute(t, [x for k, x in items if k is not None])) for i, t in docs)
     assert decontam.clean(d, b).columns == d.columns
     assert decontam.matches(d, b.limit(0)).where(decontam.contaminated()).count() == 0
     assert decontam.matches(d.limit(0), b).count() == 0
@@ -55,11 +95,11 @@ def test_longest_match_and_shards(monkeypatch):
     monkeypatch.setattr(decontam, "SHARD", 7)
     monkeypatch.setattr(decontam, "SEGMENT", 40)
     item = " ".join(f"w{i}" for i in range(40))
-    s = decontam.Suffixes([("x", item.encode())], 13)
+    s = decontam.Suffixes([(["x"], item.encode())], 13)
     text = "pre " + " ".join(f"w{i}" for i in range(5, 35)) + " post w0 w1"
     words_ = s.words(text.encode())
     at, which = s.occurrences(words_)
-    assert decontam.longest(at, which, s) == (30, "x", 1, 5)
+    assert decontam.longest(at, which, s, words_) == (30, "x", 1, 5)
 
 
 def test_odd_rows(spark, docs):
