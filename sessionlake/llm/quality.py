@@ -34,7 +34,7 @@ FEATURES = ("word_length", "symbol_share", "line_share", "repeat_share", "words_
 D = len(FEATURES)
 #: Distinct vectors of a group from which starts are made, small subsets that are tried, starts that go on; steps at most, and the change of a
 #: log determinant that ends them.
-START_ROWS, SUBSETS, STARTS, STEPS, SETTLED = 400, 40, 3, 40, 1e-3
+START_ROWS, SUBSETS, STARTS, STEPS, SETTLED = 400, 40, 3, 40, 0.02
 #: Chi-squared quantiles with 5 degrees of freedom: the median, and 1 - 1e-6.
 MEDIAN, TAIL = 4.3515, 35.8882
 #: Groups whose estimates are sent to all tasks, at most.
@@ -187,27 +187,30 @@ def shape(n: float | None, sums: list[float], squares: list[float], floor: list[
 
 def estimates(rows: DataFrame, support: float, many: bool) -> DataFrame:
     """(g, floor, center, precision, scale, volume) of every group of ``rows`` (id, g, x0..., e0...); volume is the log determinant."""
-    floors = durable(rows.groupBy("g").agg(F.array(*[F.avg(f"e{i}") for i in range(D)]).alias("floor")))
+    def small(df: DataFrame) -> DataFrame:
+        """A table with a few rows per group: one file, unless groups are many."""
+        return durable(df if many else df.coalesce(1))
+
+    floors = small(rows.groupBy("g").agg(F.array(*[F.avg(f"e{i}") for i in range(D)]).alias("floor")))
     model = durable(starts(rows, floors, many, support)).withColumn("volume", F.lit(None).cast("double"))
     kind = pa.struct([("center", pa.list_(pa.float64())), ("precision", pa.list_(pa.float64())), ("volume", pa.float64())])
     log_d, xs = F.log(distance(F.col("center"), F.col("precision")) + 1e-3), [F.col(f"x{i}") for i in range(D)]
     for step in range(STEPS):
         by_group = model.groupBy("g").agg(F.collect_list(F.struct("k", "center", "precision")).alias("tries"))  # STARTS at most
         near = joined(rows, by_group, many).select("id", "g", *xs, F.explode("tries").alias("t")).select("id", "g", *xs, "t.*").withColumn("d", log_d)
-        cut = durable(quantile(near, F.col("d"), support, 64, ("g", "k"))).withColumnsRenamed({"g": "cg", "k": "ck"})
-        cuts = cut.groupBy(F.col("cg").alias("g")).agg(F.map_from_entries(F.collect_list(F.struct("ck", "q"))).alias("cuts"))
+        cuts = quantile(near, F.col("d"), support, 64, ("g", "k")).groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("k", "q"))).alias("cuts"))
         inside = joined(near, cuts, many).where(F.col("d") <= F.col("cuts")[F.col("k")])
         sums = inside.groupBy("g", "k").agg(F.count("*").cast("double").alias("n"), F.array(*[F.sum(x) for x in xs]).alias("a"), F.array(*[F.sum(xs[i] * xs[j]) for i in range(D) for j in range(i, D)]).alias("b"))
         fitted = sums.join(floors, "g").select("g", "k", per_row(lambda: shape, "struct<center:array<double>,precision:array<double>,volume:double>", kind, F.col("n"), F.col("a"), F.col("b"), F.col("floor")).alias("e"))
-        before, model = model, durable(fitted.select("g", "k", "e.*"))
+        before, model = model, small(fitted.select("g", "k", "e.*"))
         if step == 1:  # the least determinant goes on
-            model = durable(model.groupBy("g").agg(F.min_by(F.struct("k", "center", "precision", "volume"), F.struct("volume", "k")).alias("m")).select("g", "m.*"))
+            model = model.groupBy("g").agg(F.min_by(F.struct("k", "center", "precision", "volume"), F.struct("volume", "k")).alias("m")).select("g", "m.*")
         elif step > 1:
             was = before.select("g", F.col("volume").alias("was"))
             if not model.join(was, "g").where(F.abs(F.col("volume") - F.col("was")) > SETTLED).limit(1).count():
                 break
     middle = quantile(joined(rows, model, many).withColumn("d", log_d), F.col("d"), 0.5, 64)
-    return durable(model.join(middle, "g").join(floors, "g").select("g", "floor", "center", "precision", "volume", F.greatest(F.lit(1.0), F.exp("q") / MEDIAN).alias("scale")))
+    return small(model.join(middle, "g").join(floors, "g").select("g", "floor", "center", "precision", "volume", F.greatest(F.lit(1.0), F.exp("q") / MEDIAN).alias("scale")))
 
 
 def own_distance(v: dict | None) -> float | None:
