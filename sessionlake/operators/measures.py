@@ -136,23 +136,34 @@ def delegation(sessions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return one.groupBy(*by).agg(F.sum("c").alias("children"), F.sum("p").alias("parents"), F.sum(F.when(F.col("c") == 1, F.col("total"))).alias("child_total"), share(F.sum(F.when(F.col("c") == 1, F.col("total"))), F.sum("total")).alias("child_share"))
 
 
-def nesting_depth(sessions: DataFrame, rounds: int = 64) -> DataFrame:
-    """M17. Steps to the root (0: no parent). Missing parents and cycles are unknown (null).
+def nesting_depth(sessions: DataFrame) -> DataFrame:
+    """M17. Steps to the root (0: no parent). Missing parents and cycles are unknown (null). Where sessions have a column ``reported``, a
+    depth that the session itself reports comes first; with a column ``agent``, parents are those of the same agent.
 
-    Pointer doubling: each round joins every session's known ancestor with that one's own, so depth d takes log2(d) rounds.
+    Pointer doubling: each round joins every session's known ancestor with that one's own, so depth d takes log2(d) rounds. When
+    2^rounds exceed the number of sessions, those that still have an ancestor to follow are on cycles or lead into one.
     """
-    known = sessions.select("session_id", F.col("parent_id").alias("up")).distinct()
-    at = known.select("session_id", "up", F.when(F.col("up").isNull(), 0).otherwise(1).alias("depth"))
-    for _ in range(max(1, rounds.bit_length())):
-        hop = at.select(F.col("session_id").alias("up"), F.col("up").alias("__up"), F.col("depth").alias("__d"), F.lit(True).alias("__known"))
-        at = durable(at.join(hop, "up", "left").select(
-            "session_id",
+    keys = ["agent", "session_id"] if "agent" in sessions.columns else ["session_id"]
+    reported = ["reported"] if "reported" in sessions.columns else []
+    known = durable(sessions.select(*keys, F.col("parent_id").alias("up"), *reported).distinct())
+    at = known.select(*keys, "up", F.when(F.col("up").isNull(), 0).otherwise(1).alias("depth"))
+    for _ in range(known.count().bit_length() + 1):
+        hop = at.select(*keys[:-1], F.col("session_id").alias("up"), F.col("up").alias("__up"), F.col("depth").alias("__d"), F.lit(True).alias("__known"))
+        at = durable(at.join(hop, [*keys[:-1], "up"], "left").select(
+            *keys,
             F.when(F.col("up").isNotNull() & F.col("__known"), F.col("__up")).otherwise(F.col("up")).alias("up"),
             F.when(F.col("up").isNull() | F.col("__known").isNull(), F.col("depth")).otherwise(F.col("depth") + F.col("__d")).alias("depth"),
+            F.coalesce(F.col("__known"), F.lit(False)).alias("moved"),
         ))
-        if not at.where("up IS NOT NULL").limit(1).count():
+        moved = at.where("moved AND up IS NOT NULL").limit(1).count()
+        at = at.drop("moved")
+        if not moved:
             break
-    return at.select("session_id", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
+    out = at.select(*keys, F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
+    if not reported:
+        return out
+    given = known.groupBy(*keys).agg(F.max("reported").alias("reported"))
+    return out.join(given, keys).select(*keys, F.coalesce("reported", "depth").alias("depth"))
 
 
 def context_exposure(requests: DataFrame, thresholds: Sequence[int], by: Sequence[str] = ()) -> DataFrame:

@@ -81,11 +81,15 @@ def disturbances(pulls: DataFrame, later: DataFrame, days: float = 7) -> DataFra
     return both.groupBy("pr").agg(F.count_if((F.col("kind") == "pull") & fix).alias("follow_ups"), F.count_if((F.col("kind") == "commit") & revert).alias("reverts"), F.count_if((F.col("kind") == "commit") & fix & ~revert).alias("fixes"))
 
 
-def attempt_states(pulls: DataFrame, follow_ups: DataFrame, now: int, days: float = 7, rounds: int = 16) -> DataFrame:
+def attempt_states(pulls: DataFrame, follow_ups: DataFrame, now: int, days: float = 7) -> DataFrame:
     """J7, J8. (pr, state): an ordered decision per pull request; a repair's own state counts for what it repairs.
 
-    pulls: pr, merged_us, closed, checks (green, red, unknown), reverted. follow_ups: pr, repair. Leaf first: a round decides
-    those whose repairs are all decided; what a cycle leaves undecided is in progress. Rounds are bounded.
+    pulls: pr, merged_us, closed, checks (green, red, unknown), reverted. follow_ups: pr, repair. A pull request with repairs
+    takes its own state if one of them succeeds in the end, and fails otherwise; one that failed by itself stays so. It is decided when all its
+    repairs are; what a cycle leaves undecided is in progress.
+
+    Leaf first, in as many rounds as the longest branching chain has levels. Chains of single repairs, the usual ones, are
+    contracted first by pointer doubling: a link of the chain succeeds where all after it do, so that length n takes log2(n) rounds.
     """
     mature = F.col("merged_us") + int(days * DAY) <= now
     own = (
@@ -98,14 +102,28 @@ def attempt_states(pulls: DataFrame, follow_ups: DataFrame, now: int, days: floa
     )
     base = durable(pulls.select("pr", own.alias("own")))
     edges = durable(follow_ups.select("pr", "repair").distinct())
-    need = edges.groupBy("pr").agg(F.count("*").alias("need"))
-    known = durable(base.join(need, "pr", "left").where("need IS NULL OR own = 'failed'").select("pr", F.col("own").alias("state")))
-    for _ in range(rounds):
-        done = edges.join(known.select(F.col("pr").alias("repair"), F.col("state").alias("s")), "repair").groupBy("pr").agg(F.count("*").alias("have"), F.bool_or(F.col("s") == "success").alias("repaired"))
-        new = base.join(need, "pr").join(done, "pr").join(known, "pr", "left_anti").where("have = need")
+    need = durable(edges.groupBy("pr").agg(F.count("*").alias("need"), F.min("repair").alias("repair")))
+    leaf = base.join(need, "pr", "left").where("need IS NULL OR own = 'failed'").select("pr", F.col("own").alias("state"))
+    known = durable(leaf)
+    # to: the first pull request down the chain that isn't a single link; good: whether all links in between succeed.
+    link = base.join(need.where("need = 1"), "pr").where("own <> 'failed'").select("pr", F.col("repair").alias("to"))
+    links = durable(link.withColumn("good", F.lit(True)))
+    own_good = base.select(F.col("pr").alias("p"), (F.col("own") == "success").alias("ok"))
+    for _ in range(links.count().bit_length() + 1):
+        hop = links.join(own_good, F.col("pr") == F.col("p")).select(F.col("pr").alias("to"), F.col("to").alias("next"), (F.col("good") & F.col("ok")).alias("more"))
+        links = durable(links.join(hop, "to", "left").select("pr", F.coalesce("next", "to").alias("to"), (F.col("good") & F.coalesce("more", F.lit(True))).alias("good"), F.col("next").isNotNull().alias("moved")))
+        moved = links.where("moved").limit(1).count()
+        links = links.drop("moved")
+        if not moved:
+            break
+    while True:
+        state = known.select(F.col("pr").alias("to"), F.col("state").alias("s"))
+        one = links.join(state, "to").select("pr", (F.col("good") & (F.col("s") == "success")).alias("repaired"))
+        many = edges.join(need.where("need > 1"), "pr", "left_semi").join(state.withColumnRenamed("to", "repair"), "repair").groupBy("pr").agg(F.count("*").alias("have"), F.bool_or(F.col("s") == "success").alias("repaired"))
+        all_known = many.join(need, "pr").where("have = need").select("pr", "repaired")
+        new = base.join(one.union(all_known), "pr").join(known, "pr", "left_anti")
         more = durable(new.select("pr", F.when(F.col("repaired"), F.col("own")).otherwise("failed").alias("state")))
-        count = more.count()
-        if not count:
+        if not more.limit(1).count():
             break
         known = durable(known.union(more))
     return base.join(known, "pr", "left").select("pr", F.coalesce("state", F.lit("in_progress")).alias("state"))
