@@ -43,7 +43,7 @@ def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their token ids, in sequences."""
-    return packing.pack(docs, with_ids=True)
+    return packing.pack(docs, id_bytes=2)
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("decontamination", decontamination), ("pii", redaction), ("packing", pack)]

@@ -112,23 +112,25 @@ PIECES = pa.struct([("doc_tokens", pa.int64()), ("pieces", pa.list_(pa.struct([(
 SCHEMA = "struct<doc_tokens:long,pieces:array<struct<start:long,length:long,ids_crc32:long,ids:binary>>>"
 
 
-def cut(tokenizer_name: str, capacity: int, slack: int, end_id: int, with_ids: bool) -> Callable[[bytes | None], dict]:
+def cut(tokenizer_name: str, capacity: int, slack: int, end_id: int, id_bytes: int) -> Callable[[bytes | None], dict]:
     encode = tokenizer(tokenizer_name)
 
     def one(text: bytes | None) -> dict:
-        ids = np.append(encode(text), np.array(end_id, "<u4")).tobytes()
-        pieces = []
+        numbers = np.append(encode(text), np.array(end_id, "<u4"))
+        if 0 < id_bytes < 4 and int(numbers.max()) >> 8 * id_bytes:
+            raise ValueError(f"ids don't fit {id_bytes} bytes")
+        ids, short, pieces = numbers.tobytes(), numbers.astype(f"<u{id_bytes or 4}"), []
         for start, length in cuts(len(ids) // 4, capacity, slack):
             part = ids[4 * start : 4 * (start + length)]
-            pieces.append({"start": start, "length": length, "ids_crc32": zlib.crc32(part), "ids": part if with_ids else None})
+            pieces.append({"start": start, "length": length, "ids_crc32": zlib.crc32(part), "ids": short[start : start + length].tobytes() if id_bytes else None})
         return {"doc_tokens": len(ids) // 4, "pieces": pieces}
 
     return one
 
 
-def tokenized(docs: DataFrame, tokenizer_name: str, text: str = "text", capacity: int = CAPACITY, slack: int = SLACK, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer_name: str, text: str = "text", capacity: int = CAPACITY, slack: int = SLACK, end_id: int = END_ID, id_bytes: int = 0) -> DataFrame:
     """docs with a struct ``cut``: the document's tokens and its pieces (with their ids if asked for)."""
-    return put(docs, cut=per_row(lambda: cut(tokenizer_name, capacity, slack, end_id, with_ids), SCHEMA, PIECES, F.col(text)))
+    return put(docs, cut=per_row(lambda: cut(tokenizer_name, capacity, slack, end_id, id_bytes), SCHEMA, PIECES, F.col(text)))
 
 
 def first_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -182,15 +184,15 @@ def assign(pieces: DataFrame, row: str, capacity: int = CAPACITY, lots: int | No
     return main.select(*columns).union(rest.join(ends, row).select(*columns))
 
 
-def pack(docs: DataFrame, tokenizer_name: str = "word_bpe_49k.json", doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, slack: int = SLACK, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with_ids: ids (little-endian unsigned 32-bit
-    numbers), which are shuffled once.
+def pack(docs: DataFrame, tokenizer_name: str = "word_bpe_49k.json", doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, slack: int = SLACK, end_id: int = END_ID, id_bytes: int = 0) -> DataFrame:
+    """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and if ``id_bytes`` is 2 or 4: ids (little-endian unsigned
+    numbers of so many bytes), which are shuffled once. An id that doesn't fit is an error.
 
     A null or empty text is the end id alone; a text of any length is tokenized whole. Rows that repeat a document are packed one by one, rows with a
     null id too. An empty table gives an empty result.
     """
-    cut_ = tokenized(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), tokenizer_name, "text", capacity, slack, end_id, with_ids)
+    cut_ = tokenized(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), tokenizer_name, "text", capacity, slack, end_id, id_bytes)
     rows = cut_.select("doc_id", "cut.doc_tokens", F.explode("cut.pieces").alias("p"))
-    pieces = stored(rows.select("doc_id", "p.start", "p.length", "p.ids_crc32", "doc_tokens", *(["p.ids"] if with_ids else []), F.monotonically_increasing_id().alias("row")))
+    pieces = stored(rows.select("doc_id", "p.start", "p.length", "p.ids_crc32", "doc_tokens", *(["p.ids"] if id_bytes else []), F.monotonically_increasing_id().alias("row")))
     out = assign(pieces.drop("ids"), "row", capacity)
-    return (out.join(pieces.select("row", "ids"), "row") if with_ids else out).drop("row")
+    return (out.join(pieces.select("row", "ids"), "row") if id_bytes else out).drop("row")

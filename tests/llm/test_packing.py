@@ -85,8 +85,9 @@ def test_blocks_equal_whole_text():
 
 
 def test_odd_rows(spark, docs):
-    got = packing.pack(docs.limit(10), with_ids=True).collect()
+    got = packing.pack(docs.limit(10), id_bytes=4).collect()
     assert all(zlib.crc32(r["ids"]) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"] for r in got)
+    assert all(zlib.crc32(np.frombuffer(r["ids"], "<u2").astype("<u4").tobytes()) == r["ids_crc32"] for r in packing.pack(docs.limit(10), id_bytes=2).collect())
     assert sum(r["length"] for r in got if r["doc_id"] == 2) == 2 * next(r["doc_tokens"] for r in got if r["doc_id"] == 2)
     assert [r["doc_tokens"] for r in got if r["doc_id"] in (3, 4, 5)] == [1, 1, 1]
     assert any(r["doc_id"] is None for r in got)
