@@ -32,7 +32,7 @@ from .common import fresh, put, stored
 UNDETERMINED = "und"
 PAD = b"\n"
 #: Bytes that are scored at once; bounds a task's memory whatever a text's length.
-SEGMENT = 1 << 19
+SEGMENT = 1 << 17
 #: Languages of one set of trees. Rows of a label's sample from which some are kept to measure the spread.
 SHARD, SPREAD_ROWS = 16, 12
 #: Standard deviations above a language's own bits a byte at which a text is as likely in no learnt language.
@@ -158,13 +158,21 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     sample = stored(known.join(sizes, "l").where(lot < share).select("l", window.alias("t"), spread.alias("spread")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted(by: dict[str, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            for name, parts in by.items():
+                grams, n = np.unique(np.concatenate(parts), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(grams)), pa.array(grams.astype(np.int64)), pa.array(n)], ["l", "g", "n"])
+
         for b in batches:
             by: dict[str, list[np.ndarray]] = {}
+            held = 0
             for name, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 by.setdefault(name, []).append(strings(np.frombuffer(PAD * order + t.encode(), np.uint8), order))
-            for name, parts in by.items():
-                grams, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(grams)), pa.array(grams.astype(np.int64)), pa.array(n)], ["l", "g", "n"])
+                held += len(by[name][-1])
+                if held >= 8 * SEGMENT:  # counts of parts add up
+                    yield from counted(by)
+                    by, held = {}, 0
+            yield from counted(by)
 
     learnt = sample.where("not spread and t <> ''").select("l", "t")
     rows = learnt.mapInArrow(count, "l string, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n")).toArrow()
