@@ -105,9 +105,10 @@ def checkout_links(v: Views) -> DataFrame:
     return a.path_links(v.contexts.withColumnRenamed("cwd", "path"), RULES, checkouts).select("path", "root", "link.project_key")
 
 
-@query("WITH f AS (SELECT DISTINCT session_id, cwd FROM contexts c WHERE cwd IS NOT NULL AND k % 7 = 1 AND us >= $SINCE), l AS (SELECT session_id, " + LINKED.format("cwd") + " AS x FROM f) SELECT session_id, CASE WHEN min(x) = max(x) THEN split_part(min(x), '|', 1) ELSE 'unassigned' END AS bucket, CASE WHEN min(x) = max(x) THEN nullif(split_part(min(x), '|', 2), '') END AS project_key FROM l GROUP BY 1")
+@query("WITH f AS (SELECT DISTINCT session_id || '/' || CAST({div:us:86400000000} AS STRING) AS session_id, cwd FROM contexts WHERE cwd IS NOT NULL AND us >= $SINCE), l AS (SELECT session_id, " + LINKED.format("cwd") + " AS x FROM f) SELECT session_id, CASE WHEN min(x) = max(x) THEN split_part(min(x), '|', 1) ELSE 'unassigned' END AS bucket, CASE WHEN min(x) = max(x) THEN nullif(split_part(min(x), '|', 2), '') END AS project_key FROM l GROUP BY 1")
 def session_project(v: Views) -> DataFrame:
-    paths = v.contexts.where(f"cwd IS NOT NULL AND k % 7 = 1 AND us >= {SINCE}").select("session_id", F.col("cwd").alias("path")).distinct()
+    day = F.concat("session_id", F.lit("/"), F.expr("us div 86400000000").cast("string"))  # a day of a session stands for a session
+    paths = v.contexts.where(f"cwd IS NOT NULL AND us >= {SINCE}").select(day.alias("session_id"), F.col("cwd").alias("path")).distinct()
     return a.session_links(paths, a.path_links(paths, RULES)).select("session_id", "link.bucket", "link.project_key")
 
 

@@ -84,9 +84,9 @@ def volume_flags(v: Views) -> DataFrame:
     return x.volume_flags(armed(v), (13, 10))
 
 
-@query(f"WITH {REG}, c AS (SELECT 'e' || CAST(unit_id % 3 AS STRING) AS experiment, dispatched_us AS at_us, model AS label FROM units WHERE unit_id % 17 = 0) SELECT DISTINCT c.experiment, label FROM c JOIN reg r ON c.experiment = r.experiment WHERE (at_us >= before_since AND at_us < before_until) OR (at_us >= after_since AND at_us < after_until)")
+@query(f"WITH {REG}, c AS (SELECT 'e' || CAST(unit_id % 3 AS STRING) AS experiment, dispatched_us AS at_us, model AS label FROM units) SELECT DISTINCT c.experiment, label FROM c JOIN reg r ON c.experiment = r.experiment WHERE (at_us >= before_since AND at_us < before_until) OR (at_us >= after_since AND at_us < after_until)")
 def confounders(v: Views) -> DataFrame:
-    c = v.units.where("unit_id % 17 = 0").select(F.concat(F.lit("e"), (F.col("unit_id") % 3).cast("string")).alias("experiment"), F.col("dispatched_us").alias("at_us"), F.col("model").alias("label"))
+    c = v.units.select(F.concat(F.lit("e"), (F.col("unit_id") % 3).cast("string")).alias("experiment"), F.col("dispatched_us").alias("at_us"), F.col("model").alias("label"))
     return x.confounders(c, registrations(v))
 
 
@@ -135,10 +135,10 @@ def newcombe_difference(v: Views) -> DataFrame:
     return rounded(out)
 
 
-BOOT = """, f AS (SELECT *, row_number() OVER (PARTITION BY experiment, arm ORDER BY unit_id) - 1 AS slot, count(*) OVER (PARTITION BY experiment, arm) AS n FROM armed WHERE unit_id % 7 = 0 AND tokens IS NOT NULL),
-k AS (SELECT experiment, arm, n, slot, unnest(range(0, 50)) AS replicate FROM f),
+BOOT = """, f AS (SELECT *, row_number() OVER (PARTITION BY experiment, arm ORDER BY unit_id) - 1 AS slot, count(*) OVER (PARTITION BY experiment, arm) AS n FROM armed),
+k AS (SELECT experiment, arm, n, slot, unnest(range(0, 5000)) AS replicate FROM f),
 g AS (SELECT experiment, arm, replicate, CAST(('0x' || substr(md5('1729|' || arm || '|' || CAST(replicate AS STRING) || '|' || CAST(slot AS STRING)), 1, 8)) AS BIGINT) % n AS slot FROM k),
-c AS (SELECT g.experiment, replicate, g.arm, CASE WHEN count(*) FILTER (state = 'success') > 0 THEN CAST(sum(tokens) AS DOUBLE) / count(*) FILTER (state = 'success') END AS v FROM g JOIN f ON g.experiment = f.experiment AND g.arm = f.arm AND g.slot = f.slot GROUP BY 1, 2, 3),
+c AS (SELECT g.experiment, replicate, g.arm, CASE WHEN count(tokens) = count(*) AND count(*) FILTER (state = 'success') > 0 THEN CAST(sum(tokens) AS DOUBLE) / count(*) FILTER (state = 'success') END AS v FROM g JOIN f ON g.experiment = f.experiment AND g.arm = f.arm AND g.slot = f.slot GROUP BY 1, 2, 3),
 q AS (SELECT experiment, replicate, max(v) FILTER (arm = 'after') / max(v) FILTER (arm = 'before') AS r FROM c GROUP BY 1, 2),
 ci AS (SELECT experiment, 'tokens' AS metric, count(*) FILTER (r IS NULL) AS undefined, CASE WHEN count(r) = count(*) THEN quantile_cont(r, 0.025) END AS low, CASE WHEN count(r) = count(*) THEN quantile_cont(r, 0.975) END AS high FROM q GROUP BY 1) """
 

@@ -119,9 +119,10 @@ def context_conflicts(v: Views) -> DataFrame:
     return fold.conflicts(v.contexts.withColumn("us", F.expr("us div 86400000000")), "cwd")
 
 
-@query("SELECT session_id, min(us) AS us, min(a) AS a, min(b) AS b FROM (SELECT session_id, us, k % 2 AS a, CASE WHEN k < 40 THEN 1 END AS b FROM models WHERE k < 3 OR k > 80) GROUP BY 1 HAVING count(DISTINCT a) = 1 AND (count(b) = 0 OR (count(b) = count(*) AND count(DISTINCT b) = 1))")
+@query("SELECT session_id, min(us) AS us, min(a) AS a, min(b) AS b FROM (SELECT session_id || '/' || CAST({div:us:86400000000} AS STRING) AS session_id, us, k % 2 AS a, CASE WHEN k < 40 THEN 1 END AS b FROM models) GROUP BY 1 HAVING count(DISTINCT a) = 1 AND (count(b) = 0 OR (count(b) = count(*) AND count(DISTINCT b) = 1))")
 def immutable_dispatch(v: Views) -> DataFrame:
-    starts = v.models.where("k < 3 OR k > 80").select("session_id", "us", (F.col("k") % 2).alias("a"), F.when(F.col("k") < 40, F.lit(1)).alias("b"))
+    dispatch = F.concat("session_id", F.lit("/"), F.expr("us div 86400000000").cast("string"))  # a session's starts of one day
+    starts = v.models.select(dispatch.alias("session_id"), "us", (F.col("k") % 2).alias("a"), F.when(F.col("k") < 40, F.lit(1)).alias("b"))
     return fold.immutable(starts, ("a", "b"))
 
 

@@ -195,14 +195,14 @@ def denial_summary(v: Views) -> DataFrame:
 
 
 LABELS = """
-lab AS (SELECT *, row_number() OVER (ORDER BY ord) AS line FROM (SELECT ord, lpad(session_id, 9, '0') AS prefix, CASE WHEN k % 2 = 0 THEN agent END AS agent, CASE WHEN k % 3 <> 0 THEN {div:us:86400000000} * 86400000000 END AS us, 'l' || CAST(k % 3 AS STRING) AS lane, CASE WHEN k % 4 <> 0 THEN 'h' || CAST(k % 2 AS STRING) END AS host FROM contexts WHERE k % 5 = 0)),
+lab AS (SELECT *, row_number() OVER (ORDER BY ord) AS line FROM (SELECT ord, lpad(session_id, 9, '0') AS prefix, CASE WHEN k % 2 = 0 THEN agent END AS agent, CASE WHEN k % 3 <> 0 THEN {div:us:86400000000} * 86400000000 END AS us, 'l' || CAST(k % 3 AS STRING) AS lane, CASE WHEN k % 4 <> 0 THEN 'h' || CAST(k % 2 AS STRING) END AS host FROM contexts)),
 ses AS (SELECT DISTINCT lpad(session_id, 9, '0') || 'x' AS session_id, agent FROM ev),
 hit AS (SELECT s.session_id, coalesce(l.us, -4611686018427387904) AS from_us, lane, host, line, row_number() OVER (PARTITION BY s.session_id, coalesce(l.us, -4611686018427387904) ORDER BY line DESC) AS n FROM ses s JOIN lab l ON starts_with(s.session_id, l.prefix) AND (l.agent IS NULL OR l.agent = s.agent)),
 seg AS (SELECT session_id, from_us, coalesce(lead(from_us) OVER (PARTITION BY session_id ORDER BY from_us), 4611686018427387904) AS to_us, lane, host FROM hit WHERE n = 1) """
 
 
 def labels(v: Views) -> DataFrame:
-    pick = v.contexts.where("k % 5 = 0").selectExpr("ord", "lpad(session_id, 9, '0') AS prefix", "CASE WHEN k % 2 = 0 THEN agent END AS agent", "CASE WHEN k % 3 <> 0 THEN us div 86400000000 * 86400000000 END AS us", "'l' || CAST(k % 3 AS STRING) AS lane", "CASE WHEN k % 4 <> 0 THEN 'h' || CAST(k % 2 AS STRING) END AS host")
+    pick = v.contexts.selectExpr("ord", "lpad(session_id, 9, '0') AS prefix", "CASE WHEN k % 2 = 0 THEN agent END AS agent", "CASE WHEN k % 3 <> 0 THEN us div 86400000000 * 86400000000 END AS us", "'l' || CAST(k % 3 AS STRING) AS lane", "CASE WHEN k % 4 <> 0 THEN 'h' || CAST(k % 2 AS STRING) END AS host")
     return pick.withColumn("line", F.col("ord"))
 
 

@@ -87,13 +87,13 @@ def attempt_states(v: Views) -> DataFrame:
     return attempts(v)
 
 
-JUDGED = ATTEMPTS + f""", d AS (SELECT p.author AS deliverable, min(p.merged_us) - 1000 AS dispatched_us, min(CASE st.state WHEN 'failed' THEN 0 WHEN 'in_progress' THEN 1 WHEN 'immature' THEN 2 WHEN 'unverified' THEN 3 ELSE 4 END) AS k, max(CASE WHEN status <> 'O' THEN merged_us END) AS c, bool_or(slot = 3 AND p.pr % 2 = 0) AS retry, bool_or(p.pr % 9 = 0) AS no FROM pulls p JOIN st ON p.pr = st.pr WHERE p.pr % 4 <> 1 GROUP BY 1),
+JUDGED = ATTEMPTS + f""", d AS (SELECT p.author * 4 + p.slot AS deliverable, min(p.merged_us) - 1000 AS dispatched_us, min(CASE st.state WHEN 'failed' THEN 0 WHEN 'in_progress' THEN 1 WHEN 'immature' THEN 2 WHEN 'unverified' THEN 3 ELSE 4 END) AS k, max(CASE WHEN status <> 'O' THEN merged_us END) AS c, bool_or(slot = 3 AND p.pr % 2 = 0) AS retry, bool_or(p.pr % 9 = 0) AS no FROM pulls p JOIN st ON p.pr = st.pr GROUP BY 1),
 jd AS (SELECT *, CASE WHEN k = 4 AND no THEN 'in_progress' ELSE ['failed', 'in_progress', 'immature', 'unverified', 'success'][k + 1] END AS state FROM d),
 jj AS (SELECT deliverable, state, CASE WHEN state <> 'in_progress' THEN c END AS closed_us, CASE WHEN state <> 'in_progress' THEN c END - dispatched_us AS elapsed_us, state = 'success' AND NOT retry AS first_pass, CASE WHEN k = 4 AND no THEN 'human_acceptance_pending' END AS reason FROM jd) """
 
 
 def judged(v: Views) -> DataFrame:
-    p = v.pulls.where("pr % 4 <> 1").join(attempts(v), "pr").withColumn("deliverable", F.col("author"))
+    p = v.pulls.join(attempts(v), "pr").withColumn("deliverable", F.col("author") * 4 + F.col("slot"))  # an author's pull requests of one slot
     parts = p.select("deliverable", (F.col("merged_us") - 1000).alias("dispatched_us"), "state", F.when(F.col("status") != "O", F.col("merged_us")).alias("closed_us"), ((F.col("slot") == 3) & (F.col("pr") % 2 == 0)).alias("retry"), F.when(F.col("pr") % 9 == 0, "n").otherwise("y").alias("human"))
     return o.judge(parts)
 
@@ -103,11 +103,11 @@ def deliverable_states(v: Views) -> DataFrame:
     return judged(v)
 
 
-@query(JUDGED + """, s AS (SELECT CASE WHEN orders.o_orderkey % 3 <> 0 THEN o_custkey END AS deliverable, CAST(round(o_totalprice) AS BIGINT) AS tokens FROM orders), w AS (SELECT count(*) FILTER (state = 'success') AS wins FROM jj)
+@query(JUDGED + """, s AS (SELECT CASE WHEN orders.o_orderkey % 3 <> 0 THEN o_custkey * 4 + o_orderkey % 4 END AS deliverable, CAST(round(o_totalprice) AS BIGINT) AS tokens FROM orders), w AS (SELECT count(*) FILTER (state = 'success') AS wins FROM jj)
 SELECT wins, round(CASE WHEN wins > 0 THEN (SELECT sum(tokens) FROM s) / wins END, 6) AS operational, round(CASE WHEN wins > 0 THEN (SELECT sum(tokens) FROM s WHERE deliverable IS NOT NULL) / wins END, 6) AS operational_linked,
  round(CASE WHEN wins > 0 THEN (SELECT sum(tokens) FROM s JOIN jj ON s.deliverable = jj.deliverable WHERE state IN ('success', 'failed')) / wins END, 6) AS cohort FROM w""")
 def cost_per_success(v: Views) -> DataFrame:
-    spend = v.table("orders").select(F.when(F.col("o_orderkey") % 3 != 0, F.col("o_custkey")).alias("deliverable"), F.round("o_totalprice").cast("long").alias("tokens"))
+    spend = v.table("orders").select(F.when(F.col("o_orderkey") % 3 != 0, F.col("o_custkey") * 4 + F.col("o_orderkey") % 4).alias("deliverable"), F.round("o_totalprice").cast("long").alias("tokens"))
     return rounded(o.cost_per_success(judged(v), spend))
 
 
@@ -123,11 +123,11 @@ def id_mentions(v: Views) -> DataFrame:
     return o.id_mentions(v.contexts.where("cwd IS NOT NULL").select(F.col("cwd").alias("value")), ids)
 
 
-@query("""WITH d AS (SELECT ord AS deliverable, k % 3 AS project, us AS a, CASE WHEN k % 5 <> 0 THEN us + 86400000000 END AS z FROM models WHERE k % 4 = 0), e AS (SELECT ord, k % 3 AS project, us FROM usage),
+@query("""WITH d AS (SELECT ord AS deliverable, k % 3 AS project, us AS a, CASE WHEN k % 5 <> 0 THEN us + 86400000000 END AS z FROM models), e AS (SELECT ord, k % 3 AS project, us FROM usage),
 j AS (SELECT e.ord, min(deliverable) AS x, max(deliverable) AS y FROM e LEFT JOIN d ON e.project = d.project AND e.us >= a AND (z IS NULL OR e.us <= z) GROUP BY 1)
 SELECT ord, CASE WHEN x = y THEN x END AS deliverable, CASE WHEN x IS NULL THEN 'unallocated' WHEN x = y THEN 'linked' ELSE 'ambiguous' END AS bucket FROM j""")
 def open_deliverables(v: Views) -> DataFrame:
-    d = v.models.where("k % 4 = 0").select(F.col("ord").alias("deliverable"), (F.col("k") % 3).alias("project"), F.col("us").alias("dispatched_us"), F.when(F.col("k") % 5 != 0, F.col("us") + DAY).alias("closed_us"))
+    d = v.models.select(F.col("ord").alias("deliverable"), (F.col("k") % 3).alias("project"), F.col("us").alias("dispatched_us"), F.when(F.col("k") % 5 != 0, F.col("us") + DAY).alias("closed_us"))
     return o.open_during(v.usage.select("ord", (F.col("k") % 3).alias("project"), "us"), d)
 
 

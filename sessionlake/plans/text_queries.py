@@ -122,10 +122,10 @@ def fleet_totals(v: Views) -> DataFrame:
     return live.fleet(live.trailing_hours(requests(v), NOW))
 
 
-@query("""WITH c AS (SELECT session_id, ord, k, CASE WHEN ord > min(ord) OVER (PARTITION BY session_id) AND (k % 4) <> lag(k % 4) OVER (PARTITION BY session_id ORDER BY ord) THEN 1 ELSE 0 END AS c FROM models WHERE k % 4 < 2),
+@query("""WITH c AS (SELECT session_id, ord, k, CASE WHEN ord > min(ord) OVER (PARTITION BY session_id) AND (k % 4) <> lag(k % 4) OVER (PARTITION BY session_id ORDER BY ord) THEN 1 ELSE 0 END AS c FROM models),
 e AS (SELECT *, sum(c) OVER (PARTITION BY session_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS e FROM c) SELECT session_id, ord FROM e WHERE e = (SELECT max(e) FROM e f WHERE f.session_id = e.session_id)""")
 def last_epochs(v: Views) -> DataFrame:
-    return live.last_epoch(v.models.where("k % 4 < 2").withColumn("identity", F.col("k") % 4), "identity").select("session_id", "ord")
+    return live.last_epoch(v.models.withColumn("identity", F.col("k") % 4), "identity").select("session_id", "ord")
 
 
 @query(f"""WITH s AS (SELECT *, reset_day * 86400000000 + 2592000000000 AS reset_us, lag(used) OVER w AS u0, lag(us) OVER w AS t0, lag(reset_day) OVER w AS r0, row_number() OVER (PARTITION BY account, engine ORDER BY us DESC, ord DESC) AS n FROM quota WHERE us < {NOW} WINDOW w AS (PARTITION BY account, engine ORDER BY us, ord)),

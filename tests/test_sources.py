@@ -29,7 +29,7 @@ def test_open_events_are_typed_and_problems_kept(spark, tmp_path):
     rows = [
         base | {"type": "session_start", "agent": "x", "role": "worker"}, base | {"type": "token_usage", "tokens": {"new_input": 5, "output": 3, "reasoning_output": 2, "cache_read": None}},
         base | {"type": "token_usage", "tokens": {"new_input": True}}, base | {"type": "token_usage", "tokens": {"output": 1, "reasoning_output": 2}}, base | {"type": "token_usage", "tokens": {}, "timestamp": "2024-01-01T00:00:00"},
-        base | {"type": "command_execution", "command": ["a", "b"], "exit_code": 0, "cwd": "/x"}, base | {"type": "command_execution", "command": 5}, base | {"type": "command_execution", "command": "a", "cwd": "rel"},
+        base | {"type": "command_execution", "command": ["a", "b"], "exit_code": 0, "cwd": "/x", "started_at": None}, base | {"type": "command_execution", "command": 5}, base | {"type": "command_execution", "command": "a", "cwd": "rel"},
         base | {"type": "dance"}, base | {"type": "file_edit", "schema_version": "1"}, base | {"type": "file_edit", "event_id": ""}, base | {"type": "session_start", "role": "boss"},
     ]
     (tmp_path / "e.jsonl").write_text("\n".join(map(json.dumps, rows)) + "\n")
@@ -38,6 +38,19 @@ def test_open_events_are_typed_and_problems_kept(spark, tmp_path):
     assert (got[1]["new_input"], got[1]["cache_read"], got[1]["us"], got[5]["exit_code"]) == (5, None, 1_704_067_200_000_000, 0)
 
 
+def test_open_usage_and_command_rules(spark, tmp_path):
+    base = {"schema_version": 1, "event_id": "e", "session_id": "s", "timestamp": "2024-01-01T00:00:00Z"}
+    use, run = base | {"type": "token_usage", "tokens": {"output": 1}}, base | {"type": "command_execution", "command": "a", "exit_code": 3, "cwd": "/x", "started_at": "2024-01-01T00:00:00Z"}
+    good = [use, use | {"cwd": None}, use | {"cwd": "/x"}, use | {"cwd": "C:\\x"}, run, run | {"command": []}, run | {"command": None, "exit_code": None, "cwd": None, "started_at": None}]
+    bad = [use | {"cwd": "rel"}, use | {"cwd": 5}, use | {"cwd": "//host/x"}, run | {"started_at": "yesterday"}, run | {"started_at": 5}, run | {"command": ["a", 1]}, run | {"command": ["a", None]}, run | {"exit_code": "1"}, run | {"exit_code": True}, run | {"exit_code": 1.5}, run | {"cwd": ""}]
+    bad += [{k: v for k, v in run.items() if k != name} for name in ("command", "exit_code", "cwd", "started_at")]
+    (tmp_path / "e.jsonl").write_text("\n".join(map(json.dumps, good + bad)) + "\n")
+    got = open_events.typed(jsonl.parsed(jsonl.read(spark, str(tmp_path)))).orderBy("byte_offset").collect()
+    assert [r["problem"] for r in got] == [None] * len(good) + [r["type"] for r in bad]
+    assert (got[4]["exit_code"], got[4]["cwd"]) == (3, "/x")
+    assert all(r["exit_code"] is None and r["cwd"] is None for r in got[len(good) :] if r["kind"] == "command_execution")
+
+
 def test_ledger_problems(spark, tmp_path):
     (tmp_path / "l.csv").write_text("id,dispatched_at,acceptance,repos,prs,branches,state_override,accepted_by_human,notes,task_type\na,2024-01-01T00:00:00Z,x,o/n;o/m,o/n#1;o/n#2:retry,b,,y,,t\nb,2024-01-01,x,,,,,,,\nc,2024-01-01T00:00:00Z,,,o/n#1,,,,,\nd,2024-01-01T00:00:00Z,,,bad,,,,,\nd,2024-01-01T00:00:00Z,,,,,,,,\n")
     got = tables.ledger(spark, str(tmp_path / "l.csv"))

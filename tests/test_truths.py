@@ -147,3 +147,12 @@ def test_human_rejection_waits(spark):
     parts = spark.createDataFrame([("d", 0, "success", 9, False, "n"), ("e", 0, "success", 9, False, "y"), ("e", 0, "unverified", None, True, "y")], "deliverable string, dispatched_us long, state string, closed_us long, retry boolean, human string")
     got = {r["deliverable"]: (r["state"], r["closed_us"], r["first_pass"]) for r in outcomes.judge(parts).collect()}
     assert got == {"d": ("in_progress", None, False), "e": ("unverified", 9, False)}
+
+
+def test_normalised_reasons(spark):
+    want = {
+        'Path "x y" outside /tmp/a.b; retry': "path outside", "Too large: config.d/foo 3.txt 12,000 bytes. Then": "too large: bytes", "foo/bar denied!": "foo denied", "see dir/ now": "see now",
+        r"C:\\a\\b.txt is Blocked.": "is blocked", "a.5 b": "a. b", "": "", "'a;b' `c` No": "no", "~/x and ../y, z": "and , z",
+    }
+    df = spark.createDataFrame(list(want.items()), "reason string, want string").union(spark.createDataFrame([(None, None)], "reason string, want string"))
+    assert [tuple(r) for r in df.select("reason", s.normalize_reason(F.col("reason")).alias("got"), "want").collect() if r["got"] != r["want"]] == []
