@@ -177,14 +177,14 @@ def pulls_as_of(v: Views) -> DataFrame:
     return o.as_of(p, p.select("repo", F.col("pr").alias("sha"), F.col("created_us").alias("us")), NOW)[0].select("pr", "state", "merged_us")
 
 
-@query("""WITH c AS (SELECT repo, CAST(slot AS STRING) AS context, CASE WHEN pr % 2 = 0 THEN -1 ELSE slot END AS app FROM pulls WHERE pr % 50 = 0), r AS (SELECT repo, CAST(slot AS STRING) AS context, slot AS app FROM pulls WHERE pr % 50 = 1), x AS (SELECT DISTINCT repo, CAST(pr % 9 AS STRING) AS context FROM pulls WHERE pr % 50 = 2),
+@query("""WITH c AS (SELECT repo, CAST(slot AS STRING) AS context, CASE WHEN pr % 2 = 0 THEN -1 ELSE slot END AS app FROM pulls WHERE pr % 3 = 0), r AS (SELECT repo, CAST(slot AS STRING) AS context, slot AS app FROM pulls WHERE pr % 3 = 1), x AS (SELECT DISTINCT repo, CAST(pr % 9 AS STRING) AS context FROM pulls WHERE pr % 3 = 2),
 b AS (SELECT repo, context, CASE WHEN app <> -1 THEN app END AS app FROM (SELECT * FROM c UNION ALL SELECT * FROM r))
 SELECT repo, context, app FROM b UNION SELECT repo, context, NULL FROM x WHERE (repo, context) NOT IN (SELECT repo, context FROM b)""")
 def required_checks(v: Views) -> DataFrame:
     p = v.pulls
-    classic = p.where("pr % 50 = 0").selectExpr("repo", "CAST(slot AS STRING) AS context", "CASE WHEN pr % 2 = 0 THEN -1 ELSE slot END AS app")
-    rules = p.where("pr % 50 = 1").selectExpr("repo", "CAST(slot AS STRING) AS context", "slot AS app")
-    return o.required_checks(classic, rules, p.where("pr % 50 = 2").selectExpr("repo", "CAST(pr % 9 AS STRING) AS context"))
+    classic = p.where("pr % 3 = 0").selectExpr("repo", "CAST(slot AS STRING) AS context", "CASE WHEN pr % 2 = 0 THEN -1 ELSE slot END AS app")
+    rules = p.where("pr % 3 = 1").selectExpr("repo", "CAST(slot AS STRING) AS context", "slot AS app")
+    return o.required_checks(classic, rules, p.where("pr % 3 = 2").selectExpr("repo", "CAST(pr % 9 AS STRING) AS context"))
 
 
 @query("SELECT pr, min({div:us:86400000000} * 100000 + part) AS place, arg_min(name, {div:us:86400000000} * 100000 + part) AS sha FROM checks WHERE ok AND part % 3 = 0 GROUP BY 1")
