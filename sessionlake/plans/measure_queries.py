@@ -133,7 +133,8 @@ w AS (SELECT session_id, parent_id AS up, 0 AS depth FROM e UNION ALL SELECT w.s
 SELECT e.session_id, max(depth) FILTER (up IS NULL) AS depth FROM e LEFT JOIN w ON e.session_id = w.session_id GROUP BY 1""")
 def nesting_depth(v: Views) -> DataFrame:
     odd = F.when(F.col("user_id") % 11 == 3, F.concat(F.lit("u"), ((F.col("user_id") + 11) % 22).cast("string"))).otherwise(F.col("parent_id"))
-    return m.nesting_depth(v.sessions.withColumn("parent_id", odd)).select("session_id", F.col("depth").cast("int").alias("depth"))
+    # The view's parents are of any agent, so the agent is left out.
+    return m.nesting_depth(v.sessions.withColumn("parent_id", odd).drop("agent")).select("session_id", F.col("depth").cast("int").alias("depth"))
 
 
 @query(REQUESTS + """, o AS (SELECT session_id, agent, avg(context) AS mean, sum(greatest(context - 2000, 0)) AS a, sum(greatest(context - 10000, 0)) AS b FROM q WHERE context IS NOT NULL GROUP BY 1, 2)
