@@ -63,20 +63,20 @@ def metadata_observability(v: Views) -> DataFrame:
     return x.observability(armed(v).withColumn("note", F.when((F.col("agent") == "BUILDING") & (F.col("arm") == "after"), "x")), ("tokens", "note", "model"))
 
 
-MIX = """, c AS (SELECT experiment, model, count(*) FILTER (arm = 'before') AS b, count(*) FILTER (arm = 'after') AS a FROM armed WHERE NOT (arm = 'after' AND agent = 'MACHINERY' AND unit_id % 2 = 0) GROUP BY 1, 2),
+MIX = """, c AS (SELECT experiment, model, count(*) FILTER (arm = 'before') AS b, count(*) FILTER (arm = 'after') AS a FROM (SELECT experiment, arm, CASE WHEN arm = 'after' AND agent = 'MACHINERY' THEN '1-URGENT' ELSE model END AS model FROM armed) GROUP BY 1, 2),
 t AS (SELECT *, sum(b) OVER w AS nb, sum(a) OVER w AS na, max(b) OVER w AS mb, max(a) OVER w AS ma FROM c WINDOW w AS (PARTITION BY experiment))
 SELECT experiment, 'model' AS field, round(CAST(sum(abs(b * na - a * nb)) AS DOUBLE) / (2 * max(nb) * max(na)), 6) AS distance, sum(abs(b * na - a * nb)) * 200 > 2 * 1 * max(nb) * max(na) AS exceeds, bool_or((b = mb) <> (a = ma)) AS dominant_changed FROM t GROUP BY 1"""
 
 
 @query(ARMS + MIX)
 def mix_distance(v: Views) -> DataFrame:
-    u = armed(v).where("NOT (arm = 'after' AND agent = 'MACHINERY' AND unit_id % 2 = 0)")
+    u = armed(v).withColumn("model", F.when((F.col("arm") == "after") & (F.col("agent") == "MACHINERY"), "1-URGENT").otherwise(F.col("model")))
     return rounded(x.mix_distance(u, "model", (1, 200)))
 
 
-@query(ARMS + "SELECT experiment, agent, min(arm) AS arm FROM armed WHERE NOT (agent = 'BUILDING' AND arm = 'before' AND experiment = 'e1') GROUP BY 1, 2 HAVING min(arm) = max(arm)")
+@query(ARMS + "SELECT experiment, agent, min(arm) AS arm FROM (SELECT experiment, arm, CASE WHEN agent = 'BUILDING' AND arm = 'after' AND experiment = 'e1' THEN 'BUILT' ELSE agent END AS agent FROM armed) GROUP BY 1, 2 HAVING min(arm) = max(arm)")
 def one_arm_agents(v: Views) -> DataFrame:
-    return x.one_arm_agents(armed(v).where("NOT (agent = 'BUILDING' AND arm = 'before' AND experiment = 'e1')"))
+    return x.one_arm_agents(armed(v).withColumn("agent", F.expr("CASE WHEN agent = 'BUILDING' AND arm = 'after' AND experiment = 'e1' THEN 'BUILT' ELSE agent END")))
 
 
 @query(ARMS + "SELECT experiment, count(*) FILTER (arm = 'before') AS before, count(*) FILTER (arm = 'after') AS after, greatest(count(*) FILTER (arm = 'before'), count(*) FILTER (arm = 'after')) * 10 > 13 * least(count(*) FILTER (arm = 'before'), count(*) FILTER (arm = 'after')) AS volume_differs FROM armed GROUP BY 1")

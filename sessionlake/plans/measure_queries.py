@@ -43,9 +43,9 @@ def report_totals(v: Views) -> DataFrame:
     return m.totals(inside(v.usage))
 
 
-@query(f"SELECT a.agent, coalesce(events, 0) AS events, coalesce(total, 0) AS total, {', '.join(f'{k}, {k}_unreported' for k in KINDS)} FROM (SELECT DISTINCT agent FROM ev UNION SELECT 'other-agent') a LEFT JOIN (SELECT agent, count(*) AS events, CAST(sum(total) AS BIGINT) AS total, {SUMS} FROM usage WHERE {INSIDE} GROUP BY 1) u ON a.agent = u.agent")
+@query(f"SELECT a.agent, coalesce(events, 0) AS events, coalesce(total, 0) AS total, {', '.join(f'{k}, {k}_unreported' for k in KINDS)} FROM (SELECT DISTINCT agent FROM ev UNION SELECT c_mktsegment FROM customer) a LEFT JOIN (SELECT agent, count(*) AS events, CAST(sum(total) AS BIGINT) AS total, {SUMS} FROM usage WHERE {INSIDE} GROUP BY 1) u ON a.agent = u.agent")
 def totals_by_agent(v: Views) -> DataFrame:
-    agents = v.ev.select("agent").union(v.ev.limit(1).select(F.lit("other-agent")))
+    agents = v.ev.select("agent").union(v.table("customer").select("c_mktsegment"))
     return m.by_agent(inside(v.usage), agents)
 
 

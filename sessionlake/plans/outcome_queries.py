@@ -70,15 +70,15 @@ def disturbances(v: Views) -> DataFrame:
     return o.disturbances(v.pulls, later(v))
 
 
-ATTEMPTS = RUNS.replace("WITH l", "WITH RECURSIVE l") + f""", f AS (SELECT a.pr, a.pr * 2 AS repair FROM pulls a JOIN pulls b ON b.pr = a.pr * 2 WHERE a.pr % 5 = 1 AND a.pr > 0),
+ATTEMPTS = RUNS.replace("WITH l", "WITH RECURSIVE l") + f""", f AS (SELECT a.pr, a.pr * 2 AS repair FROM pulls a JOIN pulls b ON b.pr = a.pr * 2 WHERE a.pr > 0),
 own AS (SELECT p.pr, CASE WHEN status = 'O' THEN CASE WHEN slot = 1 THEN 'failed' ELSE 'in_progress' END WHEN verdict = 'red' OR p.pr % 11 = 0 THEN 'failed' WHEN merged_us + 604800000000 > {NOW} THEN 'immature' WHEN verdict = 'unknown' THEN 'unverified' ELSE 'success' END AS own FROM pulls p JOIN v ON p.pr = v.pr),
 ordered AS (SELECT own.pr, own, repair FROM own LEFT JOIN f ON own.pr = f.pr),
-st AS (SELECT pr, own AS state, 0 AS d FROM ordered WHERE repair IS NULL UNION ALL SELECT o.pr, CASE WHEN st.state = 'success' THEN o.own ELSE 'failed' END, d + 1 FROM ordered o JOIN st ON o.repair = st.pr WHERE d < 16) """
+st AS (SELECT pr, own AS state, 0 AS d FROM ordered WHERE repair IS NULL UNION ALL SELECT o.pr, CASE WHEN st.state = 'success' THEN o.own ELSE 'failed' END, d + 1 FROM ordered o JOIN st ON o.repair = st.pr) """
 
 
 def attempts(v: Views) -> DataFrame:
     p = v.pulls.join(verdicts(v), "pr").select("pr", F.when(F.col("status") != "O", F.col("merged_us")).alias("merged_us"), (F.col("slot") == 1).alias("closed"), F.col("verdict").alias("checks"), (F.col("pr") % 11 == 0).alias("reverted"))
-    follow = v.pulls.where("pr % 5 = 1 AND pr > 0").select("pr", (F.col("pr") * 2).alias("repair")).join(v.pulls.select(F.col("pr").alias("repair")), "repair", "left_semi")
+    follow = v.pulls.where("pr > 0").select("pr", (F.col("pr") * 2).alias("repair")).join(v.pulls.select(F.col("pr").alias("repair")), "repair", "left_semi")
     return o.attempt_states(p, follow, NOW)
 
 
@@ -131,7 +131,7 @@ def open_deliverables(v: Views) -> DataFrame:
     return o.open_during(v.usage.select("ord", (F.col("k") % 3).alias("project"), "us"), d)
 
 
-@query("""WITH e AS (SELECT session_id, max(us) AS edit FROM models WHERE k < 12 GROUP BY 1), c AS (SELECT p.session_id, p.us, CASE WHEN k % 7 <> 0 THEN us - (k % 4) * 3600000000 END AS s, CASE WHEN k % 6 <> 0 THEN k % 2 END AS code, k % 5 <> 0 AS here FROM pairs p WHERE kind = 'tool_end'),
+@query("""WITH e AS (SELECT session_id, max(us) AS edit FROM models GROUP BY 1), c AS (SELECT p.session_id, p.us, CASE WHEN k % 7 <> 0 THEN us - (k % 4) * 3600000000 END AS s, CASE WHEN k % 6 <> 0 THEN k % 2 END AS code, k % 5 <> 0 AS here FROM pairs p WHERE kind = 'tool_end'),
 a AS (SELECT session_id, max(us) AS last_us, max(us) FILTER (k % 2 = 0) AS done FROM ev WHERE us < $UNTIL + 691200000000 GROUP BY 1),
 x AS (SELECT c.*, edit, max(us) OVER (PARTITION BY c.session_id) AS m FROM c JOIN e ON c.session_id = e.session_id WHERE us > edit),
 l AS (SELECT session_id, bool_or(coalesce(s <= edit OR s > us, true)) AS early, bool_and(here) AS here, min(code) AS lo, max(code) AS hi, count(*) FILTER (code IS NULL) AS unk FROM x WHERE us = m GROUP BY 1),
@@ -142,7 +142,7 @@ def local_states(v: Views) -> DataFrame:
     from .bridge import UNTIL
 
     until = UNTIL + 8 * DAY
-    edits = v.models.where("k < 12").select("session_id", "us")
+    edits = v.models.select("session_id", "us")
     checks = v.pairs.where("kind = 'tool_end'").select("session_id", "us", F.when(F.col("k") % 7 != 0, F.col("us") - (F.col("k") % 4) * 3_600_000_000).alias("start_us"), F.when(F.col("k") % 6 != 0, F.col("k") % 2).alias("exit_code"), (F.col("k") % 5 != 0).alias("here"))
     activity = v.ev.where(F.col("us") < until).groupBy("session_id").agg(F.max("us").alias("last_us"), F.max(F.when(F.col("k") % 2 == 0, F.col("us"))).alias("completed_us"))
     return o.local_state(edits, checks, activity, until, 60)
@@ -153,11 +153,11 @@ def token_measurement(v: Views) -> DataFrame:
     return o.token_measurement(v.usage, ("cache_write", "output"))
 
 
-@query("""WITH c AS (SELECT o_custkey % 50 AS worker, o_orderkey % 200 AS pr, CASE o_orderstatus WHEN 'F' THEN 'created' WHEN 'P' THEN 'pushed' ELSE 'branch' END AS evidence FROM orders),
-b AS (SELECT worker, pr, max(CASE evidence WHEN 'created' THEN 2 WHEN 'pushed' THEN 1 ELSE 0 END) AS rank FROM c WHERE NOT (pr % 10 = 0 AND evidence <> 'branch') GROUP BY 1, 2)
+@query("""WITH c AS (SELECT o_custkey AS worker, {div:o_orderkey:4} AS pr, CASE o_orderstatus WHEN 'F' THEN 'created' WHEN 'P' THEN 'pushed' ELSE 'branch' END AS evidence FROM orders),
+b AS (SELECT worker, pr, max(CASE evidence WHEN 'created' THEN 2 WHEN 'pushed' THEN 1 ELSE 0 END) AS rank FROM c GROUP BY 1, 2)
 SELECT worker, pr, CASE rank WHEN 2 THEN 'created' WHEN 1 THEN 'pushed' ELSE 'branch' END AS evidence, rank FROM b WHERE rank > 0 OR pr NOT IN (SELECT pr FROM b WHERE rank > 0)""")
 def strongest_links(v: Views) -> DataFrame:
-    c = v.table("orders").selectExpr("o_custkey % 50 AS worker", "o_orderkey % 200 AS pr", "CASE o_orderstatus WHEN 'F' THEN 'created' WHEN 'P' THEN 'pushed' ELSE 'branch' END AS evidence").where("NOT (pr % 10 = 0 AND evidence <> 'branch')")
+    c = v.table("orders").selectExpr("o_custkey AS worker", "o_orderkey div 4 AS pr", "CASE o_orderstatus WHEN 'F' THEN 'created' WHEN 'P' THEN 'pushed' ELSE 'branch' END AS evidence")
     return o.strongest_links(c, {"created": 2, "pushed": 1, "branch": 0})
 
 
@@ -177,17 +177,16 @@ def pulls_as_of(v: Views) -> DataFrame:
     return o.as_of(p, p.select("repo", F.col("pr").alias("sha"), F.col("created_us").alias("us")), NOW)[0].select("pr", "state", "merged_us")
 
 
-@query("""WITH c AS (SELECT repo, CAST(slot AS STRING) AS context, CASE WHEN pr % 2 = 0 THEN -1 ELSE slot END AS app FROM pulls WHERE pr % 3 = 0), r AS (SELECT repo, CAST(slot AS STRING) AS context, slot AS app FROM pulls WHERE pr % 3 = 1), x AS (SELECT DISTINCT repo, CAST(pr % 9 AS STRING) AS context FROM pulls WHERE pr % 3 = 2),
+@query("""WITH c AS (SELECT repo, CAST(slot AS STRING) AS context, CASE WHEN status = 'O' THEN -1 ELSE author END AS app FROM pulls), r AS (SELECT repo, status AS context, author AS app FROM pulls), x AS (SELECT DISTINCT repo, CAST(slot + 2 AS STRING) AS context FROM pulls),
 b AS (SELECT repo, context, CASE WHEN app <> -1 THEN app END AS app FROM (SELECT * FROM c UNION ALL SELECT * FROM r))
 SELECT repo, context, app FROM b UNION SELECT repo, context, NULL FROM x WHERE (repo, context) NOT IN (SELECT repo, context FROM b)""")
 def required_checks(v: Views) -> DataFrame:
     p = v.pulls
-    classic = p.where("pr % 3 = 0").selectExpr("repo", "CAST(slot AS STRING) AS context", "CASE WHEN pr % 2 = 0 THEN -1 ELSE slot END AS app")
-    rules = p.where("pr % 3 = 1").selectExpr("repo", "CAST(slot AS STRING) AS context", "slot AS app")
-    return o.required_checks(classic, rules, p.where("pr % 3 = 2").selectExpr("repo", "CAST(pr % 9 AS STRING) AS context"))
+    classic = p.selectExpr("repo", "CAST(slot AS STRING) AS context", "CASE WHEN status = 'O' THEN -1 ELSE author END AS app")
+    return o.required_checks(classic, p.selectExpr("repo", "status AS context", "author AS app"), p.selectExpr("repo", "CAST(slot + 2 AS STRING) AS context"))
 
 
-@query("SELECT pr, min({div:us:86400000000} * 100000 + part) AS place, arg_min(name, {div:us:86400000000} * 100000 + part) AS sha FROM checks WHERE ok AND part % 3 = 0 GROUP BY 1")
+@query("SELECT pr, min({div:us:86400000000} * 100000 + part) AS place, arg_min(name, {div:us:86400000000} * 100000 + part) AS sha FROM checks WHERE ok GROUP BY 1")
 def merge_results(v: Views) -> DataFrame:
-    c = v.checks.select("pr", F.expr("us div 86400000000 * 100000 + part").alias("place"), F.col("name").alias("sha"), F.when(F.col("ok") & (F.col("part") % 3 == 0), 1).otherwise(0).alias("usable"))
+    c = v.checks.select("pr", F.expr("us div 86400000000 * 100000 + part").alias("place"), F.col("name").alias("sha"), F.when(F.col("ok"), 1).otherwise(0).alias("usable"))
     return o.merge_results(c)
