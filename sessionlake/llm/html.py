@@ -4,6 +4,7 @@ A tolerant reading of the markup gives a tree of block elements. Each paragraph
 length and commas) to its container, half of them to the container's parent and a third to that one's. A container's points
 are discounted by the share of its text that is link text. The best container is kept, with those of its siblings
 that score well too or read like paragraphs, and within an article all that is no links; scripts, styles, forms, menus, notices, adverts, comments and the like never are.
+A form, or a block whose class or id names boilerplate, is a mere wrapper and stays if it holds most of the page and all else would leave next to nothing.
 
 Row by row, no shuffle; the reading takes time in proportion to the page.
 """
@@ -13,6 +14,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,29 +40,38 @@ BOILERPLATE = set("ad ads advert adverts advertisement advertising adsense spons
 COMMENTS = set("comment comments commentlist disqus reply replies respond".split())
 CONTENT = set("article content main post entry story body text".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
+#: Outcomes of a look at an element: it stays, it goes unless it wraps the page's text, it goes.
+STAYS, DOUBTFUL, GOES = 0, 1, 2
+#: Points under which a page without article or main elements is no text in a wrapper but a form or a notice alone.
+LEAST_WRAPPED = 8.0
 HOLDS = {"article": 10.0, "main": 10.0, "section": 2.0, "div": 2.0, "ul": -3.0, "ol": -3.0, "table": -3.0, "dl": -3.0}
 
 
-def unwanted(tag: str, attributes: str, inside_article: bool) -> bool:
-    if tag in UNWANTED or (tag == "header" and not inside_article):
-        return True
+def outcome(tag: str, attributes: str, inside_article: bool) -> int:
+    doubtful = tag in ("form", "fieldset") or (tag == "header" and not inside_article)
+    if tag in UNWANTED and not doubtful:
+        return GOES
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return DOUBTFUL if doubtful else STAYS
     names: set[str] = set()
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
             names |= set(re.split(r"[^a-z]+", MODIFIER.sub(" ", value)))
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in ROLES) or (name == "style" and re.search(r"display\s*:\s*none", value)):
-            return True
-    return bool(names & COMMENTS) or bool(names & BOILERPLATE and not names & CONTENT)
+            return GOES
+    if names & COMMENTS:
+        return GOES
+    if names & BOILERPLATE and not names & CONTENT:
+        return DOUBTFUL if tag in BLOCKS else GOES
+    return DOUBTFUL if doubtful else STAYS
 
 
 class Page:
-    """Nodes in page order: parent, tag, end of the subtree, kept or not, points, characters and link characters; blocks of text by node."""
+    """Nodes in page order: parent, tag, end of the subtree, dropped or not, doubtful or not; blocks of text by node."""
 
     def __init__(self, html: str) -> None:
-        self.parent, self.tag, self.end, self.drop = [-1], ["#"], [0], [False]
+        self.parent, self.tag, self.end, self.drop, self.doubt = [-1], ["#"], [0], [False], [False]
         self.blocks: list[tuple[int, str, int]] = []
         self.stack, self.open = [0], Counter()
         self.text: list[str] = []
@@ -115,7 +126,7 @@ class Page:
             self.links = 1
         if tag not in BLOCKS and tag not in UNWANTED and "=" not in attributes:
             return
-        if tag not in BLOCKS and not unwanted(tag, attributes, False):
+        if tag not in BLOCKS and outcome(tag, attributes, False) == STAYS:
             return
         if tag in BLOCKS:
             self.flush()
@@ -131,7 +142,9 @@ class Page:
         self.parent.append(up)
         self.tag.append(tag)
         self.end.append(0)
-        self.drop.append(self.drop[up] or unwanted(tag, attributes, self.articles > 0))
+        judged = outcome(tag, attributes, self.articles > 0)
+        self.drop.append(self.drop[up] or judged == GOES)
+        self.doubt.append(judged == DOUBTFUL)
         self.stack.append(len(self.tag) - 1)
         self.open[tag] += 1
         self.articles += tag in ("article", "main")
@@ -154,21 +167,59 @@ class Page:
             self.flush()
 
 
+def points(text: str, links: int) -> float:
+    return ((len(text) >= 25) + text.count(",") + min(len(text) / 100, 3)) * (1 - links / len(text))
+
+
+def settled(page: Page) -> list[tuple[int, str, int]]:
+    """The blocks that no doubtful element takes away.
+
+    Those that hold over half of the page's points form a chain. So many of it, from the outermost, are held for wrappers as it takes to
+    reach an article or main element with half of the points, or a tenth of the points; none where the page has an article or main element beside them.
+    """
+    if not any(page.doubt):
+        return page.blocks
+    n = len(page.tag)
+    held = [0.0] * n
+    for node, text, links in page.blocks:
+        held[node] += points(text, links)
+    for i in range(n - 1, 0, -1):
+        held[page.parent[i]] += held[i]
+    level, off, chain, article = [0] * n, [False] * n, [], None
+    for i in range(1, n):
+        up = page.parent[i]
+        wrapper = page.doubt[i] and 2 * held[i] > held[0]
+        level[i], off[i] = level[up] + wrapper, off[up] or (page.doubt[i] and not wrapper)
+        if wrapper:
+            chain.append(i)
+        if page.tag[i] in ("article", "main") and not off[i] and not page.drop[i] and (level[i] == 0 or 2 * held[i] > held[0]):
+            article = level[i] if article is None else min(article, level[i])
+    wrappers = article or 0
+    if article is None and held[0] >= LEAST_WRAPPED:
+        free = [0.0] * (len(chain) + 1)
+        for node, text, links in page.blocks:
+            if not off[node]:
+                free[level[node]] += points(text, links)
+        wrappers = next((k for k, reached in enumerate(accumulate(free)) if 10 * reached >= held[0]), 0)
+    return [b for b in page.blocks if not off[b[0]] and level[b[0]] <= wrappers]
+
+
 def main_text(html: bytes | None) -> str:
     """The article's blocks, joined by newlines; a page without any text gives an empty one."""
     page = Page((html or b"").decode("utf-8", "replace"))
     n = len(page.tag)
     score, size, linked = [0.0] * n, [0] * n, [0] * n
     scored = [False] * n
-    for node, text, links in page.blocks:
+    blocks = settled(page)
+    for node, text, links in blocks:
         size[node] += len(text)
         linked[node] += links
         holder = page.parent[node] if page.tag[node] in PARAGRAPHS else node
-        points = ((len(text) >= 25) + text.count(",") + min(len(text) / 100, 3)) * (1 - links / len(text))
+        worth_of_text = points(text, links)
         for share in (1, 2, 3):
             if holder <= 0:
                 break
-            score[holder] += points / share
+            score[holder] += worth_of_text / share
             scored[holder] = True
             holder = page.parent[holder]
     for i in range(n - 1, 0, -1):
@@ -180,7 +231,7 @@ def main_text(html: bytes | None) -> str:
 
     found = [i for i in range(1, n) if scored[i]]
     if not found:
-        return "\n".join(t for _, t, links in page.blocks if links < len(t))
+        return "\n".join(t for _, t, links in blocks if links < len(t))
     best = max(found, key=lambda i: (worth(i), -i))
     keep = [(best, page.end[best])]
     for i in range(page.parent[best] + 1, page.end[page.parent[best]]):
@@ -199,7 +250,7 @@ def main_text(html: bytes | None) -> str:
                 keep.append((i, page.end[i]))
     kept = {i for a, b in keep for i in range(a, b)}
     own = page.parent[best]
-    return "\n".join(t for node, t, _ in page.blocks if node in kept or (node == own and page.tag[own] not in ("body", "html", "#")))
+    return "\n".join(t for node, t, _ in blocks if node in kept or (node == own and page.tag[own] not in ("body", "html", "#")))
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:

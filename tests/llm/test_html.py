@@ -77,3 +77,25 @@ def test_short_parts_of_an_article_stay():
     long = f"<p>{P}</p>" * 20
     got = text(page(f"<article><h1>Title</h1><section><h2>One</h2><div>{long}</div></section><section><h2>Two</h2><p>Short.</p></section><ul><li><a href=x>See this link</a></ul></article>"))
     assert got.split("\n") == ["Title", "One", *[P] * 20, "Two", "Short."]
+
+
+def test_wrappers_of_the_page_stay():
+    body = f"<h1>Title</h1><p>{P}</p><p>{P}</p>"
+    whole = f"Title\n{P}\n{P}"
+    side = f'<div class="sidebar"><p>{P}</p></div>'
+    for opened, closed in (('<div class="sidebar">', "</div>"), ("<form action=x>", "</form>"), ('<div class="nav-layout"><form><div id=overlay>', "</div></form></div>"), ("<header>", "</header>")):
+        for inner in (f"<article>{body}</article>", f"<main>{body}</main>", f"<article>{body}</article>{side}", f"<div>{body}<p>{P}</p></div>"):
+            expected = whole + f"\n{P}" if inner.startswith("<div") else whole
+            assert text(page(opened + inner + f"<input name=q>{closed}")) == expected, (opened, inner)
+
+
+def test_boilerplate_that_outweighs_the_article_goes():
+    big = f"<p>{P}</p>" * 30
+    for boilerplate in (f'<div class="sidebar">{big}</div>', f"<form>{big}</form>", f'<div class="related"><article>{big}</article></div>', f'<section id="comments">{big}</section>'):
+        assert text(page(f"<article><h1>Title</h1><p>{P}</p></article>{boilerplate}")) == f"Title\n{P}"
+        assert text(page(f"<article><h1>Title</h1><p>{P}</p>{boilerplate}</article>")).startswith(f"Title\n{P}")
+    cards = "".join(f"<article><p>{P}</p></article>" for _ in range(9))
+    assert text(page(f'<div><p>{P}</p><p>{P}</p><p>{P}</p></div><div class="related">{cards}</div>')) == f"{P}\n{P}\n{P}"
+    assert text(page(f'<form><label>Name, please</label><p>{P}</p></form>')) == ""
+    assert text(page(f'<div class="cookie-notice"><p>{P}</p></div>')) == ""
+    assert text("<div class=sidebar>" * 20_000 + f"<p>{P}</p>" * 5 + "</div>" * 20_000).count(P) == 5
