@@ -263,6 +263,23 @@ def label_rollup(usage: DataFrame, segments: DataFrame, dimensions: Sequence[str
     return one.select("session_id", "total", pairs).groupBy("x.dimension", "x.value").agg(F.count_distinct("session_id").alias("sessions"), F.count("*").alias("events"), F.sum("total").alias("total"))
 
 
+def segment_starts(requests: DataFrame, segments: DataFrame, since: int, until: int, first: int = 5) -> DataFrame:
+    """M31. Per session and label segment whose first call lies in the window: the first context, and the sum over its first calls there.
+
+    requests: session_id, us, ord, context. segments: session_id, from_us. Calls before the first segment are one of their own (null from_us). The sum is null if any of its contexts is.
+    """
+    marks = requests.select("session_id", "us", F.lit(1).alias("__p"), "ord", "context").unionByName(segments.select("session_id", F.col("from_us").alias("us"), F.lit(0).alias("__p")).distinct(), allowMissingColumns=True)
+    into = Window.partitionBy("session_id").orderBy("us", "__p", "ord")
+    calls = marks.withColumn("from_us", F.last(F.when(F.col("__p") == 0, F.col("us")), ignorenulls=True).over(into)).where("__p = 1")
+    n = F.row_number().over(Window.partitionBy("session_id", "from_us").orderBy("us", "ord"))
+    head = calls.withColumn("__n", n).where(F.col("__n") <= first).withColumn("__in", (F.col("us") >= since) & (F.col("us") < until))
+    out = head.groupBy("session_id", "from_us").agg(
+        F.bool_or(F.col("__in") & (F.col("__n") == 1)).alias("__starts"), F.max(F.when(F.col("__n") == 1, F.col("context"))).alias("first_context"),
+        F.when(F.bool_and(~F.col("__in") | F.col("context").isNotNull()), F.sum(F.when(F.col("__in"), F.col("context")))).alias("first_sum"),
+    )
+    return out.where("__starts").drop("__starts")
+
+
 def label_coverage(sessions: DataFrame, labels: DataFrame) -> DataFrame:
     """M32. Label lines that match a session and those that don't, and sessions with a label. One row."""
     right = labels.withColumn("__p", F.substring("prefix", 1, 8)).withColumnRenamed("agent", "__agent")

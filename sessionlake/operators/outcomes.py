@@ -154,10 +154,19 @@ def checks_basis(parts: DataFrame) -> DataFrame:
     return parts.groupBy("deliverable").agg(worst(F.col("basis"), tuple(reversed(BASES))).alias("basis"))
 
 
-def id_mentions(values: DataFrame, ids: DataFrame) -> DataFrame:
-    """J12. Distinct values that mention an id as a whole token: the values are split into tokens, which join the ids by equality."""
-    tokens = values.select("value").distinct().withColumn("id", F.explode(F.array_distinct(F.split("value", r"[^A-Za-z0-9_]+"))))
-    return tokens.join(ids.select("id").distinct(), "id", "left_semi").select("value", "id")
+def id_mentions(values: DataFrame, ids: DataFrame, paths: bool = False) -> DataFrame:
+    """J12. Distinct (value, id): the value holds the id with no ASCII letter or digit beside it. An id without any is never mentioned.
+
+    The id's first run of letters and digits is a whole run of the value, so that runs join by equality before the id is looked for. ``paths``:
+    values with a drive or a network share are compared without case.
+    """
+    run = r"[A-Za-z0-9]+"
+    any_case = F.col("value").rlike(r"^(?:[A-Za-z]:|//|\\\\)") if paths else F.lit(False)
+    v = values.select("value").where("value IS NOT NULL").distinct().withColumns({"run": F.explode(F.array_distinct(F.regexp_extract_all(F.lower("value"), F.lit(run), F.lit(0)))), "any_case": any_case})
+    d = ids.select("id").where("id IS NOT NULL").distinct().withColumn("run", F.lower(F.regexp_extract("id", run, 0)))
+    literal = F.concat(F.lit("\\Q"), F.replace(F.col("id"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    whole = F.concat(F.when(F.col("any_case"), "(?i)").otherwise(""), F.lit("(?<![A-Za-z0-9])"), literal, F.lit("(?![A-Za-z0-9])"))
+    return v.join(d, "run").where(F.regexp_like("value", whole)).select("value", "id").distinct()
 
 
 def open_during(events: DataFrame, deliverables: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """All registered queries of the library."""
 
-from . import attribution_queries, experiment_queries, fold_queries, measure_queries, outcome_queries, text_queries
+from . import attribution_queries, experiment_queries, fold_queries, measure_queries, outcome_queries, text_queries, worker_queries
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "experiment_queries", "attribution_queries", "fold_queries", "measure_queries", "outcome_queries", "text_queries"]
+__all__ = ["ORACLES", "QUERIES", "experiment_queries", "attribution_queries", "fold_queries", "measure_queries", "outcome_queries", "text_queries", "worker_queries"]

@@ -117,10 +117,11 @@ def checks_basis(v: Views) -> DataFrame:
     return o.checks_basis(v.pulls.select(F.col("author").alias("deliverable"), basis.alias("basis")))
 
 
-@query("WITH p AS (SELECT DISTINCT cwd AS value FROM contexts WHERE cwd IS NOT NULL), i AS (SELECT DISTINCT CASE WHEN k % 2 = 0 THEN 'r' ELSE 's' END || CAST(k % 3 AS STRING) AS id FROM ev) SELECT value, id FROM p JOIN i ON regexp_matches(value, '(^|[^A-Za-z0-9_])' || id || '($|[^A-Za-z0-9_])')")
+@query("WITH p AS (SELECT DISTINCT cwd || CASE WHEN k % 3 = 0 THEN '_x' ELSE '' END AS value FROM contexts WHERE cwd IS NOT NULL), i AS (SELECT DISTINCT CASE WHEN k % 2 = 0 THEN 'r' || CAST(k % 3 AS STRING) ELSE 's' || CAST(k % 3 AS STRING) || '_x' END AS id FROM ev) SELECT value, id FROM p JOIN i ON regexp_matches(value, '(^|[^A-Za-z0-9])' || id || '($|[^A-Za-z0-9])')")
 def id_mentions(v: Views) -> DataFrame:
-    ids = v.ev.select(F.concat(F.when(F.col("k") % 2 == 0, "r").otherwise("s"), (F.col("k") % 3).cast("string")).alias("id"))
-    return o.id_mentions(v.contexts.where("cwd IS NOT NULL").select(F.col("cwd").alias("value")), ids)
+    n = (F.col("k") % 3).cast("string")
+    ids = v.ev.select(F.when(F.col("k") % 2 == 0, F.concat(F.lit("r"), n)).otherwise(F.concat(F.lit("s"), n, F.lit("_x"))).alias("id"))
+    return o.id_mentions(v.contexts.where("cwd IS NOT NULL").select(F.concat("cwd", F.when(F.col("k") % 3 == 0, "_x").otherwise("")).alias("value")), ids)
 
 
 @query("""WITH d AS (SELECT ord AS deliverable, k % 3 AS project, us AS a, CASE WHEN k % 5 <> 0 THEN us + 86400000000 END AS z FROM models), e AS (SELECT ord, k % 3 AS project, us FROM usage),
