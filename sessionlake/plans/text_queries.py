@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import paths
 from ..functions import scalars as s
 from ..operators import live, texts
 from .bridge import UNTIL
@@ -56,6 +57,15 @@ def page_origins(v: Views) -> DataFrame:
     return v.table("pages").select("page_id", s.normalize_origin(F.col("url")).alias("origin")).where("origin IS NOT NULL")
 
 
+TOLD = "CASE k % 5 WHEN 0 THEN './a//b' WHEN 1 THEN '../b' WHEN 2 THEN '/abs//c/' WHEN 3 THEN 'd/../' || CAST(k AS STRING) ELSE '$X/y' END"
+
+
+@query(f"""WITH p AS (SELECT ord, cwd, {TOLD} AS told FROM contexts), x AS (SELECT ord, CASE WHEN starts_with(told, '$') THEN NULL WHEN starts_with(told, '/') THEN told ELSE cwd || '/' || told END AS x FROM p)
+SELECT ord, regexp_replace(regexp_replace(regexp_replace(rtrim(x, '/'), '/+', '/', 'g'), '/\\./', '/', 'g'), '/[^/]+/\\.\\.', '', 'g') AS path FROM x""")
+def resolved_paths(v: Views) -> DataFrame:
+    return v.contexts.select("ord", paths.resolve_path(F.expr(TOLD), F.col("cwd")).alias("path"))
+
+
 @query("SELECT k, count(*) AS n, CASE k % 8 WHEN 0 THEN 'read' WHEN 1 THEN 'shell' WHEN 2 THEN 'mcp' WHEN 3 THEN 'search' WHEN 4 THEN 'other' WHEN 5 THEN 'unnamed' WHEN 6 THEN 'web' ELSE 'agent' END AS class FROM ev GROUP BY 1")
 def tool_classes(v: Views) -> DataFrame:
     name = F.element_at(F.array(*map(F.lit, ("Read", "BASH", "mcp__a.read", "x.y.Grep", "made_up", "", "WebFetch", "Task"))), (F.col("k") % 8 + 1).cast("int"))
