@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html, langid, packing, pii, quality, secrets, simhash, tokencount, warc
+from . import decontam, html, langid, negatives, packing, pii, quality, secrets, simhash, tokencount, warc
 from .common import read, shared_dir
 from .spans import of_kind, said
 
@@ -70,5 +70,27 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *span_counts(pii.KINDS), F.sha2(said(F.col("base_spans")), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_warc, op3_quality, op4_simhash, op5_packing, op6_decontamination, op7_token_counts, op8_language_id, op9_html_text, op10_pii)}
-ORACLES: dict[str, str] = {}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_warc, op3_quality, op4_simhash, op5_packing, op6_decontamination, op7_token_counts, op8_language_id, op9_html_text, op10_pii, op11_hard_negatives)}
+ORACLES: dict[str, str] = {
+    "op11_hard_negatives": """
+WITH whole AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+  SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, coalesce(list_sum(list_transform(list_zip(a.q, b.q), x -> coalesce(x[1] * x[2], 0))), 0)::BIGINT AS score
+  FROM whole a JOIN whole b ON a.id % 100 = 0 AND a.id <> b.id
+),
+positives AS (SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.id AS positive_id, (row_number() OVER best)::INTEGER AS rank, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+WINDOW best AS (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id)
+QUALIFY row_number() OVER best <= 5
+""",
+}
