@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html, langid, negatives, packing, pii, quality, secrets, simhash, tokencount, warc
+from . import crosstoken, decontam, html, langid, negatives, packing, pii, quality, secrets, simhash, tokencount, warc
 from .common import read, shared_dir
 from .spans import of_kind, said
 
@@ -75,16 +75,22 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(rows, F.col("vec_id") % 100 == 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_warc, op3_quality, op4_simhash, op5_packing, op6_decontamination, op7_token_counts, op8_language_id, op9_html_text, op10_pii, op11_hard_negatives)}
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = crosstoken.align(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = F.when(F.col("aligned.n_a") > 0, F.sha2("aligned.groups", 256)).otherwise("")
+    return found.select("doc_id", *[F.col(f"aligned.{k}").alias(k) for k in ("n_a", "n_b", "n_groups")], F.col("aligned.n_groups").alias("n_links"), "aligned.n_best", "aligned.count_sum", digest.alias("groups_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_warc, op3_quality, op4_simhash, op5_packing, op6_decontamination, op7_token_counts, op8_language_id, op9_html_text, op10_pii, op11_hard_negatives, op12_token_alignment)}
 ORACLES: dict[str, str] = {
     "op11_hard_negatives": """
 WITH whole AS (
-  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS q
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ),
 scored AS (
-  SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, coalesce(list_sum(list_transform(list_zip(a.q, b.q), x -> coalesce(x[1] * x[2], 0))), 0)::BIGINT AS score
+  SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, coalesce(list_sum(list_transform(list_zip(a.q, b.q), lambda x: coalesce(x[1] * x[2], 0))), 0)::BIGINT AS score
   FROM whole a JOIN whole b ON a.id % 100 = 0 AND a.id <> b.id
 ),
 positives AS (SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
