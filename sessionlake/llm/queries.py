@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crosstoken, decontam, html, langid, negatives, packing, pii, quality, secrets, simhash, tokencount, warc
+from . import crosstoken, decontam, html, langid, negatives, packing, passages, pii, quality, secrets, simhash, tokencount, warc
 from .common import read, shared_dir
 from .spans import of_kind, said
 
@@ -81,7 +81,13 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[F.col(f"aligned.{k}").alias(k) for k in ("n_a", "n_b", "n_groups")], F.col("aligned.n_groups").alias("n_links"), "aligned.n_best", "aligned.count_sum", digest.alias("groups_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_warc, op3_quality, op4_simhash, op5_packing, op6_decontamination, op7_token_counts, op8_language_id, op9_html_text, op10_pii, op11_hard_negatives, op12_token_alignment)}
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = passages.classify(docs, passages.fit(docs, read(spark, sf_dir, "labels")))
+    return found.select("doc_id", F.coalesce(~passages.train_rows(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_warc, op3_quality, op4_simhash, op5_packing, op6_decontamination, op7_token_counts, op8_language_id, op9_html_text, op10_pii, op11_hard_negatives, op12_token_alignment, op13_quality_classifier)}
 ORACLES: dict[str, str] = {
     "op11_hard_negatives": """
 WITH whole AS (
