@@ -18,14 +18,15 @@ from __future__ import annotations
 import json
 import os
 import re
-import string
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
-from operator import itemgetter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,13 +34,15 @@ from .common import fresh, per_row, put, stored
 from .packing import byte_letters
 
 CHUNK, FAN = 1 << 16, 8
-#: Words, and parts of them, that a Python worker remembers at most.
-WORDS, PARTS = 200_000, 300_000
-#: Parts that are encoded together. Characters whose words are looked up together.
+#: Words that a task remembers at most, in each of two generations.
+WORDS = 150_000
+#: Words that are encoded together. Characters whose words are looked up together.
 BATCH, TEXTS = 4096, 1 << 19
-#: Written for a space in pieces; the only character that they spell as another. A word without signs, which A's pattern takes whole.
-SPACE_SIGN, WORD = "▁", re.compile(r" ?[^\W\d_]+")
-#: A space that isn't the first of its run begins no new part; neither tokenizer joins anything to a space after another character.
+#: Written for a space in pieces; the only character that they spell as another.
+SPACE_SIGN = "▁"
+#: Characters that any version of Unicode puts into the same classes.
+LATIN = re.compile("[\x00-\x7f\u00c0-\u024f]*").fullmatch
+#: A space that isn't the first of its run begins no new word; neither tokenizer joins anything to a space after another character.
 AFTER_SPACE, BEFORE_SPACE, CUT = re.compile(r"\s "), re.compile(r"(?<=\S)(?= )"), re.compile(rb"(?<=[!-~]) ")
 SHIFT = np.int64(32)
 
@@ -68,66 +71,92 @@ class Pair:
         if any(" " in p or re.search("[^▁]▁|\n", p) for p in plain) or sum(map(self.b.is_byte, range(len(pieces)))) != 256:
             raise ValueError("a piece spans the place before a space, or a newline, or bytes have no pieces")
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in v], np.int64) for v in (self.a_bytes, self.b_bytes))
-        self.a_names, self.b_names = (list(map(str, range(len(v)))) for v in (self.a_bytes, self.b_bytes))
-        # Where a word ends and a sign begins, both tokenizers cut: A by its pattern, B as no piece holds the two.
-        joined, signs = "\n".join(plain), "".join(map(re.escape, string.punctuation.replace("_", "")))
-        joint = re.escape("".join(sorted(set(re.findall(rf"([^\W_])[{signs}]", joined)))))
-        self.part = re.compile(rf"(?<=\S)(?=\n)|(?<=\S\n)(?=\S)|(?<=[^\W_{joint}])(?=[{signs}])")
-        self.lead = self.b.encode("\n")
+        named = lambda v, sign: np.array([f"{i}{sign}" for i in range(len(v))], object)
+        self.names = [named(v, ",") for v in (self.a_bytes, self.b_bytes)]
+        self.last_names = [named(self.a_bytes, "|"), named(self.b_bytes, ";")]
+        self.blank = self.b.encode("\n ")[len(self.b.encode("\n")) :]
         with open(path(a)) as f:
-            merges = json.load(f)["model"]["merges"]
-        ids = [self.a.token_to_id("".join(m.split(" ") if isinstance(m, str) else m)) for m in merges]
-        #: BPE of a word by ids as ranks, where merges have their ids' order.
-        self.bpe = tiktoken.Encoding("own", pat_str=r"\S+", mergeable_ranks={x: i for i, x in entries.items()}, special_tokens={})._core_bpe.encode_single_piece if ids == sorted(ids) and self.a.normalizer is None else None
-        self.remembered: dict[str, tuple | None] = {}
-
-    def known(self, parts: Iterable[str]) -> list[tuple | None]:
-        """Of each part of words: ids by A, by B, linked ids, groups; or None if its bytes aren't those of both."""
-        parts = list(parts)
-        new = [p for p in dict.fromkeys(parts) if p not in self.remembered]
-        if new:
-            if len(self.remembered) + len(new) > PARTS:
-                self.remembered = {p: self.remembered[p] for p in parts if p in self.remembered}
-            # B sees a newline first, which joins nothing.
-            for part, b in zip(new, self.b.encode(["\n" + p for p in new], num_threads=1), strict=True):
-                data = part.encode()
-                a = self.bpe(data) if self.bpe and WORD.fullmatch(part) else self.a.encode(part, add_special_tokens=False).ids
-                self.remembered[part] = self.closed(data, a, b[len(self.lead) :])
-        return list(map(self.remembered.__getitem__, parts))
-
-    def closed(self, data: bytes, a: list[int], b: list[int]) -> tuple | None:
-        a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if not b"".join(a_bytes) == data == b"".join(b_bytes):
-            return None
-        ends, at = {}, 0
-        for i, x in enumerate(a_bytes):
-            at += len(x)
-            ends[at] = i
-        linked, groups, m, n, at = [], [], 0, 0, 0
-        for j, x in enumerate(b_bytes):
-            at += len(x)
-            i = ends.get(at)
-            if i is not None:
-                linked.append(a[i] << 32 | b[j])
-                groups.append(f"{','.join([self.a_names[k] for k in a[m : i + 1]])}|{','.join([self.b_names[k] for k in b[n : j + 1]])}")
-                m, n = i + 1, j + 1
-        return a, b, linked, ";".join(groups)
-
-    def parts_of(self, words: Iterable[str]) -> list[list[str]]:
-        """The parts of each word, with a space put before it."""
-        return [self.part.split(" " + w) for w in words]
+            file = json.load(f)
+        ids = [self.a.token_to_id("".join(m.split(" ") if isinstance(m, str) else m)) for m in file["model"]["merges"]]
+        splits = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        usual = file["normalizer"] is None and ids == sorted(ids) and splits.items() <= (file["pre_tokenizer"] or {}).items()
+        #: The same tokens, faster, for texts of LATIN: the usual pattern, and merges by their ids.
+        self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={x: i for i, x in entries.items()}, special_tokens={})._core_bpe.encode_ordinary if usual else None
+
+    def a_ids(self, text: str) -> list[int]:
+        return self.fast(text) if self.fast and LATIN(text) else self.a.encode(text, add_special_tokens=False).ids
+
+    def encode(self, words: list[str]) -> Encoded:
+        """Of words, each with a space put before it, as B does itself before any text but an empty one."""
+        texts = [" " + w for w in words]
+        data = list(map(str.encode, texts))
+        ids, sizes, spelled = [], [], []
+        for found, spell in ((list(map(self.a_ids, texts)), self.a_bytes), ([x or self.blank for x in self.b.encode(words, num_threads=1)], self.b_bytes)):
+            flat = list(chain.from_iterable(found))
+            ids.append(np.array(flat, np.int64))
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+            spelled.append(list(map(spell.__getitem__, flat)))
+        out = Encoded(ids, sizes, np.fromiter(map(len, data), np.int64, len(data)), np.ones(len(data), bool))
+        if not b"".join(spelled[0]) == b"".join(data) == b"".join(spelled[1]):
+            at = [np.cumsum([0, *n]).tolist() for n in sizes]
+            for i, d in enumerate(data):
+                out.whole[i] = all(b"".join(x[n[i] : n[i + 1]]) == d for x, n in zip(spelled, at, strict=True))
+        return out
 
     def fragment(self, words: list[str], first: int = 0, last: int | None = None) -> dict:
         """Of the words' bytes, the fragment of the tokens that end after ``first`` and not after ``last``."""
-        found = self.known(p for ps in self.parts_of(words) for p in ps)
-        if None in found:
+        found = self.encode(words)
+        if not found.whole.all():
             return dict.fromkeys(("a", "b", "a_cuts", "b_cuts"), b"") | {"whole": False}
-        a, b = (np.fromiter((i for f in found for i in f[k]), np.int64) for k in (0, 1))
-        a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
-        a_in, b_in = ((e > first) & (e <= (e[-1] if last is None else last)) for e in (a_ends, b_ends))
-        a_ends, b_ends = a_ends[a_in], b_ends[b_in]
-        common = np.intersect1d(a_ends, b_ends)
-        return {"a": packed(a[a_in]), "b": packed(b[b_in]), "a_cuts": packed(np.searchsorted(a_ends, common) + 1), "b_cuts": packed(np.searchsorted(b_ends, common) + 1), "whole": True}
+        ids, ends, common = found.cut(self)
+        inside = [(e > first) & (e <= (e[-1] if last is None else last)) for e in ends]
+        out = {"whole": True}
+        for k, i, e, c, mine in zip("ab", ids, ends, common, inside, strict=True):
+            out |= {k: packed(i[mine]), f"{k}_cuts": packed(np.flatnonzero(c[mine]) + 1)}
+        return out
+
+
+@dataclass
+class Encoded:
+    """Ids of some words by A and B, how many each word has, the words' bytes, and whether both spell them."""
+
+    ids: list[np.ndarray]
+    sizes: list[np.ndarray]
+    lengths: np.ndarray
+    whole: np.ndarray
+
+    def spelled(self) -> Encoded:
+        """Without the words that aren't whole."""
+        if self.whole.all():
+            return self
+        ids = [i[np.repeat(self.whole, n)] for i, n in zip(self.ids, self.sizes, strict=True)]
+        return Encoded(ids, [n[self.whole] for n in self.sizes], self.lengths[self.whole], self.whole[self.whole])
+
+    def cut(self, both: Pair) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+        """Ids, where each ends, and which end where one of the other kind does. All words are whole."""
+        ends = [np.cumsum(n[i]) for n, i in zip((both.a_sizes, both.b_sizes), self.ids, strict=True)]
+        marks = np.zeros((2, int(self.lengths.sum()) + 1), bool)
+        for m, e in zip(marks, ends, strict=True):
+            m[e] = True
+        return self.ids, ends, [marks[1][ends[0]], marks[0][ends[1]]]
+
+    def links(self, both: Pair) -> tuple[np.ndarray, np.ndarray]:
+        """Linked ids, and how many each word has."""
+        ids, ends, common = self.cut(both)
+        word = np.searchsorted(np.cumsum(self.lengths), ends[0][common[0]])
+        return ids[0][common[0]] << SHIFT | ids[1][common[1]], np.bincount(word, minlength=len(self.lengths))
+
+    def said(self, both: Pair) -> list[str]:
+        """Groups of each word."""
+        ids, _, common = self.cut(both)
+        cuts = [np.concatenate([[0], np.flatnonzero(c) + 1]) for c in common]
+        group = [np.cumsum(c) - c for c in common]  # of each id
+        out = np.empty(len(ids[0]) + len(ids[1]), object)
+        for k, (i, g, c) in enumerate(zip(ids, group, common, strict=True)):
+            place = np.arange(len(i)) + cuts[1 - k][g + k]  # after the other's ids of earlier groups, B's also after A's of its own
+            out[place] = np.where(c, both.last_names[k][i], both.names[k][i])
+        names, ends = out.tolist(), np.cumsum(self.sizes[0] + self.sizes[1]).tolist()
+        return ["".join(names[x:y])[:-1] for x, y in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -248,55 +277,69 @@ def most_pairs(a: str, b: str) -> int:
     return n
 
 
-def summed(batches: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Sums of (codes, counts) arrays, in one batch."""
-    codes, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for more, weights in batches:
-        codes, at = np.unique(np.concatenate([codes, more]), return_inverse=True)
-        n = np.bincount(at, np.concatenate([n, weights]), len(codes)).astype(np.int64)
+def summed(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Sums of (codes, counts), in one batch."""
+    codes, n = np.zeros((2, 0), np.int64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add() -> None:
+        nonlocal codes, n, held
+        every = np.concatenate([codes, *(c for c, _ in held)])
+        weights = np.concatenate([n, *(w for _, w in held)])
+        codes, at = np.unique(every, return_inverse=True)
+        n = np.bincount(at, weights, len(codes)).astype(np.int64)  # exact up to 2**53
+        held = []
+
+    for part in parts:
+        held.append(part)
+        if len(held) >= 32:
+            add()
+    add()
     yield pa.RecordBatch.from_arrays([pa.array(codes >> SHIFT), pa.array(codes & np.int64(0xFFFFFFFF)), pa.array(n)], ["a_id", "b_id", "n"])
 
 
-def counted(short: DataFrame, whole: DataFrame, text: str, a: str, b: str) -> DataFrame:
-    """(a_id, b_id, n) over short texts and whole fragments."""
+def linked(a: str, b: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's function: texts -> (a_id, b_id, n). Words are counted first, and encoded once for ``WORDS`` different ones."""
 
-    def of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = pair(a, b)
 
-        def of(held: Counter) -> tuple[np.ndarray, np.ndarray]:
-            parts: Counter = Counter()
-            for ps, n in zip(both.parts_of(held), held.values(), strict=True):
-                for p in ps:
-                    parts[p] += n
-            names = list(parts)
-            found = [x[2] for at in range(0, len(names), BATCH) for x in both.known(names[at : at + BATCH])]
-            weights = np.repeat(np.fromiter(parts.values(), np.int64, len(parts)), [len(x) for x in found])
-            return np.fromiter((x for xs in found for x in xs), np.int64, len(weights)), weights
+        def of(held: Counter) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            names = list(held)
+            for at in range(0, len(names), BATCH):
+                some = names[at : at + BATCH]
+                codes, each = both.encode(some).links(both)
+                yield codes, np.repeat(np.fromiter(map(held.__getitem__, some), np.int64, len(some)), each)
 
         def spelled(ws: list[str]) -> bool:
-            return None not in both.known(p for ps in both.parts_of(w for w in ws if SPACE_SIGN in w) for p in ps)
+            return bool(both.encode([w for w in ws if SPACE_SIGN in w]).whole.all())
 
         def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             held: Counter = Counter()
             for batch in batches:
                 for t in batch.column(0):
                     text = t.as_py()
-                    ws = words(text)
+                    ws = words(text) if text else []
                     if SPACE_SIGN not in text or spelled(ws):
                         held.update(ws)
                     if len(held) >= WORDS:
-                        yield of(held)
+                        yield from of(held)
                         held.clear()
-            if held:
-                yield of(held)
+            yield from of(held)
 
         yield from summed(parts())
 
+    return run
+
+
+def counted(short: DataFrame, whole: DataFrame, text: str, a: str, b: str) -> DataFrame:
+    """(a_id, b_id, n) over short texts and whole fragments."""
+
     def of_fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from summed((x := links(f.as_py()), np.ones(len(x), np.int64)) for batch in batches for f in batch.column(0) if f.as_py()["whole"])
 
     kind = "a_id long, b_id long, n long"
-    every = short.where(F.col(text) != "").select(text).mapInArrow(of_texts, kind).union(whole.select("f").mapInArrow(of_fragments, kind))
+    every = short.where(F.col(text) != "").select(text).mapInArrow(linked(a, b), kind).union(whole.select("f").mapInArrow(of_fragments, kind))
     return every.groupBy("a_id", "b_id").agg(F.sum("n").alias("n"))
 
 
@@ -311,33 +354,74 @@ class Scores:
         highest = np.zeros(int(b.max(initial=0)) + 1, np.int64)
         np.maximum.at(highest, b, self.n)
         self.best = self.n == highest[b]
-        self.table: dict[int, tuple[bool, int]] = {}
-
-    def as_table(self) -> Scores:
-        """With the same as a dictionary, for a task's use."""
-        if not self.table:
-            self.table = dict(zip(self.codes.tolist(), zip(self.best.tolist(), self.n.tolist(), strict=True), strict=True))
-        return self
 
-    def of_parts(self, parts: list[tuple]) -> tuple[int, int, int, int, int, str]:
-        linked = [x for p in parts for x in p[2]]
-        best, n = zip(*[self.table.get(x, NOWHERE) for x in linked], strict=True)
-        return sum(len(p[0]) for p in parts), sum(len(p[1]) for p in parts), len(linked), sum(best), sum(n), ";".join([p[3] for p in parts])
+    def found(self, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each link is its B id's best, and its count; pairs that only texts without tokens have count nothing."""
+        at = np.minimum(np.searchsorted(self.codes, linked), len(self.codes) - 1)
+        there = self.codes[at] == linked
+        return self.best[at] & there, self.n[at] * there
+
+    def of_words(self, both: Pair, words: list[str]) -> list[tuple | None]:
+        """For each word numbers of A ids, B ids, groups, best links; sum of counts; the groups. None for words that aren't whole."""
+        every = both.encode(words)
+        ok = every.spelled()
+        linked, each = ok.links(both)
+        best, n = self.found(linked)
+        word = np.repeat(np.arange(len(each)), each)
+        sums = [np.bincount(word, x, len(each)).astype(np.int64).tolist() for x in (best, n)]
+        rows = iter(zip(*(x.tolist() for x in ok.sizes), each.tolist(), *sums, ok.said(both), strict=True))
+        return [next(rows) if w else None for w in every.whole.tolist()]
 
     def of(self, fragment: dict) -> tuple[int, int, int, int, int, str]:
-        """Numbers of A ids, B ids, groups, best links; sum of counts; the groups."""
-        at = np.searchsorted(self.codes, links(fragment))
-        return len(fragment["a"]) // 4, len(fragment["b"]) // 4, len(at), int(self.best[at].sum()), int(self.n[at].sum()), said(fragment)
+        """As of_words, of a whole fragment."""
+        best, n = self.found(links(fragment))
+        return len(fragment["a"]) // 4, len(fragment["b"]) // 4, len(n), int(best.sum()), int(n.sum()), said(fragment)
 
 
-#: Of pairs that only texts without tokens have.
-NOWHERE = (False, 0)
 NAMES = ("n_a", "n_b", "n_groups", "n_best", "count_sum", "groups")
 ALIGNED = "struct<n_a:long,n_b:long,n_groups:long,n_best:long,count_sum:long,groups:string>"
 ALIGNED_ARROW = pa.struct([(k, pa.int64()) for k in NAMES[:-1]] + [(NAMES[-1], pa.string())])
 NONE = dict.fromkeys(NAMES, 0) | {"groups": ""}
 
 
+def scored(shared: Broadcast, a: str, b: str) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
+    """A task's function: texts -> ALIGNED, by the ``Scores`` that are shared."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        both, scores = pair(a, b), shared.value
+        young: dict[str, tuple | None] = {}
+        old: dict[str, tuple | None] = {}
+        for texts in batches:
+            at = 0
+            while at < len(texts):
+                group, held = [], 0
+                while at < len(texts) and held < TEXTS:
+                    group.append(words(texts[at].as_py() or ""))
+                    held += len(texts[at].as_py() or "")
+                    at += 1
+                if len(young) >= WORDS:
+                    young, old = {}, young
+                here = set(chain.from_iterable(group))
+                missing = here.difference(young)
+                young.update((w, old[w]) for w in missing if w in old)
+                new = list(missing.difference(young))
+                for k in range(0, len(new), BATCH):
+                    some = new[k : k + BATCH]
+                    young.update(zip(some, scores.of_words(both, some), strict=True))
+                rows = []
+                for text, ws in zip(texts[at - len(group) : at], group, strict=True):
+                    found = list(map(young.__getitem__, ws)) if text.as_py() else [None]
+                    if None in found:
+                        rows.append(NONE)
+                    else:
+                        *each, groups = zip(*found, strict=True)
+                        rows.append(dict(zip(NAMES, [*map(sum, each), ";".join(groups)], strict=True)))
+                yield pa.array(rows, ALIGNED_ARROW)
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return run
+
+
 def prepared(docs: DataFrame, text: str, a: str, b: str, size: int) -> tuple[DataFrame, DataFrame, str, DataFrame]:
     """(short documents, stored long ones with a row number, its name, the long ones' stored fragments)."""
     (row,) = fresh(docs, "row")
@@ -366,41 +450,6 @@ def align(docs: DataFrame, text: str = "text", a: str = "byte_bpe_50k.json", b:
         raise AssertionError("more pairs than the vocabularies allow")
     shared = docs.sparkSession.sparkContext.broadcast(Scores(counts))
 
-    def of_text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        both, scores = pair(a, b), shared.value.as_table()
-        remembered: dict[str, tuple | None] = {}
-
-        def learn(new: list[str]) -> dict[str, tuple | None]:
-            """Words in the end have the sums of their parts."""
-            out, split = {}, both.parts_of(new)
-            found = iter(both.known(p for ps in split for p in ps))
-            for word, ps in zip(new, split, strict=True):
-                each = [next(found) for _ in ps]
-                out[word] = None if None in each else scores.of_parts(each)
-            return out
-
-        for texts in batches:
-            at = 0
-            while at < len(texts):
-                group, held = [], 0
-                while at < len(texts) and held < TEXTS:
-                    group.append(words(texts[at].as_py() or ""))
-                    held += len(texts[at].as_py() or "")
-                    at += 1
-                new = [w for w in {w for ws in group for w in ws} if w not in remembered]
-                if len(remembered) + len(new) > WORDS:
-                    remembered = {}
-                    new = list({w for ws in group for w in ws})
-                for k in range(0, len(new), BATCH):
-                    remembered |= learn(new[k : k + BATCH])
-                rows = []
-                for text, ws in zip(texts[at - len(group) : at], group, strict=True):
-                    found = list(map(remembered.__getitem__, ws)) if text.as_py() else [None]
-                    rows.append(NONE if None in found else {k: sum(map(itemgetter(i), found)) for i, k in enumerate(NAMES[:-1])} | {"groups": ";".join(map(itemgetter(5), found))})
-                yield pa.array(rows, ALIGNED_ARROW)
-
-    of_text.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-
     def of_fragment() -> Callable[[dict], dict]:
         scores = shared.value
         return lambda f: dict(zip(NAMES, scores.of(f), strict=True)) if f["whole"] else NONE
@@ -408,4 +457,4 @@ def align(docs: DataFrame, text: str = "text", a: str = "byte_bpe_50k.json", b:
     r, f = fresh(long, "r", "f")
     joined = long.join(whole.select(F.col("row").alias(r), F.col("f").alias(f)), F.col(row) == F.col(r))
     of_long = per_row(of_fragment, ALIGNED, ALIGNED_ARROW, F.col(f))
-    return put(short, aligned=F.arrow_udf(of_text, ALIGNED)(F.col(text))).union(put(joined, aligned=of_long).drop(row, r, f))
+    return put(short, aligned=F.arrow_udf(scored(shared, a, b), ALIGNED)(F.col(text))).union(put(joined, aligned=of_long).drop(row, r, f))

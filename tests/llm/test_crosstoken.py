@@ -1,8 +1,10 @@
 import hashlib
 import random
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from sessionlake.llm import crosstoken, queries
@@ -144,14 +146,17 @@ def test_pair_counts_and_their_bound(spark):
     assert len(want) <= crosstoken.most_pairs(*NAMES) < 1_000_000
 
 
-def test_caches_may_be_cleared_at_any_time(spark, monkeypatch):
-    for name, n in (("WORDS", 3), ("PARTS", 3), ("BATCH", 2), ("TEXTS", 10)):
+def test_memories_may_be_cleared_at_any_time(monkeypatch):
+    for name, n in (("WORDS", 3), ("BATCH", 2), ("TEXTS", 10)):
         monkeypatch.setattr(crosstoken, name, n)
     texts = [*ODD, *mixed(50, 5)]
-    both = crosstoken.pair(*NAMES)
-    for t in texts:
-        f = both.fragment(crosstoken.words(t)) if t else None
-        assert (crosstoken.said(f) if f and f["whole"] else "") == brute([t])[0][5]
+    rows = [{"text": t} for t in texts]
+    counts = Counter((a[-1], b[-1]) for t in texts for a, b in groups(t))
+    scores = crosstoken.Scores(pa.table({"a_id": [a for a, _ in counts], "b_id": [b for _, b in counts], "n": list(counts.values())}))
+    got = [x for batch in crosstoken.scored(SimpleNamespace(value=scores), *NAMES)(iter([pa.array([r["text"] for r in rows])])) for x in batch.to_pylist()]
+    assert [tuple(x.values()) for x in got] == brute(texts)
+    counted = list(crosstoken.linked(*NAMES)(iter([pa.record_batch({"t": texts})])))
+    assert {(a, b): n for b in counted for a, b, n in zip(*b.to_pydict().values(), strict=True)} == counts
 
 
 def test_empty_table(spark):
