@@ -156,7 +156,7 @@ class Encoded:
             place = np.arange(len(i)) + cuts[1 - k][g + k]  # after the other's ids of earlier groups, B's also after A's of its own
             out[place] = np.where(c, both.last_names[k][i], both.names[k][i])
         names, ends = out.tolist(), np.cumsum(self.sizes[0] + self.sizes[1]).tolist()
-        return ["".join(names[x:y])[:-1] for x, y in zip([0, *ends[:-1]], ends, strict=True)]
+        return ["".join(names[x:y])[:-1] for x, y in zip([0, *ends], ends, strict=False)]
 
 
 @lru_cache(maxsize=2)
@@ -357,6 +357,8 @@ class Scores:
 
     def found(self, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each link is its B id's best, and its count; pairs that only texts without tokens have count nothing."""
+        if not len(self.codes):
+            return np.zeros(len(linked), bool), np.zeros(len(linked), np.int64)
         at = np.minimum(np.searchsorted(self.codes, linked), len(self.codes) - 1)
         there = self.codes[at] == linked
         return self.best[at] & there, self.n[at] * there

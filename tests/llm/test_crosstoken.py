@@ -159,6 +159,10 @@ def test_memories_may_be_cleared_at_any_time(monkeypatch):
     assert {(a, b): n for b in counted for a, b, n in zip(*b.to_pydict().values(), strict=True)} == counts
 
 
+def test_only_texts_without_tokens(spark):
+    assert set(run(frame(spark, ["▁", "a ▁ b"] * 5)).values()) == {(0, 0, 0, 0, 0, "")}
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "k long, text string")
     assert crosstoken.align(df).collect() == [] and crosstoken.pair_counts(df).collect() == []
