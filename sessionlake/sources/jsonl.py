@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import sha256
 from urllib.parse import unquote, urlsplit
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMA = "path string, byte_offset long, line binary"
 ARROW = pa.schema([("path", pa.string()), ("byte_offset", pa.int64()), ("line", pa.binary())])
-BATCH = 4 << 20
+BLOCK = 1 << 20
+#: Bytes of a file's start by which it is known again.
+HEAD = 1024
 
 
 @dataclass
@@ -51,34 +56,70 @@ def files(path: str, suffix: str) -> list[tuple[str, int]]:
 def lines(root: str, r: Range) -> Iterator[pa.RecordBatch]:
     """Lines that start in the range, without their newline; a last line without one counts if ``whole``."""
     system, _ = filesystem(root)
-    rows: list[tuple[str, int, bytes]] = []
-    size = 0
     with system.open_input_file(r.path) as f:
-        at = max(0, r.start - 1)
-        f.seek(at)
-        held = b""
-        skip = r.start > 0  # up to the newline at or before the start, the line is another range's
-        while at < r.end:
-            end = held.find(b"\n")
-            if end < 0:
-                more = f.read(1 << 20)
-                if more:
-                    held += more
-                    continue
-                if not r.whole or not held:
-                    break
-                end = len(held)
-            line, held = held[:end], held[end + 1 :]
-            if not skip:
-                rows.append((r.path, at, line))
-                size += len(line) + 64
-            skip = False
-            at += end + 1
-            if size > BATCH:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), ARROW.types, strict=True)], schema=ARROW)
-                rows, size = [], 0
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), ARROW.types, strict=True)], schema=ARROW)
+        yield from split(f, r)
+
+
+def split(f: pa.NativeFile, r: Range) -> Iterator[pa.RecordBatch]:
+    """Each block is split once; what a line has in earlier blocks is kept in pieces until its newline comes."""
+    at = max(0, r.start - 1)
+    f.seek(at)
+    skip = r.start > 0  # up to the newline at or before the start, the line is another range's
+    kept: list[bytes] = []
+    while at < r.end:
+        block = f.read(BLOCK)
+        if not block:
+            if not r.whole or not any(kept):
+                return
+            found, kept = [b"".join(kept)], []
+        else:
+            found = block.split(b"\n")
+            if len(found) == 1:
+                kept += found
+                continue
+            found[0] = b"".join([*kept, found[0]])
+            kept = [found.pop()]
+        starts = at + np.cumsum([0, *(len(x) + 1 for x in found)])
+        at = int(starts[-1])
+        keep = slice(int(skip), int(np.searchsorted(starts[:-1], r.end)))
+        skip = False
+        rows, places = found[keep], starts[:-1][keep]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.repeat(r.path, len(rows)), pa.array(places, pa.int64()), pa.array(rows, pa.binary())], schema=ARROW)
+
+
+def plain(path: str) -> str:
+    """A path as ``listing`` writes it: local ones without a scheme."""
+    return re.sub("^file:(//)?(?=/)", "", path)
+
+
+def plain_column(uri: Column) -> Column:
+    """As plain, of a URI with encoded characters."""
+    return F.url_decode(F.replace(F.regexp_replace(uri, "^file:(//)?(?=/)", ""), F.lit("+"), F.lit("%2B")))
+
+
+def listing(spark: SparkSession, root: str, suffix: str = ".jsonl") -> DataFrame:
+    """path, size and modified (microseconds) of the files under a folder, at any depth, listed by Spark; none is opened."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").load(root)
+    return found.select(F.regexp_replace("path", "^file:(//)?(?=/)", "").alias("path"), F.col("length").alias("size"), F.unix_micros("modificationTime").alias("modified"))
+
+
+def read_files(files: DataFrame, size: int = 64 << 20) -> DataFrame:
+    """Lines of a table of files (path, size), which is read in ranges of ``size`` bytes by as many tasks as there are; the files' number and sizes don't matter.
+
+    A file that no task can open is an error.
+    """
+    starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(size).cast("long"))
+    ranges = files.where("size > 0").select("path", F.explode(starts).alias("start"), "size").repartition("path", "start")
+
+    def read_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                system, inside = filesystem(path)
+                with system.open_input_file(inside) as f:
+                    yield from split(f, Range(path, start, min(end, start + size)))
+
+    return ranges.mapInArrow(read_all, SCHEMA)
 
 
 class BatchReader(DataSourceReader):
@@ -95,7 +136,8 @@ class BatchReader(DataSourceReader):
 
 
 class AppendReader(DataSourceStreamReader):
-    """Offsets are the bytes of each file up to its last newline: a partial last line waits. A file that shrank is read anew."""
+    """Offsets are the bytes of each file up to its last newline, and a digest of its first bytes: a partial last line waits; a file that shrank, or that another has
+    replaced, is read anew."""
 
     def __init__(self, options: dict[str, str]) -> None:
         self.path, self.suffix = options["path"], options.get("suffix", ".jsonl")
@@ -103,6 +145,11 @@ class AppendReader(DataSourceStreamReader):
     def initialOffset(self) -> dict:  # noqa: N802
         return {"files": "{}"}
 
+    def head(self, path: str, size: int) -> str:
+        system, _ = filesystem(self.path)
+        with system.open_input_file(path) as f:
+            return sha256(f.read(min(size, HEAD))).hexdigest()
+
     def complete(self, path: str, size: int) -> int:
         system, _ = filesystem(self.path)
         with system.open_input_file(path) as f:
@@ -117,13 +164,16 @@ class AppendReader(DataSourceStreamReader):
         return 0
 
     def latestOffset(self) -> dict:  # noqa: N802
-        return {"files": json.dumps({p: self.complete(p, n) for p, n in files(self.path, self.suffix)}, sort_keys=True)}
+        ends = {p: self.complete(p, n) for p, n in files(self.path, self.suffix)}
+        return {"files": json.dumps({p: [n, self.head(p, n)] for p, n in ends.items()}, sort_keys=True)}
 
     def partitions(self, start: dict, end: dict) -> list[Range]:
         a, b = json.loads(start["files"]), json.loads(end["files"])
         out = []
-        for p, n in sorted(b.items()):
-            begin = a.get(p, 0) if a.get(p, 0) <= n else 0
+        for p, (n, _) in sorted(b.items()):
+            begin, head = a.get(p, (0, ""))
+            if begin > n or (begin and self.head(p, begin) != head):
+                begin = 0
             if n > begin:
                 out.append(Range(p, begin, n))
         return out
