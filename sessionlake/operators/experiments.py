@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import cost_per_success, wilson
 
-#: Units that a bootstrap sends to all tasks, at most.
-BROADCAST_UNITS = 1_000_000
+#: A prime, below which all products of a draw fit 64 bits; and how often a unit with a weight of k or less is drawn, of a million million: the Poisson distribution of mean 1.
+PRIME = (1 << 31) - 1
+POISSON = (367879441171, 735758882343, 919698602929, 981011843124, 996340153173, 999405815183, 999916758851, 999989750804, 999998874798)
 
 
 def arms(units: DataFrame, registrations: DataFrame) -> DataFrame:
@@ -99,34 +100,45 @@ def rates(units: DataFrame, by: Sequence[str] = ("experiment", "arm")) -> DataFr
     return out.withColumns({"rate": F.col("successes") / F.col("n"), "low": low, "high": high})
 
 
-def drawn(seed: int, arm: Column, replicate: Column, slot: Column) -> Column:
-    """C15. A hash in place of a random sequence: any number can be drawn anywhere, and twice alike. Modulo an arm's units it is the slot drawn."""
-    text = F.concat_ws("|", F.lit(str(seed)), arm, replicate.cast("string"), slot.cast("string"))
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+def drawn(rows: DataFrame, seed: int, unit: str, replicate: str, out: str) -> DataFrame:
+    """C15. rows with how often a replicate draws a unit: a number that is mixed from both, so that any can be had anywhere, and twice alike. In whole numbers that other engines have
+    too; a column for each step, as one expression would repeat the steps before it."""
+    mixed = rows.withColumn(out, (F.col(unit) * 48271 + F.col(replicate) * 69621 + F.lit(seed).cast("long")) % PRIME)
+    x = F.col(out)
+    for a, c in ((40692, 12211), (40014, 3791)):
+        mixed = mixed.withColumn(out, (x * x % PRIME * x + x * a + c) % PRIME)
+    return mixed.withColumn(out, sum((x >= t * PRIME // 10**12).cast("long") for t in POISSON))
 
 
 def bootstrap(units: DataFrame, metrics: Sequence[str], seed: int = 1729, resamples: int = 5000, level: float = 0.95) -> DataFrame:
-    """C15, C16. Ratio (after by before) of each metric per success, with its percentile interval over resampled units.
+    """C15, C16. The ratio (after by before) of each metric per success, and its percentile interval over ``resamples`` resamplings of the units.
 
-    units: experiment, arm, unit_id, state and metrics. Draws are shared across metrics. A replicate without success or with an unknown value is undefined; any
-    undefined one is counted and voids the interval. Draws made: resamples times the units of the experiments. Up to BROADCAST_UNITS units are sent to all
-    tasks, and a draw (one number for all experiments) is added to its replicate's partial sums where it is made; of more units the draws are shuffled to their slots.
+    units: experiment, arm, unit_id, state and metrics. A replicate draws each unit as often as a Poisson number says, by ``drawn`` of its id (a hash of ids that aren't whole numbers);
+    draws are shared across metrics. A replicate without success or with an unknown value is undefined; any undefined one is counted and voids the interval.
+    Draws are summed where they are made, a row per replicate and arm in each task: units are neither ranked, joined nor sent anywhere. Draws made: resamples times units.
     """
-    w = Window.partitionBy("experiment", "arm").orderBy("unit_id")
-    ranked = units.select("experiment", "arm", "state", *metrics, (F.row_number().over(w) - 1).alias("slot"), F.count("*").over(Window.partitionBy("experiment", "arm")).alias("n"))
-    few = units.count() <= BROADCAST_UNITS
-    dealt = ranked.groupBy("arm", "slot").agg(F.collect_list(F.struct("experiment", "n")).alias("of")).repartition(max(32, units.sparkSession.sparkContext.defaultParallelism), "arm", "slot")
-    draws = dealt.select("arm", "slot", "of", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("replicate")).withColumn("number", drawn(seed, F.col("arm"), F.col("replicate"), F.col("slot")))
-    picked = draws.select("arm", "replicate", "number", F.explode("of").alias("of")).select("of.experiment", "arm", "replicate", (F.col("number") % F.col("of.n")).alias("slot"))
-    values = ranked.select("experiment", "arm", F.col("slot").cast("long").alias("slot"), "state", *metrics)
-    joined = picked.join(F.broadcast(values) if few else values, ["experiment", "arm", "slot"])
-    win = F.col("state") == "success"
-    costs = joined.groupBy("experiment", "replicate", "arm").agg(*[cost_per_success(F.col(m), win).alias(m) for m in metrics])
-    ratios = costs.groupBy("experiment", "replicate").agg(*[(F.max(F.when(F.col("arm") == "after", F.col(m))) / F.max(F.when(F.col("arm") == "before", F.col(m)))).alias(m) for m in metrics])
-    long = ratios.select("experiment", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("r")) for m in metrics])).alias("x")).select("experiment", "x.*")
+    whole = units.schema["unit_id"].dataType.typeName() in ("byte", "short", "integer", "long")
+    unit = F.pmod(F.col("unit_id").cast("long") if whole else F.xxhash64("unit_id"), F.lit(PRIME))
+    win = F.coalesce(F.col("state") == "success", F.lit(False))
+    side = F.xxhash64("experiment", "arm").alias("side")  # a number is a faster key than two texts
+    sides = units.select(side, "experiment", "arm").distinct()
+    values = units.select(side, unit.alias("unit"), win.cast("long").alias("win"), *metrics)
+    spread = values.repartition(max(32, units.sparkSession.sparkContext.defaultParallelism))  # few rows, many draws
+    draws = drawn(spread.withColumn("replicate", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long")))), seed, "unit", "replicate", "w")
+    sums = [F.sum(F.col("w") * F.col("win")).alias("wins")]
+    for m in metrics:
+        sums += [F.sum(F.col("w") * F.col(m)).alias(m), F.count_if(F.col(m).isNull() & (F.col("w") > 0)).alias(f"no_{m}")]
+    ratio = lambda c: F.max(F.when(F.col("arm") == "after", c)) / F.max(F.when(F.col("arm") == "before", c))
+    cost = lambda m: F.when((F.col(f"no_{m}") == 0) & (F.col("wins") > 0), F.col(m) / F.col("wins"))
+    costs = draws.groupBy("side", "replicate").agg(*sums).join(sides, "side")
+    ratios = costs.groupBy("experiment", "replicate").agg(*[ratio(cost(m)).alias(m) for m in metrics])
+    each = units.groupBy("experiment", "arm").agg(*[cost_per_success(F.col(m), F.col("state") == "success").alias(m) for m in metrics])
+    points = each.groupBy("experiment").agg(*[ratio(F.col(m)).alias(m) for m in metrics])
+    unfold = lambda df, name: df.select("experiment", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias(name)) for m in metrics])).alias("x")).select("experiment", "x.*")
     tail = (1 - level) / 2
     bad = F.count_if(F.col("r").isNull())
-    return long.groupBy("experiment", "metric").agg(bad.alias("undefined"), F.when(bad == 0, F.percentile("r", tail)).alias("low"), F.when(bad == 0, F.percentile("r", 1 - tail)).alias("high"))
+    intervals = unfold(ratios, "r").groupBy("experiment", "metric").agg(bad.alias("undefined"), F.when(bad == 0, F.percentile("r", tail)).alias("low"), F.when(bad == 0, F.percentile("r", 1 - tail)).alias("high"))
+    return unfold(points, "ratio").join(intervals, ["experiment", "metric"]).select("experiment", "metric", "ratio", "undefined", "low", "high")
 
 
 def verifier_health(runs: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.storage import durable
+from .timeline import disjoint, running_sums
 
 # ---- fixed values: what marks a fix, and what marks a revert ----
 FIX = r"(?i)\b(?:fix(?:es|ed|ing)?|revert(?:s|ed|ing)?|regression|follow[ -]?up|hotfix)\b"
@@ -172,12 +173,28 @@ def id_mentions(values: DataFrame, ids: DataFrame, paths: bool = False) -> DataF
 def open_during(events: DataFrame, deliverables: DataFrame) -> DataFrame:
     """J15. Usage events with the one deliverable of their project that was open at the time: linked, ambiguous (several), or none.
 
-    events: ord, project, us. deliverables: deliverable, project, dispatched_us, closed_us (null: still open).
+    events: ord (of its own for each), project, us. deliverables: deliverable, project, dispatched_us, closed_us (null: still open; a close counts as open).
+
+    A sweep: opens, events and closes in one timeline of their project, with the running number of open deliverables and the sum of their numbers, which is
+    the one's if there is one. A project of any size is shared by all tasks.
     """
-    d = deliverables.select("deliverable", F.col("project").alias("p"), "dispatched_us", "closed_us")
-    both = events.join(d, (F.col("project") == F.col("p")) & (F.col("us") >= F.col("dispatched_us")) & (F.col("closed_us").isNull() | (F.col("us") <= F.col("closed_us"))), "left")
-    out = both.groupBy("ord").agg(F.min("deliverable").alias("a"), F.max("deliverable").alias("b"))
-    return out.select("ord", F.when(F.col("a") == F.col("b"), F.col("a")).alias("deliverable"), F.when(F.col("a").isNull(), "unallocated").when(F.col("a") == F.col("b"), "linked").otherwise("ambiguous").alias("bucket"))
+    spans = disjoint(deliverables.where("project IS NOT NULL AND dispatched_us IS NOT NULL AND (closed_us IS NULL OR closed_us >= dispatched_us)").select("project", "deliverable", "dispatched_us", "closed_us"), ("project", "deliverable"), "dispatched_us", "closed_us")
+    names = durable(spans.select("project", "deliverable").distinct().withColumn("code", F.monotonically_increasing_id() + 1))
+    coded = spans.join(names, ["project", "deliverable"])
+    none = F.lit(None)
+    at = lambda df, us, turn, ord_, code, by: df.select("project", us.cast("long").alias("us"), F.lit(turn).alias("turn"), ord_.alias("ord"), code.cast("long").alias("code"), F.lit(by).alias("by"))
+    kind = events.schema["ord"].dataType
+    points = (
+        at(coded, F.col("dispatched_us"), 0, none.cast(kind), F.col("code"), 1)
+        .union(at(events.where("project IS NOT NULL AND us IS NOT NULL"), F.col("us"), 1, F.col("ord"), F.lit(0), 0))
+        .union(at(coded.where("closed_us IS NOT NULL"), F.col("closed_us"), 2, none.cast(kind), F.col("code"), -1))
+    )
+    swept = running_sums(points, "project", ("us", "turn", "ord", "code"), {"open": F.col("by").cast("long"), "sum": (F.col("by") * F.col("code")).cast("decimal(38,0)")}).where("turn = 1")
+    one = swept.withColumn("only", F.when(F.col("open") == 1, F.col("sum").cast("long")))
+    found = one.select("ord", "project", "open", "only").join(names.select(F.col("project").alias("p"), F.col("code").alias("only"), "deliverable"), "only", "left")
+    bucket = F.when(F.col("open") == 0, "unallocated").when(F.col("open") == 1, "linked").otherwise("ambiguous")
+    apart = events.where("project IS NULL OR us IS NULL").select("ord", none.cast(deliverables.schema["deliverable"].dataType).alias("deliverable"), F.lit("unallocated").alias("bucket"))
+    return found.select("ord", "deliverable", bucket.alias("bucket")).union(apart)
 
 
 def cost_per_success(judged: DataFrame, spend: DataFrame) -> DataFrame:

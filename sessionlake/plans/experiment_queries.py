@@ -135,27 +135,33 @@ def newcombe_difference(v: Views) -> DataFrame:
     return rounded(out)
 
 
-BOOT = """, f AS (SELECT *, row_number() OVER (PARTITION BY experiment, arm ORDER BY unit_id) - 1 AS slot, count(*) OVER (PARTITION BY experiment, arm) AS n FROM armed),
-k AS (SELECT experiment, arm, n, slot, unnest(range(0, 5000)) AS replicate FROM f),
-g AS (SELECT experiment, arm, replicate, CAST(('0x' || substr(md5('1729|' || arm || '|' || CAST(replicate AS STRING) || '|' || CAST(slot AS STRING)), 1, 8)) AS BIGINT) % n AS slot FROM k),
-c AS (SELECT g.experiment, replicate, g.arm, CASE WHEN count(tokens) = count(*) AND count(*) FILTER (state = 'success') > 0 THEN CAST(sum(tokens) AS DOUBLE) / count(*) FILTER (state = 'success') END AS v FROM g JOIN f ON g.experiment = f.experiment AND g.arm = f.arm AND g.slot = f.slot GROUP BY 1, 2, 3),
-q AS (SELECT experiment, replicate, max(v) FILTER (arm = 'after') / max(v) FILTER (arm = 'before') AS r FROM c GROUP BY 1, 2),
-ci AS (SELECT experiment, 'tokens' AS metric, count(*) FILTER (r IS NULL) AS undefined, CASE WHEN count(r) = count(*) THEN quantile_cont(r, 0.025) END AS low, CASE WHEN count(r) = count(*) THEN quantile_cont(r, 0.975) END AS high FROM q GROUP BY 1) """
+MIX = "(((({x} * {x}) % 2147483647) * {x} + {x} * {a} + {c}) % 2147483647)"
+DRAWN = MIX.format(x="y", a=40014, c=3791)
+BOOT = f""", k AS (SELECT experiment, arm, CASE WHEN state = 'success' THEN 1 ELSE 0 END AS win, tokens, coalesce(tokens, 0) AS spent, (unit_id % 2147483647 * 48271 + replicate * 69621 + 1729) % 2147483647 AS x, replicate FROM armed CROSS JOIN (SELECT unnest(range(0, 5000)) AS replicate)),
+g AS (SELECT *, {DRAWN} AS z FROM (SELECT *, {MIX.format(x='x', a=40692, c=12211)} AS y FROM k)),
+h AS (SELECT *, {' + '.join(f'CAST(z >= {t * x.PRIME // 10**12} AS BIGINT)' for t in x.POISSON)} AS w FROM g),
+s AS (SELECT experiment, replicate, arm, sum(w * win) AS wins, CASE WHEN count(tokens) = count(*) THEN sum(w * tokens) END AS tokens, sum(w * spent) AS spent FROM h WHERE w > 0 GROUP BY 1, 2, 3),
+c AS (SELECT experiment, replicate, arm, unnest(['tokens', 'spent']) AS metric, unnest([CASE WHEN wins > 0 THEN CAST(tokens AS DOUBLE) / wins END, CASE WHEN wins > 0 THEN CAST(spent AS DOUBLE) / wins END]) AS v FROM s),
+q AS (SELECT experiment, replicate, metric, max(v) FILTER (arm = 'after') / max(v) FILTER (arm = 'before') AS r FROM c GROUP BY 1, 2, 3),
+ci AS (SELECT experiment, metric, count(*) FILTER (r IS NULL) AS undefined, CASE WHEN count(r) = count(*) THEN quantile_cont(r, 0.025) END AS low, CASE WHEN count(r) = count(*) THEN quantile_cont(r, 0.975) END AS high FROM q GROUP BY 1, 2),
+t AS (SELECT experiment, arm, count(*) FILTER (state = 'success') AS wins, CASE WHEN count(tokens) = count(*) THEN sum(tokens) END AS tokens, sum(coalesce(tokens, 0)) AS spent FROM armed GROUP BY 1, 2),
+u AS (SELECT experiment, arm, unnest(['tokens', 'spent']) AS metric, unnest([CAST(tokens AS DOUBLE) / nullif(wins, 0), CAST(spent AS DOUBLE) / nullif(wins, 0)]) AS v FROM t),
+pt AS (SELECT experiment, metric, max(v) FILTER (arm = 'after') / max(v) FILTER (arm = 'before') AS ratio FROM u GROUP BY 1, 2) """
 
 
 def booted(v: Views) -> DataFrame:
-    return x.bootstrap(armed(v), ["tokens"])
+    """Tokens, of which some are unknown, and what is known of them, ``spent``."""
+    return x.bootstrap(armed(v).withColumn("spent", F.coalesce("tokens", F.lit(0))), ["tokens", "spent"])
 
 
-@query(ARMS + BOOT + "SELECT experiment, metric, undefined, round(low, 6) AS low, round(high, 6) AS high FROM ci")
+@query(ARMS + BOOT + "SELECT experiment, metric, round(ratio, 6) AS ratio, undefined, round(low, 6) AS low, round(high, 6) AS high FROM pt JOIN ci USING (experiment, metric)")
 def bootstrap_ratio(v: Views) -> DataFrame:
     return rounded(booted(v))
 
 
-@query(ARMS + BOOT + ", o AS (SELECT experiment, CASE experiment WHEN 'e0' THEN 0.85 WHEN 'e1' THEN 1.2 END AS ratio FROM ci) SELECT ci.experiment, CASE WHEN ratio IS NULL OR low IS NULL OR high IS NULL THEN 'uncertain' WHEN ratio <= 0.9 AND high < 1.0 THEN 'improved' WHEN low > 1.0 THEN 'worse' ELSE 'uncertain' END AS classification FROM ci JOIN o ON ci.experiment = o.experiment")
+@query(ARMS + BOOT + "SELECT experiment, metric, CASE WHEN ratio IS NULL OR low IS NULL OR high IS NULL THEN 'uncertain' WHEN ratio <= 0.9 AND high < 1.0 THEN 'improved' WHEN low > 1.0 THEN 'worse' ELSE 'uncertain' END AS classification FROM pt JOIN ci USING (experiment, metric)")
 def ratio_classes(v: Views) -> DataFrame:
-    given = F.when(F.col("experiment") == "e0", 0.85).when(F.col("experiment") == "e1", 1.2)
-    return booted(v).select("experiment", stats.ratio_class(given, F.col("low"), F.col("high")).alias("classification"))
+    return booted(v).select("experiment", "metric", stats.ratio_class(F.col("ratio"), F.col("low"), F.col("high")).alias("classification"))
 
 
 CASES = """cases AS (SELECT unit_id, unit_id % 11 = 0 AS gap, unit_id % 3 <> 0 AS pre, unit_id % 13 = 0 AS flag, unit_id % 17 = 0 AS unripe, unit_id % 7 <> 0 AS enough, CASE WHEN unit_id % 19 <> 0 THEN (unit_id % 23 - 12) / 100.0 END AS low, (unit_id % 23 - 12) / 100.0 + 0.08 AS high,
