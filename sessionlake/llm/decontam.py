@@ -20,9 +20,7 @@ bitmap of their hashes lets through are brought together by key, sorted, and mat
 from __future__ import annotations
 
 import uuid
-from bisect import bisect_left
-from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -57,6 +55,33 @@ def word_lists(text: bytes | None) -> Iterator[list[bytes]]:
     yield folded[at:].split()
 
 
+def first_where(low: int, high: int, holds: Callable[[int], bool]) -> int:
+    """The first number of a range from which on a condition holds; ``high`` if it never does."""
+    while low < high:
+        middle = (low + high) // 2
+        if holds(middle):
+            high = middle
+        else:
+            low = middle + 1
+    return low
+
+
+def suffix_ranks(words: np.ndarray) -> np.ndarray:
+    """The rank of each suffix of an array of numbers, by doubling the length that is compared."""
+    n, width = len(words), 1
+    rank = np.unique(words, return_inverse=True)[1].astype(np.int64)
+    while True:
+        key = rank * (n + 1)
+        key[: max(0, n - width)] += rank[width:] + 1
+        order = np.argsort(key, kind="stable")
+        new = np.cumsum(np.diff(key[order], prepend=key[order[:1]]) > 0)
+        rank = np.empty(n, np.int64)
+        rank[order] = new
+        width *= 2
+        if not n or int(new[-1]) == n - 1 or width >= 2 * n:
+            return rank
+
+
 class Suffixes:
     """The benchmark's suffixes, ready to be searched. Items: (names, text) of each distinct text."""
 
@@ -65,22 +90,54 @@ class Suffixes:
         self.names = [names for names, _ in items]
         self.texts: list[np.ndarray] = []
         vocabulary: dict[bytes, int] = {}
-        found: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        heads, texts, places = [np.zeros((0, window), ">u4")], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for k, (_, text) in enumerate(items):
             words = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for ws in word_lists(text) for w in ws], ">u4")
             self.texts.append(words)
-            width = min(window, len(words))
-            for at in range(len(words) - width + 1 if width else 0):
-                found[words[at : at + width].tobytes()].append((k, at))
+            if len(words):  # a short text is one window, filled with 0, which no word has
+                heads.append(np.lib.stride_tricks.sliding_window_view(np.pad(words, (0, max(0, window - len(words)))), window))
+                texts.append(np.full(len(heads[-1]), k, np.int64))
+                places.append(np.arange(len(heads[-1])))
         self.vocabulary = vocabulary
-        self.keys = sorted(found)
-        self.places = [found[k] for k in self.keys]
-        self.ordered: dict[int, tuple[list[bytes], list[tuple[int, int]], int]] = {}
-        self.widths = np.array([len(k) // 4 for k in self.keys], np.int64)
-        self.shortest = int(self.widths.min()) if self.keys else 0
         kind = f"S{4 * window}"
-        self.low = np.array(self.keys, kind)
-        self.high = np.array([k.ljust(4 * window, b"\xff") for k in self.keys], kind)
+        every = np.concatenate(heads).astype(">u4").view(kind).ravel()  # joining drops the byte order
+        order = np.argsort(every, kind="stable")
+        self.place_text, self.place = np.concatenate(texts)[order], np.concatenate(places)[order]
+        self.low, first = np.unique(every[order], return_index=True)
+        self.begin = np.append(first, len(order))
+        numbers = self.low.astype(kind).view(">u4").reshape(len(self.low), window)
+        self.widths = (numbers > 0).sum(axis=1).astype(np.int64)
+        self.shortest = int(self.widths.min()) if len(self.low) else 0
+        self.high = np.where(numbers > 0, numbers, 0xFFFFFFFF).astype(">u4").view(kind).ravel()
+        self.ordered: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.items_of: dict[int, list[int]] = {}
+        self.ranks: list[np.ndarray | None] | None = None
+
+    def texts_of(self, key: int) -> list[int]:
+        """The texts that have a window."""
+        if key not in self.items_of:
+            self.items_of[key] = np.unique(self.place_text[self.begin[key] : self.begin[key + 1]]).tolist()
+        return self.items_of[key]
+
+    def by_suffix(self, key: int) -> tuple[np.ndarray, np.ndarray]:
+        """(texts, places) of a window in the order of the suffixes that begin there. 8 bytes a place: suffixes aren't written out."""
+        if self.ranks is None:  # of the texts that have a window in more than FEW places
+            often = np.repeat(np.diff(self.begin) > FEW, np.diff(self.begin))
+            used = np.unique(self.place_text[often])
+            rank = suffix_ranks(np.concatenate([x for k in used for x in (self.texts[k].astype(np.int64), np.zeros(1, np.int64))]))
+            ends = np.cumsum([len(self.texts[k]) + 1 for k in used])
+            self.ranks = [None] * len(self.texts)
+            for k, part in zip(used.tolist(), np.split(rank, ends[:-1]), strict=True):
+                self.ranks[k] = part
+        if key not in self.ordered:
+            mine = slice(self.begin[key], self.begin[key + 1])
+            texts, places = self.place_text[mine], self.place[mine]
+            rank = np.empty(len(texts), np.int64)
+            for k in np.unique(texts).tolist():
+                rank[texts == k] = self.ranks[k][places[texts == k]]
+            order = np.argsort(rank, kind="stable")
+            self.ordered[key] = texts[order], places[order]
+        return self.ordered[key]
 
     def alike(self, words: np.ndarray, at: int, text: int, place: int) -> int:
         """How many words are equal from two places on."""
@@ -99,20 +156,27 @@ class Suffixes:
     def extended(self, words: np.ndarray, at: int, key: int, least: int) -> tuple[int, int, int] | None:
         """(words, text, place) of the longest match that begins with a window at a place of the document, if it has more than ``least`` words; of equal
         ones the first text and place."""
-        places = self.places[key]
-        if len(places) <= FEW:
-            n, k, p = min((-self.alike(words, at, k, p), k, p) for k, p in places)
+        mine = slice(self.begin[key], self.begin[key + 1])
+        if mine.stop - mine.start <= FEW:
+            n, k, p = min((-self.alike(words, at, k, p), k, p) for k, p in zip(self.place_text[mine].tolist(), self.place[mine].tolist(), strict=True))
             return (-n, k, p) if -n > least else None
-        if key not in self.ordered:  # the longest common prefix is that of a neighbour of the document's suffix in order
-            both = sorted((self.texts[k][p:].tobytes(), (k, p)) for k, p in places)
-            self.ordered[key] = [t for t, _ in both], [x for _, x in both], max(len(t) for t, _ in both) // 4 + 1
-        tails, where, most = self.ordered[key]
-        spot = bisect_left(tails, words[at : at + most].astype(">u4").tobytes())
-        n = max(self.alike(words, at, *where[i]) for i in (spot - 1, spot) if 0 <= i < len(tails))
+        # The longest common prefix is that of a neighbour of the document's suffix in order; those that share it lie around it.
+        texts, places = self.by_suffix(key)
+        shared = lambda i: self.alike(words, at, int(texts[i]), int(places[i]))
+
+        def before(i: int) -> bool:
+            """Whether a suffix comes before the document's."""
+            n, rest = shared(i), self.texts[int(texts[i])][int(places[i]) :]
+            return at + n < len(words) and (n == len(rest) or int(rest[n]) < int(words[at + n]))
+
+        spot = first_where(0, len(texts), lambda i: not before(i))
+        n = max(shared(i) for i in (spot - 1, spot) if 0 <= i < len(texts))
         if n <= least:
             return None
-        head = words[at : at + n].astype(">u4").tobytes()
-        return n, *min(where[bisect_left(tails, head) : bisect_left(tails, head + b"\xff" * 4)])
+        low = first_where(0, spot, lambda i: shared(i) >= n)
+        high = first_where(spot, len(texts), lambda i: shared(i) < n)
+        k = int(texts[low:high].min())
+        return n, k, int(places[low:high][texts[low:high] == k].min())
 
     def words(self, text: bytes | None) -> np.ndarray:
         get, parts = self.vocabulary.get, []
@@ -122,7 +186,7 @@ class Suffixes:
 
     def occurrences(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position, key) of each occurrence, sorted by position."""
-        if not len(self.keys) or len(words) < self.shortest:
+        if not len(self.low) or len(words) < self.shortest:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         unknown = np.append(np.flatnonzero(words == 0), len(words))
         gaps = np.diff(unknown, prepend=-1)  # known words before each unknown one, and one
@@ -185,7 +249,7 @@ def match_all(texts: list[bytes | None], s: Suffixes) -> list[dict]:
         mine = slice(*np.searchsorted(doc, [d, d + 1]))
         a, k = at[mine] - (ends[d] - len(words[d]) - 1), which[mine]
         out[d]["spans"] = merged(a, a + s.widths[k])
-        out[d]["items"] = sorted({name for w in set(k.tolist()) for i in {i for i, _ in s.places[w]} for name in s.names[i]})
+        out[d]["items"] = sorted({name for w in set(k.tolist()) for i in s.texts_of(w) for name in s.names[i]})
         out[d] |= dict(zip(("longest", "longest_item", "longest_at", "longest_item_at"), longest(a, k, s, words[d]), strict=True))
     return out
 

@@ -2,7 +2,9 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 
+import numpy as np
 from sessionlake.llm import decontam, queries
 from pyspark.sql import functions as F
 
@@ -107,3 +109,44 @@ def test_odd_rows(spark, docs):
     kept = decontam.clean(docs, b)
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 3, 4, 5, 6, 7, 8]
+
+
+def test_suffix_ranks_order_all_suffixes():
+    rng = np.random.default_rng(3)
+    for n, kinds in ((0, 2), (1, 2), (50, 2), (200, 1), (300, 40)):
+        words = rng.integers(0, kinds, n)
+        rank = decontam.suffix_ranks(words)
+        assert [tuple(words[i:]) for i in np.argsort(rank)] == sorted(tuple(words[i:]) for i in range(n))
+
+
+def test_longest_matches_of_repetitive_items_equal_brute_force():
+    rng = random.Random(6)
+    some = lambda n: [rng.choice("ab") if rng.random() < 0.1 else "a" for _ in range(n)]
+    items = [some(rng.randrange(3, 120)) for _ in range(30)]
+    s = decontam.Suffixes([([f"i{k}"], " ".join(x).encode()) for k, x in enumerate(items)], 4)
+    for _ in range(60):
+        doc = some(rng.randrange(4, 90)) + [rng.choice("xab")]
+        words = s.words(" ".join(doc).encode())
+        at, which = s.occurrences(words)
+        got = decontam.longest(at, which, s, words)
+        best = (0, None, -1, -1)
+        for i in range(len(doc)):
+            for k, x in enumerate(items):
+                for p in range(len(x)):
+                    n = 0
+                    while i + n < len(doc) and p + n < len(x) and doc[i + n] == x[p + n]:
+                        n += 1
+                    if n >= min(4, len(x)) and n > best[0]:
+                        best = (n, f"i{k}", i, p)
+        assert got == best
+
+
+def test_an_item_of_a_million_equal_words_takes_memory_in_proportion():
+    s = decontam.Suffixes([(["x"], b"no " * 1_000_000), (["y"], b"no " * 12 + b"end")], 13)
+    tracemalloc.start()
+    words = s.words(b"see " + b"no " * 5000 + b"yes " + b"no " * 12 + b"end")
+    at, which = s.occurrences(words)
+    assert decontam.longest(at, which, s, words) == (5000, "x", 1, 0)
+    assert decontam.match_all([b"no " * 20_000], s)[0]["longest"] == 20_000
+    assert tracemalloc.get_traced_memory()[1] < 400 << 20
+    tracemalloc.stop()
