@@ -40,6 +40,8 @@ BOILERPLATE = set("ad ads advert adverts advertisement advertising adsense spons
 COMMENTS = set("comment comments commentlist disqus reply replies respond".split())
 CONTENT = set("article content main post entry story body text".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
+#: Elements of an article that a compound name with a word of BOILERPLATE in front doesn't drop.
+SENTENCES = set("p h1 h2 h3 h4 h5 h6 blockquote li".split())
 #: Outcomes of a look at an element: it stays, it goes unless it wraps the page's text, it goes.
 STAYS, DOUBTFUL, GOES = 0, 1, 2
 #: Points under which a page without article or main elements is no text in a wrapper but a form or a notice alone.
@@ -54,15 +56,18 @@ def outcome(tag: str, attributes: str, inside_article: bool) -> int:
     if not attributes or tag in ("html", "body", "article", "main"):
         return DOUBTFUL if doubtful else STAYS
     names: set[str] = set()
+    roles: set[str] = set()  # last parts of names, as in cookie-notice, not copyright-law
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
-            names |= set(re.split(r"[^a-z]+", MODIFIER.sub(" ", value)))
+            own = MODIFIER.sub(" ", value)
+            names |= set(re.split(r"[^a-z]+", own))
+            roles |= {re.split(r"[^a-z]+", x.rstrip("-_0123456789"))[-1] for x in own.split()}
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in ROLES) or (name == "style" and re.search(r"display\s*:\s*none", value)):
             return GOES
     if names & COMMENTS:
         return GOES
-    if names & BOILERPLATE and not names & CONTENT:
+    if names & BOILERPLATE and not names & CONTENT and not (inside_article and tag in SENTENCES and not roles & BOILERPLATE):
         return DOUBTFUL if tag in BLOCKS else GOES
     return DOUBTFUL if doubtful else STAYS
 
@@ -186,10 +191,13 @@ def settled(page: Page) -> list[tuple[int, str, int]]:
     for i in range(n - 1, 0, -1):
         held[page.parent[i]] += held[i]
     level, off, chain, article = [0] * n, [False] * n, [], None
+    around = [0] * n  # the article or main element that a node lies in
     for i in range(1, n):
         up = page.parent[i]
-        wrapper = page.doubt[i] and 2 * held[i] > held[0]
-        level[i], off[i] = level[up] + wrapper, off[up] or (page.doubt[i] and not wrapper)
+        around[i] = i if page.tag[i] in ("article", "main") else around[up]
+        doubt = page.doubt[i] and not (around[i] and 10 * held[i] > 9 * held[around[i]])  # what is nearly all of an article is its text
+        wrapper = doubt and 2 * held[i] > held[0]
+        level[i], off[i] = level[up] + wrapper, off[up] or (doubt and not wrapper)
         if wrapper:
             chain.append(i)
         if page.tag[i] in ("article", "main") and not off[i] and not page.drop[i] and (level[i] == 0 or 2 * held[i] > held[0]):
@@ -234,18 +242,26 @@ def main_text(html: bytes | None) -> str:
         return "\n".join(t for _, t, links in blocks if links < len(t))
     best = max(found, key=lambda i: (worth(i), -i))
     keep = [(best, page.end[best])]
-    for i in range(page.parent[best] + 1, page.end[page.parent[best]]):
-        if page.parent[i] == page.parent[best] and i != best and size[i]:
-            dense = linked[i] / size[i]
-            if (scored[i] and worth(i) >= max(5, 0.2 * worth(best))) or (page.tag[i] in PARAGRAPHS and size[i] > 80 and dense < 0.25):
-                keep.append((i, page.end[i]))
-    node, chain = best, []  # up to the article that holds the best container, all text beside it that is no links
-    while node > 0 and page.tag[node] != "article":
-        chain.append(node)
-        node = page.parent[node]
-    if node > 0:
-        path = dict(zip((page.parent[i] for i in chain), chain, strict=True))
-        for i in range(node + 1, page.end[node]):
+    top = page.parent[best]
+    while top > 0 and page.tag[top] != "article":
+        top = page.parent[top]
+    if top <= 0:  # no article: the main element, or what the best container lies in
+        top = page.parent[best]
+        while top > 0 and page.tag[top] != "main":
+            top = page.parent[top]
+        top = top if top > 0 else page.parent[best]
+    if page.tag[top] in ("body", "html", "#"):  # beside it there may be anything
+        for i in range(top + 1, page.end[top]):
+            if page.parent[i] == top and i != best and size[i]:
+                dense = linked[i] / size[i]
+                if (scored[i] and worth(i) >= max(5, 0.2 * worth(best))) or (page.tag[i] in PARAGRAPHS and size[i] > 80 and dense < 0.25):
+                    keep.append((i, page.end[i]))
+    else:  # all text beside the best container that is no links
+        node, path = best, {}
+        while node != top:
+            path[page.parent[node]] = node
+            node = page.parent[node]
+        for i in range(top + 1, page.end[top]):
             if page.parent[i] in path and i != path[page.parent[i]] and size[i] and linked[i] / size[i] < 0.25:
                 keep.append((i, page.end[i]))
     kept = {i for a, b in keep for i in range(a, b)}
@@ -256,7 +272,8 @@ def main_text(html: bytes | None) -> str:
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     """pages with ``text`` (replaces a column of that name, as does ``n_chars``) and ``n_chars``, its code points.
 
-    A null, empty or text-free page gives an empty text. Rows that repeat a page are treated alike.
+    A null, empty or text-free page gives an empty text; a page of any length is parsed whole, in time in proportion to it. Of containers with equal scores the first counts. Rows that
+    repeat a page are treated alike. An empty table gives an empty result.
     """
     found = put(pages, text=per_row(lambda: main_text, "string", pa.string(), F.col(html)))
     return put(found, n_chars=F.length("text").cast("long"))

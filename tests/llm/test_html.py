@@ -99,3 +99,22 @@ def test_boilerplate_that_outweighs_the_article_goes():
     assert text(page(f'<form><label>Name, please</label><p>{P}</p></form>')) == ""
     assert text(page(f'<div class="cookie-notice"><p>{P}</p></div>')) == ""
     assert text("<div class=sidebar>" * 20_000 + f"<p>{P}</p>" * 5 + "</div>" * 20_000).count(P) == 5
+
+
+LONG = "This is a long sentence, with commas, and it goes on for a while so that it counts. " * 6
+
+
+def test_pages_without_an_article_keep_short_parts_beside_the_long_one():
+    text = LONG.strip()
+    for page, want in (
+        (f"<main><h1>Title</h1><div>{LONG}</div><p>Short end.</p></main>", ["Title", text, "Short end."]),
+        (f"<nav><a href=x>menu</a></nav><div id=content><section><h2>One</h2><p>{LONG}</p></section><section><h2>Two</h2><p>Short.</p></section></div><footer>foot</footer>", ["One", text, "Two", "Short."]),
+        (f"<div id=page><div><div><h1>Head</h1><p>{LONG}</p><p>End.</p></div></div></div><div class=sidebar><p>{LONG}</p></div>", ["Head", text, "End."]),
+        (f"<main><div><p>{LONG}</p></div><ul><li><a href=a>one</a><li><a href=b>two</a></ul><p>Last.</p></main>", [text, "Last."]),
+    ):
+        assert html.main_text(page.encode()).split("\n") == want
+
+
+def test_compound_names_inside_an_article():
+    page = f"<article><h1>T</h1><div class='search-engines'><p>{LONG}</p><p class='copyright-law'>The law.</p><p id='ad-hoc'>A rule.</p><p class='copyright'>(c)</p><div class='related-posts'><p>More</p></div></div></article>"
+    assert html.main_text(page.encode()).split("\n") == ["T", LONG.strip(), "The law.", "A rule."]
