@@ -29,7 +29,7 @@ from .common import durable, fresh, per_row, put, stored
 
 CAPACITY, SLACK, END_ID = 2048, 32, 1
 #: Words whose ids a Python worker remembers at most.
-WORDS = 800_000
+WORDS = 250_000
 #: What the tokenizer must see in its whole text: characters that only str.split takes for white space, a letter that
 #: Python lower-cases by its neighbours, and the start of a special token.
 AS_IT_IS = ("\x1c", "\x1d", "\x1e", "\x1f", "\u03a3", "<|")
