@@ -147,8 +147,13 @@ def snapshot_problem(v: Column) -> Column:
 
 
 def recorded(spark: SparkSession, path: str) -> Recorded:
-    """S8. The tables of the documents under a folder. The documents are parsed once; pull requests and commits are stored for the tables."""
-    docs = headed(documents(spark, path))
+    """S8. The tables of the documents under a folder."""
+    return taken_apart(documents(spark, path))
+
+
+def taken_apart(docs: DataFrame) -> Recorded:
+    """S8. The tables of documents (path, record as a variant). They are read for each table's start; pull requests and commits are stored."""
+    docs = headed(docs)
     heads = durable(docs.select("path", "repo", "start_us", "until_us", "all_pulls", "all_commits", "problem"))
     sound = docs.where("problem IS NULL")
     pulls = durable(pulled(sound).drop("entry"))
