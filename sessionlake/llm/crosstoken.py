@@ -36,14 +36,17 @@ from .packing import byte_letters
 CHUNK, FAN = 1 << 16, 8
 #: Words that a task remembers at most, in each of two generations.
 WORDS = 150_000
-#: Words that are encoded together. Characters whose words are looked up together.
-BATCH, TEXTS = 4096, 1 << 19
+#: Words that are encoded together. Characters whose words are looked up or encoded together, and those of texts whose words are counted together.
+BATCH, TEXTS, COUNTED = 4096, 1 << 19, 1 << 26
+#: Words that are joined to one text, and after how many bytes it ends.
+JOINED, LETTERS = 64, 1 << 12
 #: Written for a space in pieces; the only character that they spell as another.
 SPACE_SIGN = "▁"
 #: Characters that any version of Unicode puts into the same classes.
 LATIN = re.compile("[\x00-\x7f\u00c0-\u024f]*").fullmatch
 #: A space that isn't the first of its run begins no new word; neither tokenizer joins anything to a space after another character.
 AFTER_SPACE, BEFORE_SPACE, CUT = re.compile(r"\s "), re.compile(r"(?<=\S)(?= )"), re.compile(rb"(?<=[!-~]) ")
+WHITE = re.compile(r"\s").search
 SHIFT = np.int64(32)
 
 
@@ -71,6 +74,8 @@ class Pair:
         if any(" " in p or re.search("[^▁]▁|\n", p) for p in plain) or sum(map(self.b.is_byte, range(len(pieces)))) != 256:
             raise ValueError("a piece spans the place before a space, or a newline, or bytes have no pieces")
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in v], np.int64) for v in (self.a_bytes, self.b_bytes))
+        self.letters = [np.frombuffer(b"".join(v), np.uint8) for v in (self.a_bytes, self.b_bytes)]
+        self.starts = [np.cumsum(n) - n for n in (self.a_sizes, self.b_sizes)]  # of each id's bytes
         named = lambda v, sign: np.array([f"{i}{sign}" for i in range(len(v))], object)
         self.names = [named(v, ",") for v in (self.a_bytes, self.b_bytes)]
         self.last_names = [named(self.a_bytes, "|"), named(self.b_bytes, ";")]
@@ -87,7 +92,51 @@ class Pair:
         return self.fast(text) if self.fast and LATIN(text) else self.a.encode(text, add_special_tokens=False).ids
 
     def encode(self, words: list[str]) -> Encoded:
-        """Of words, each with a space put before it, as B does itself before any text but an empty one."""
+        """Of words, each with a space put before it, as B does itself before any text but an empty one.
+
+        Words are joined to texts, whose tokens are theirs. Those that end with white space, which might go with the next space, and those that B spells in another way stay alone.
+        """
+        tails = [w[-1:] for w in words]
+        if "" not in tails and not WHITE("".join(tails)) and LATIN("".join(words)):
+            return self.joined(words)
+        kinds = np.array([2 if not w or w[-1].isspace() or SPACE_SIGN in w else 0 if LATIN(w) else 1 for w in words])
+        groups: list[list[str]] = [[], [], []]
+        for w, k in zip(words, kinds.tolist(), strict=True):
+            groups[k].append(w)
+        parts = [encode(g) for g, encode in zip(groups, (self.joined, self.joined, self.alone), strict=True)]
+        return Encoded.of(parts).taken(np.argsort(np.argsort(kinds, kind="stable")))
+
+    def joined(self, words: list[str]) -> Encoded:
+        lengths = np.fromiter(map(len, map(str.encode, words)), np.int64, len(words)) + 1
+        stops = np.cumsum(lengths)
+        first = (np.arange(len(words)) % JOINED == 0) | (np.diff((stops - lengths) // LETTERS, prepend=0) > 0)
+        at = [*np.flatnonzero(first).tolist(), len(words)]
+        texts = [" ".join(words[x:y]) for x, y in zip(at, at[1:], strict=False)]
+        data = [" " + t for t in texts]
+        letters = np.frombuffer("".join(data).encode(), np.uint8)
+        ids, sizes = [], []
+        for k, found in enumerate((map(self.a_ids, data), self.b.encode(texts, num_threads=1))):
+            ids.append(np.array(list(chain.from_iterable(found)), np.int64))
+            ends = np.cumsum((self.a_sizes, self.b_sizes)[k][ids[k]])
+            last = np.searchsorted(ends, stops, "right")
+            if not self.spells(k, ids[k], ends, letters) or (ends[last - 1] != stops).any():
+                return self.alone(words)
+            sizes.append(np.diff(last, prepend=0))
+        return Encoded(ids, sizes, lengths, np.ones(len(words), bool))
+
+    def spells(self, k: int, ids: np.ndarray, ends: np.ndarray, letters: np.ndarray) -> bool:
+        """Whether ids of A (0) or B (1), whose bytes end at ``ends``, spell the letters."""
+        done = 0
+        for at in range(0, len(ids), 1 << 16):
+            i, to = ids[at : at + (1 << 16)], ends[at : at + (1 << 16)]
+            size = (self.a_sizes, self.b_sizes)[k][i]
+            place = np.repeat(self.starts[k][i] - (to - size), size) + np.arange(done, to[-1])
+            if not np.array_equal(self.letters[k][place], letters[done : to[-1]]):
+                return False
+            done = int(to[-1])
+        return done == len(letters)
+
+    def alone(self, words: list[str]) -> Encoded:
         texts = [" " + w for w in words]
         data = list(map(str.encode, texts))
         ids, sizes, spelled = [], [], []
@@ -125,6 +174,19 @@ class Encoded:
     lengths: np.ndarray
     whole: np.ndarray
 
+    @staticmethod
+    def of(parts: list[Encoded]) -> Encoded:
+        ids, sizes = ([np.concatenate([v[k] for v in x]) for k in (0, 1)] for x in ([p.ids for p in parts], [p.sizes for p in parts]))
+        return Encoded(ids, sizes, np.concatenate([p.lengths for p in parts]), np.concatenate([p.whole for p in parts]))
+
+    def taken(self, order: np.ndarray) -> Encoded:
+        """The words in another order."""
+        ids = []
+        for i, n in zip(self.ids, self.sizes, strict=True):
+            start, size = (np.cumsum(n) - n)[order], n[order]
+            ids.append(i[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(len(i))])
+        return Encoded(ids, [n[order] for n in self.sizes], self.lengths[order], self.whole[order])
+
     def spelled(self) -> Encoded:
         """Without the words that aren't whole."""
         if self.whole.all():
@@ -186,6 +248,19 @@ def words(text: str) -> list[str]:
     return [w[1:] for w in BEFORE_SPACE.split(" " + text)] if AFTER_SPACE.search(" " + text) else text.split(" ")
 
 
+def parted(words: Iterable[str]) -> Iterator[list[str]]:
+    """Words that are encoded together: ``BATCH``, or fewer with about ``TEXTS`` characters."""
+    some, n = [], 0
+    for w in words:
+        some.append(w)
+        n += len(w)
+        if len(some) >= BATCH or n >= TEXTS:
+            yield some
+            some, n = [], 0
+    if some:
+        yield some
+
+
 def links(fragment: dict) -> np.ndarray:
     """The linked ids of a whole fragment, A's shifted left."""
     last = [numbers(fragment[k])[numbers(fragment[f"{k}_cuts"]) - 1] for k in ("a", "b")]
@@ -299,15 +374,14 @@ def summed(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.Record
 
 
 def linked(a: str, b: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A task's function: texts -> (a_id, b_id, n). Words are counted first, and encoded once for ``WORDS`` different ones."""
+    """A task's function: texts -> (a_id, b_id, n). Words are counted first, and encoded when there are two times ``WORDS`` different ones: those that came once, or
+    all of them if the others are many or the texts have ``COUNTED`` characters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = pair(a, b)
 
-        def of(held: Counter) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            names = list(held)
-            for at in range(0, len(names), BATCH):
-                some = names[at : at + BATCH]
+        def of(held: dict[str, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for some in parted(held):
                 codes, each = both.encode(some).links(both)
                 yield codes, np.repeat(np.fromiter(map(held.__getitem__, some), np.int64, len(some)), each)
 
@@ -316,15 +390,20 @@ def linked(a: str, b: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 
         def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             held: Counter = Counter()
+            letters = 0
             for batch in batches:
                 for t in batch.column(0):
                     text = t.as_py()
                     ws = words(text) if text else []
                     if SPACE_SIGN not in text or spelled(ws):
                         held.update(ws)
-                    if len(held) >= WORDS:
-                        yield from of(held)
-                        held.clear()
+                        letters += len(text)
+                    if len(held) >= 2 * WORDS or letters >= COUNTED:
+                        kept = Counter({w: n for w, n in held.items() if n > 1})
+                        if len(kept) >= WORDS or letters >= COUNTED:
+                            kept.clear()
+                        yield from of({w: n for w, n in held.items() if w not in kept})
+                        held, letters = kept, sum(map(len, kept))
             yield from of(held)
 
         yield from summed(parts())
@@ -363,16 +442,17 @@ class Scores:
         there = self.codes[at] == linked
         return self.best[at] & there, self.n[at] * there
 
-    def of_words(self, both: Pair, words: list[str]) -> list[tuple | None]:
-        """For each word numbers of A ids, B ids, groups, best links; sum of counts; the groups. None for words that aren't whole."""
+    def of_words(self, both: Pair, words: list[str]) -> tuple[np.ndarray, list[str]]:
+        """For each word a row of ``SUMS`` (zeros before the last for a word that isn't whole), and its groups."""
         every = both.encode(words)
         ok = every.spelled()
         linked, each = ok.links(both)
-        best, n = self.found(linked)
         word = np.repeat(np.arange(len(each)), each)
-        sums = [np.bincount(word, x, len(each)).astype(np.int64).tolist() for x in (best, n)]
-        rows = iter(zip(*(x.tolist() for x in ok.sizes), each.tolist(), *sums, ok.said(both), strict=True))
-        return [next(rows) if w else None for w in every.whole.tolist()]
+        rows = np.zeros((len(words), len(SUMS)), np.int64)
+        rows[every.whole, :-1] = np.stack([*ok.sizes, each, *(np.bincount(word, x, len(each)).astype(np.int64) for x in self.found(linked))], axis=1)
+        rows[:, -1] = ~every.whole
+        groups = iter(ok.said(both))
+        return rows, [next(groups) if w else "" for w in every.whole.tolist()]
 
     def of(self, fragment: dict) -> tuple[int, int, int, int, int, str]:
         """As of_words, of a whole fragment."""
@@ -384,6 +464,28 @@ NAMES = ("n_a", "n_b", "n_groups", "n_best", "count_sum", "groups")
 ALIGNED = "struct<n_a:long,n_b:long,n_groups:long,n_best:long,count_sum:long,groups:string>"
 ALIGNED_ARROW = pa.struct([(k, pa.int64()) for k in NAMES[:-1]] + [(NAMES[-1], pa.string())])
 NONE = dict.fromkeys(NAMES, 0) | {"groups": ""}
+#: Of a word, or summed over a text's words.
+SUMS = (*NAMES[:-1], "n_not_whole")
+
+
+class Known:
+    """Words that are remembered, each with its row of ``SUMS`` and its groups."""
+
+    def __init__(self) -> None:
+        self.at: dict[str, int] = {}
+        self.rows, self.groups = np.zeros((0, len(SUMS)), np.int64), []
+
+    def add(self, words: list[str], rows: np.ndarray, groups: list[str]) -> None:
+        n, more = len(self.at), len(self.at) + len(words)
+        self.at.update(zip(words, range(n, more), strict=True))
+        if more > len(self.rows):
+            self.rows = np.concatenate([self.rows[:n], np.zeros((more, len(SUMS)), np.int64)])
+        self.rows[n:more] = rows
+        self.groups += groups
+
+    def of(self, words: list[str]) -> tuple[np.ndarray, list[str]]:
+        at = list(map(self.at.__getitem__, words))
+        return self.rows[np.array(at, np.int64)], list(map(self.groups.__getitem__, at))
 
 
 def scored(shared: Broadcast, a: str, b: str) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
@@ -391,34 +493,31 @@ def scored(shared: Broadcast, a: str, b: str) -> Callable[[Iterator[pa.Array]],
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         both, scores = pair(a, b), shared.value
-        young: dict[str, tuple | None] = {}
-        old: dict[str, tuple | None] = {}
+        young, old = Known(), Known()
         for texts in batches:
             at = 0
             while at < len(texts):
-                group, held = [], 0
+                every: list[str] = []
+                ends, held = [0], 0
                 while at < len(texts) and held < TEXTS:
-                    group.append(words(texts[at].as_py() or ""))
-                    held += len(texts[at].as_py() or "")
+                    text = texts[at].as_py() or ""
+                    every += words(text) if text else []
+                    ends.append(len(every))
+                    held += len(text)
                     at += 1
-                if len(young) >= WORDS:
-                    young, old = {}, young
-                here = set(chain.from_iterable(group))
-                missing = here.difference(young)
-                young.update((w, old[w]) for w in missing if w in old)
-                new = list(missing.difference(young))
-                for k in range(0, len(new), BATCH):
-                    some = new[k : k + BATCH]
-                    young.update(zip(some, scores.of_words(both, some), strict=True))
-                rows = []
-                for text, ws in zip(texts[at - len(group) : at], group, strict=True):
-                    found = list(map(young.__getitem__, ws)) if text.as_py() else [None]
-                    if None in found:
-                        rows.append(NONE)
-                    else:
-                        *each, groups = zip(*found, strict=True)
-                        rows.append(dict(zip(NAMES, [*map(sum, each), ";".join(groups)], strict=True)))
-                yield pa.array(rows, ALIGNED_ARROW)
+                if len(young.at) >= WORDS:
+                    young, old = Known(), young
+                missing = set(every).difference(young.at)
+                again = [w for w in missing if w in old.at]
+                if again:
+                    young.add(again, *old.of(again))
+                for some in parted(missing.difference(again)):
+                    young.add(some, *scores.of_words(both, some))
+                rows, groups = young.of(every)
+                sums = np.diff(np.concatenate([np.zeros((1, len(SUMS)), np.int64), np.cumsum(rows, axis=0)])[ends], axis=0)
+                ok = (sums[:, -1] == 0) & (sums[:, 0] > 0)
+                said = [";".join(groups[x:y]) if w else "" for x, y, w in zip(ends[:-1], ends[1:], ok.tolist(), strict=True)]
+                yield pa.StructArray.from_arrays([*map(pa.array, (sums[:, :-1] * ok[:, None]).T), pa.array(said, pa.string())], fields=list(ALIGNED_ARROW))
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return run

@@ -159,6 +159,58 @@ def test_memories_may_be_cleared_at_any_time(monkeypatch):
     assert {(a, b): n for b in counted for a, b, n in zip(*b.to_pydict().values(), strict=True)} == counts
 
 
+def calls(monkeypatch, both):
+    """Texts given to A's fast encoder."""
+    given, fast = [], both.fast
+    monkeypatch.setattr(both, "fast", lambda text: given.append(text) or fast(text))
+    return given
+
+
+def test_words_are_encoded_joined(monkeypatch):
+    both = crosstoken.pair(*NAMES)
+    given = calls(monkeypatch, both)
+    words = [f"thing{i}onti, é{i}" if i % 5 == 0 else f"un{i}der." for i in range(1000)]
+    together = both.encode(words)
+    assert len(given) <= 2 * 1000 / crosstoken.JOINED
+    each = [both.alone([w]) for w in words]
+    for k in (0, 1):
+        assert together.ids[k].tolist() == [i for e in each for i in e.ids[k].tolist()] and together.sizes[k].tolist() == [len(e.ids[k]) for e in each]
+
+
+@pytest.mark.parametrize("joined, letters", [(1, 1 << 12), (3, 1 << 12), (64, 9), (64, 1 << 12)])
+def test_joined_words_have_the_tokens_of_words_alone(monkeypatch, joined, letters):
+    monkeypatch.setattr(crosstoken, "JOINED", joined)
+    monkeypatch.setattr(crosstoken, "LETTERS", letters)
+    both = crosstoken.pair(*NAMES)
+    rng = random.Random(6)
+    every = list(dict.fromkeys(w for t in [*ODD, *mixed(300, 7)] for w in crosstoken.words(t)))
+    for n in (1, 2, 20, len(every)):
+        words = rng.sample(every, n)
+        together, each = both.encode(words), both.alone(words)
+        for k in (0, 1):
+            assert together.ids[k].tolist() == each.ids[k].tolist() and together.sizes[k].tolist() == each.sizes[k].tolist()
+        assert together.lengths.tolist() == each.lengths.tolist() and together.whole.tolist() == each.whole.tolist()
+
+
+def test_frequent_words_are_encoded_once_by_the_count(monkeypatch):
+    monkeypatch.setattr(crosstoken, "WORDS", 50)
+    given = calls(monkeypatch, crosstoken.pair(*NAMES))
+    texts = [f"often again thing{i} on{i}ti" for i in range(500)]
+    for limit in (1 << 26, 400):
+        monkeypatch.setattr(crosstoken, "COUNTED", limit)
+        given.clear()
+        got = list(crosstoken.linked(*NAMES)(iter([pa.record_batch({"t": texts})])))
+        want = Counter((a[-1], b[-1]) for t in texts for a, b in groups(t))
+        assert {(a, b): n for r in got for a, b, n in zip(*r.to_pydict().values(), strict=True)} == want
+        assert (sum(t.split().count("often") for t in given) == 1) == (limit > 400)
+
+
+def test_batches_without_any_text(spark):
+    scores = crosstoken.Scores(pa.table({k: pa.array([], pa.int64()) for k in ("a_id", "b_id", "n")}))
+    got = list(crosstoken.scored(SimpleNamespace(value=scores), *NAMES)(iter([pa.array([None, ""], pa.string()), pa.array(["a b", None])])))
+    assert [x["n_a"] for r in got for x in r.to_pylist()] == [0, 0, 2, 0]
+
+
 def test_only_texts_without_tokens(spark):
     assert set(run(frame(spark, ["▁", "a ▁ b"] * 5)).values()) == {(0, 0, 0, 0, 0, "")}
 
