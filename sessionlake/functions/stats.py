@@ -37,7 +37,7 @@ def sample_size(baseline: Column, margin_pp: Column) -> Column:
 def cost_per_success(value: Column, success: Column) -> Column:
     """C14. Aggregate: sum of values per success; null if a value is unknown or nothing succeeded."""
     wins = F.count_if(success)
-    return F.when((F.count_if(value.isNull()) == 0) & (wins > 0), F.sum(value) / wins)
+    return F.when((F.count_if(value.isNull()) == 0) & (wins > 0), F.sum(value).cast("double") / wins)
 
 
 def ratio_class(ratio: Column, low: Column, high: Column) -> Column:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..functions.stats import cost_per_success, wilson
 
@@ -92,10 +93,15 @@ def coverage_reasons(facts: DataFrame, reasons: dict[str, Column]) -> DataFrame:
     return facts.groupBy("experiment").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(hits)))).alias("reasons"))
 
 
+def wide(units: DataFrame, name: str) -> Column:
+    """The column, whole numbers as decimals: a million units' microseconds sum to more than a long holds."""
+    return F.col(name).cast("decimal(38,0)") if isinstance(units.schema[name].dataType, IntegralType) else F.col(name)
+
+
 def rates(units: DataFrame, by: Sequence[str] = ("experiment", "arm")) -> DataFrame:
     """C11, C14, C20. Success rate with its interval, and tokens and time per success, by arm (and task)."""
     win = F.col("state") == "success"
-    out = units.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(win).alias("successes"), cost_per_success(F.col("tokens"), win).alias("tokens_per_success"), cost_per_success(F.col("elapsed_us"), win).alias("us_per_success"))
+    out = units.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(win).alias("successes"), cost_per_success(wide(units, "tokens"), win).alias("tokens_per_success"), cost_per_success(wide(units, "elapsed_us"), win).alias("us_per_success"))
     low, high = wilson(F.col("successes"), F.col("n"))
     return out.withColumns({"rate": F.col("successes") / F.col("n"), "low": low, "high": high})
 
