@@ -31,8 +31,7 @@ v AS (SELECT r.pr, CASE WHEN names IS NULL OR coalesce(miss, false) THEN 'unknow
 
 
 def verdicts(v: Views) -> DataFrame:
-    c = v.checks.withColumn("pos", F.col("pos") * 100_000 + F.col("part"))
-    c = c.withColumn("kind", F.expr("pos div 100000 % 2 = 0"))
+    c = v.checks.withColumns({"kind": F.col("pos") % 2 == 0, "pos": F.col("pos") * 100_000 + F.col("part")})
     names = F.expr("CASE slot WHEN 0 THEN CAST(array() AS array<string>) WHEN 1 THEN array('0') WHEN 2 THEN array('1', '2') END")
     return o.checks_verdict(c.where("kind"), c.where("not kind"), v.pulls.select("pr", names.alias("names")))
 
