@@ -26,7 +26,7 @@ def many_parts(tmp_path_factory):
     return str(d), con
 
 
-@pytest.mark.parametrize("name", ["checks_verdict", "attempt_states", "deliverable_states"])
+@pytest.mark.parametrize("name", ["checks_verdict", "attempt_states", "deliverable_states", "cost_per_success"])
 def test_parts_beyond_the_places_of_a_supplier(spark, many_parts, name):
     d, con = many_parts
     df, theirs = QUERIES[name](spark, d), con.execute(ORACLES[name])
